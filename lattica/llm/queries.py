@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import lm_scoring
+from lattica.llm import gif_media, lm_scoring, sentencepieces
 from lattica.session import prepare, table
 
+#: A public model file; a parameter of the operators.
+PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return lm_scoring.score_split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), PIECES_FILE)
+
+
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op5_gif_media": op5_gif_media,
+}
 ORACLE_SQL: dict[str, str] = {}
