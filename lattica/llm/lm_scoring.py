@@ -39,7 +39,7 @@ from lattica.session import cut, plan_bytes, prepare
 
 #: No word holds a space, so these never equal one.
 END, BEGIN = hash_words([b" end", b" begin"])
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -347,7 +347,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     table = sc.broadcast((top, counts))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    whole, parts = None, []
+    whole, parts, held = None, [], [table]
     for group in _shards(model):
         shard = sc.broadcast(_filter(model, group))
         run = _scoring(table, shard, n, v, mean, p, whole is None)
@@ -356,7 +356,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             whole = rows.mapInArrow(_keeping(run), "doc_id long, " + _SCORED)
         else:
             parts.append(rows.select("rid", "text").mapInArrow(run, "rid long, score double"))
-    whole = cut(whole)
+        held.append(shard)
+    whole, parts = cut(whole), [cut(x) for x in parts]
+    for x in held:  # all that they were for is written
+        x.destroy()
     rare = whole.select("rid", F.explode("rare").alias("r")).select("rid", "r.hash", "r.tf")
     seldom = model.words.where(F.floor(F.log2("c") * 8) < least)
     c = F.coalesce("c", F.lit(0))
