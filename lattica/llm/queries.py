@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import gif_media, lm_scoring, sentencepieces
+from lattica.llm import decontaminate, gif_media, lm_scoring, sentencepieces, toxicity
 from lattica.session import prepare, table
 
 #: A public model file; a parameter of the operators.
@@ -20,13 +20,25 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), PIECES_FILE)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_decontaminate": op4_decontaminate,
     "op5_gif_media": op5_gif_media,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
