@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, gif_media, lm_scoring, sentencepieces, toxicity
+from lattica.llm import decontaminate, gif_media, lm_scoring, sentencepieces, simhash, toxicity
 from lattica.session import prepare, table
 
 #: A public model file; a parameter of the operators.
@@ -28,6 +29,11 @@ def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
@@ -39,6 +45,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op5_gif_media": op5_gif_media,
+    "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
