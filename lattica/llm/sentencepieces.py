@@ -38,7 +38,7 @@ from lattica.session import prepare
 
 MARK = "▁"
 CHECK = 64
-KEPT_PARTS = 300_000
+KEPT_PARTS = 600_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
@@ -105,7 +105,7 @@ class Pieces:
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the normalised text that the chunks make, committed as soon as they are sure."""
-        trie, longest, unknown_score = self.trie, self.longest, self.unknown_score
+        find, longest, unknown_score = self.trie.get, self.longest, self.unknown_score
         text, at = "", 0
         best, prev, ids = [0.0], [0], [-1]
         low = float("-inf")
@@ -117,19 +117,22 @@ class Pieces:
                 prev += [0] * more
                 ids += [-1] * more
             stop = len(text) if chunk is None else len(text) - longest
+            size = len(text)
             while at < stop:
-                here, single, end = best[at], False, at
-                for end in range(at + 1, min(at + longest, len(text)) + 1):
-                    found = trie.get(text[at:end])
+                here, end = best[at], at + 1
+                found = find(text[at])
+                piece, score = found or (-1, 0.0)
+                score = here + (score if piece >= 0 else unknown_score)
+                if score > best[end]:
+                    best[end], prev[end], ids[end] = score, at, piece
+                while found is not None and end < size:
+                    end += 1
+                    found = find(text[at:end])
                     if found is None:
                         break
-                    if found[0] >= 0:
-                        single = single or end == at + 1
-                        score = here + found[1]
-                        if score > best[end]:
-                            best[end], prev[end], ids[end] = score, at, found[0]
-                if not single and here + unknown_score > best[at + 1]:
-                    best[at + 1], prev[at + 1], ids[at + 1] = here + unknown_score, at, -1
+                    piece, score = found
+                    if piece >= 0 and here + score > best[end]:
+                        best[end], prev[end], ids[end] = here + score, at, piece
                 at += 1
                 if at >= CHECK and at % CHECK == 0:
                     live = {i for i in range(at, min(at + longest, len(text) + 1)) if best[i] > low}
@@ -141,7 +144,7 @@ class Pieces:
                     if root:
                         yield self._trace(text, prev, ids, root)
                         gone = best[root]
-                        text, at, stop = text[root:], at - root, stop - root
+                        text, at, stop, size = text[root:], at - root, stop - root, size - root
                         best = [x - gone for x in best[root:]]
                         prev = [max(0, x - root) for x in prev[root:]]
                         ids = ids[root:]
@@ -174,7 +177,10 @@ class Pieces:
             found = self.kept[part] = tuple(i for ids in self.stream([part]) for i in ids)
         return found
 
-    def unit(self, unit: str) -> list[int]:
+    def unit(self, unit: str) -> Iterable[int]:
+        found = self.kept.get(unit)
+        if found is not None:
+            return found
         return [i for p in self.alone.split(unit) if p for i in self.part(p)]
 
     # -- whole texts -------------------------------------------------------------------
@@ -249,7 +255,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str =
 
     def run(batches):
         own = _loaded(model)
-        for batch in pieces(batches, limit=4 << 20):
+        for batch in pieces(batches, limit=12 << 20):
             offsets, ids = encode_batch(own, text_column(batch))
             listed = ids.tolist()
             sha = [hashlib.sha256(own.decode(listed[a:b]).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
