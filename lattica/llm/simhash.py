@@ -12,7 +12,8 @@ fingerprints are within t_i on some partition i (else they would differ in more
 programme over the costs that are expected of them: probes are exactly counted,
 candidates are estimated from the bits' frequencies and from how often partitions'
 values repeat over all fingerprints.  Each fingerprint is then indexed under its value
-in every partition with t_i >= 0 and probes all values within t_i.
+in every partition with t_i >= 0 and probes those values within t_i that a bitmap of
+fixed size says some fingerprint has.
 
 Probing groups by (partition, value).  Members and probes of a value are compared in
 vectorised blocks of up to ``BLOCK`` x ``BLOCK``; a value with more of either is split
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, pieces, signed, text_column
+from lattica.llm.text import U64, mix, pieces, signed, text_column
 from lattica.session import cut, prepare, shuffle_partitions
 
 BITS, SEED, BLOCK = 64, 42, 2048
@@ -50,7 +51,7 @@ BITS, SEED, BLOCK = 64, 42, 2048
 class Params:
     shingle: int = 4
     distance: int = 4
-    hot_rows: int = 1 << 16  # of keys whose rows are split: a bound on what is broadcast
+    hot_rows: int = 1 << 16  # of split values that are broadcast; more are joined by a shuffle
 
 
 # -- fingerprints ----------------------------------------------------------------------
@@ -159,13 +160,14 @@ def allocate(cost: np.ndarray, total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-PROBE_COST = 8.0  # of a probe, in verified candidates
+#: In verified candidates: of a probe that is only looked up, and of one that is shuffled.
+LOOKUP_COST, PROBE_COST = 0.1, 8.0
 
 
 def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, those that are skipped left out."""
     found = (math.inf, [])
-    for m in range(1, distance + 2):
+    for m in range(1, min(distance, 15) + 2):
         groups = partition_bits(corr, m)
         rows = []
         for g in groups:
@@ -175,7 +177,8 @@ def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tup
             row = [0.0]
             for t in range(distance + 1):
                 probes = sum(math.comb(len(g), k) for k in range(t + 1))
-                row.append(n * probes * PROBE_COST + n * n * min(1.0, near[t] * tied))
+                hits = n * min(1.0, near[t] * tied)
+                row.append(n * (probes * LOOKUP_COST + (1 + min(probes, hits)) * PROBE_COST + hits))
             rows.append(row)
         value, thresholds = allocate(np.array(rows), distance + 1)
         if value < found[0]:
@@ -198,22 +201,53 @@ def masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(width), k)], dtype=U64)
 
 
-def _entries(parts: list[tuple[list[int], int]]):
-    """Index and probe rows of each fingerprint."""
-    flips = [masks(len(g), t) for g, t in parts]
+FILTER_BITS = 24
+
+
+def _place(values: np.ndarray, width: int) -> np.ndarray:
+    """Where a value stands in its partition's bitmap: itself, or a hash where values have more bits."""
+    return values if width <= FILTER_BITS else mix(values) >> U64(64 - FILTER_BITS)
+
+
+def _occupied(fps: DataFrame, parts: list[tuple[list[int], int]]) -> np.ndarray:
+    """A bitmap of fixed size for each partition, of the values that some fingerprint has."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("fp").to_numpy().view(U64)
+            for i, (g, _) in enumerate(parts):
+                at = np.unique(_place(project(own, g), len(g)))
+                word, first = np.unique(at >> U64(6), return_index=True)
+                bits = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else at
+                yield pa.record_batch({"part": pa.array(np.full(len(word), i, np.int32)), "word": pa.array(word.astype(np.int64)), "bits": pa.array(signed(bits))})
+
+    rows = fps.mapInArrow(run, "part int, word long, bits long").groupBy("part", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros((len(parts), 1 << FILTER_BITS - 6), U64)
+    out[rows.column("part").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+    return out
+
+
+def _entries(parts: list[tuple[list[int], int]], shared):
+    """Index rows of each fingerprint, and its probes of values that some fingerprint has."""
 
     def run(batches):
+        maps = shared.value
+        flips = [masks(len(g), t) for g, t in parts]
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(U64)
-            for at in range(0, len(fps), 4096):
-                own = fps[at : at + 4096]
-                for i, (g, _) in enumerate(parts):
+            for i, (g, _) in enumerate(parts):
+                step = max(1, (1 << 20) // len(flips[i]))
+                for at in range(0, len(fps), step):
+                    own = fps[at : at + step]
                     value = project(own, g)
                     probed = (value[:, None] ^ flips[i][None, 1:]).reshape(-1)
+                    place = _place(probed, len(g))
+                    there = (maps[i][(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
+                    probed, source = probed[there], np.repeat(own, len(flips[i]) - 1)[there]
                     n = len(own) + len(probed)
                     yield pa.record_batch({
                         "part": pa.array(np.full(n, i, np.int32)), "value": pa.array(signed(np.concatenate([value, probed]))),
-                        "fp": pa.array(signed(np.concatenate([own, np.repeat(own, len(flips[i]) - 1)]))), "own": pa.array(np.arange(n) < len(own)),
+                        "fp": pa.array(signed(np.concatenate([own, source]))), "own": pa.array(np.arange(n) < len(own)),
                     })
 
     return run
@@ -333,7 +367,8 @@ def links(fps: DataFrame, params: Params | None = None) -> DataFrame:
     p = params or Params()
     n, share, corr = correlation(fps)
     parts = plan(n, share, corr, p.distance)
-    entries = fps.select("fp").mapInArrow(_entries(parts), "part int, value long, fp long, own boolean")
+    maps = fps.sparkSession.sparkContext.broadcast(_occupied(fps, parts))
+    entries = fps.select("fp").mapInArrow(_entries(parts, maps), "part int, value long, fp long, own boolean")
     # values whose rows are more than one block
     many = entries.groupBy("part", "value").agg(F.sum(F.col("own").cast("long")).alias("members"), F.count("*").alias("rows"))
     hot = cut(many.where((F.col("members") > 0) & (F.col("rows") > BLOCK)))
