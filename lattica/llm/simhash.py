@@ -21,8 +21,7 @@ into blocks that go to different tasks.  A block puts out a spanning forest of t
 verified links between its fingerprints, never all pairs, and no link between
 components is lost by that.
 
-Components: labels spread along the forest's edges by alternating large-star and
-small-star steps until nothing changes, each step written to the checkpoint folder.
+Components come from the core library's large-star and small-star steps.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts
 shorter than the shingle are one shingle.  Rows without an id get the class of their
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import U64, mix, pieces, signed, text_column
+from lattica.operators.components import components
 from lattica.session import cut, prepare, shuffle_partitions
 
 BITS, SEED, BLOCK = 64, 42, 2048
@@ -388,25 +388,7 @@ def links(fps: DataFrame, params: Params | None = None) -> DataFrame:
     return dealt.mapInArrow(_matching(p.distance), "a long, b long").distinct()
 
 
-# -- components ------------------------------------------------------------------------
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) of every node that has an edge (a, b)."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    while mark[0]:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+# -- classes --------------------------------------------------------------------------
 
 
 def classes(docs: DataFrame, params: Params | None = None) -> DataFrame:
