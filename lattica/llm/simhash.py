@@ -201,7 +201,7 @@ def masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(width), k)], dtype=U64)
 
 
-FILTER_BITS = 24
+FILTER_BITS = 27
 
 
 def _place(values: np.ndarray, width: int) -> np.ndarray:
