@@ -38,7 +38,7 @@ from lattica.session import prepare
 
 MARK = "▁"
 CHECK = 64
-KEPT_PARTS = 600_000
+KEPT_PARTS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
@@ -255,7 +255,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str =
 
     def run(batches):
         own = _loaded(model)
-        for batch in pieces(batches, limit=12 << 20):
+        for batch in pieces(batches, limit=8 << 20):
             offsets, ids = encode_batch(own, text_column(batch))
             listed = ids.tolist()
             sha = [hashlib.sha256(own.decode(listed[a:b]).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
