@@ -217,6 +217,53 @@ def mutual_best(edges: DataFrame, threshold_bytes: float, most_rounds: int = 10_
     return compress(nodes).select(F.col("node").alias("frag"), F.col("parent").alias("root")), rounds
 
 
+def mutual_best_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndarray, threshold: float) -> dict[int, int]:
+    """The same rounds inside one task: frag -> root."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n, parent = len(ids), np.arange(len(ids))
+    a, b = at[: len(u)].copy(), at[len(u) :].copy()
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    while True:
+        mean = total / count
+        live = np.flatnonzero(mean > threshold)
+        if not len(live):
+            break
+        # from worst to best, so that the last one written to a node is its best
+        order = live[np.lexsort((-b[live], -a[live], mean[live]))]
+        best = np.full(n, -1)
+        place = np.arange(len(order))
+        np.maximum.at(best, a[order], place)
+        np.maximum.at(best, b[order], place)
+        both = np.flatnonzero((best[a[order]] == place) & (best[b[order]] == place))
+        low, high = a[order[both]], b[order[both]]
+        parent[high] = low
+        step = np.arange(n)
+        step[high] = low
+        a, b = step[a], step[b]
+        keep = a != b
+        low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+        key, where = np.unique(low * n + high, return_inverse=True)
+        total, count = np.bincount(where, total[keep], len(key)).astype(np.int64), np.bincount(where, count[keep], len(key)).astype(np.int64)
+        a, b = key // n, key % n
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return dict(zip(ids.tolist(), ids[parent].tolist()))
+
+
+def mutual_best_by_component(edges: DataFrame, threshold_bytes: float) -> DataFrame:
+    """frag and root by mutual-best rounds, a task for each component that can merge."""
+    edges = cut(edges.select("u", "v", "sum_bytes", "cnt"))
+    roots = frozen(edges, threshold_bytes)
+    left, right = roots.withColumnsRenamed({"node": "u", "root": "cu"}), roots.withColumnsRenamed({"node": "v", "root": "cv"})
+
+    def run(key, group):
+        col = lambda c: group.column(c).to_numpy()
+        found = mutual_best_local(col("u"), col("v"), col("sum_bytes"), col("cnt"), threshold_bytes)
+        return pa.table({"frag": pa.array(list(found), pa.int64()), "root": pa.array(list(found.values()), pa.int64())})
+
+    return edges.join(left, "u").join(right, "v").where("cu = cv").groupBy("cu").applyInArrow(run, "frag long, root long")
+
+
 # -- (1 + eps) rounds ------------------------------------------------------------------
 
 
@@ -399,4 +446,4 @@ def violations(edges: DataFrame, parents: DataFrame, threshold_bytes: float) ->
     return contract_rows(contract(edges, parents)).where(F.col("sum_bytes") / F.col("cnt") > threshold_bytes)
 
 
-__all__ = ["Kernel", "MeanAffinity", "accept", "approximate", "exact", "frozen", "merge_history", "monotone", "mutual_best", "parents_of", "propose", "region_graph_after", "rounds", "rounds_local", "violations"]
+__all__ = ["Kernel", "MeanAffinity", "accept", "approximate", "exact", "frozen", "merge_history", "monotone", "mutual_best", "mutual_best_by_component", "mutual_best_local", "parents_of", "propose", "region_graph_after", "rounds", "rounds_local", "violations"]

@@ -393,13 +393,13 @@ def _(spark, sf_dir):
 @query("boruvka_labels")
 def _(spark, sf_dir):
     edges, frags = _shaped(spark, sf_dir)
-    return labels.extract(frags, merge.mutual_best(edges, 127.5)[0])
+    return labels.extract(frags, merge.mutual_best_by_component(edges, 127.5))
 
 
 @query("boruvka_violations", _NONE)
 def _(spark, sf_dir):
     edges, _ = _shaped(spark, sf_dir)
-    return _count(merge.violations(edges, merge.mutual_best(edges, 127.5)[0], 127.5))
+    return _count(merge.violations(edges, merge.mutual_best_by_component(edges, 127.5), 127.5))
 
 
 _PROPOSALS = "SELECT l_partkey AS blue, l_suppkey AS red, max(l_orderkey) AS pri, count(*) AS add, 20 AS size FROM lineitem GROUP BY 1, 2"

