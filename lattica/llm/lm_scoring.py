@@ -16,8 +16,9 @@ that size, and each shard is one more pass that scores the positions whose pair
 it holds (a text's score is a sum over positions, so the passes add up).
 
 Word counts: the most frequent words (at most ``top_words``) are broadcast with
-exact counts.  For the base score the rest is joined by hash, one row a document
-and word.  In the model a word outside that table has the mean count of such words.
+exact counts.  The rest is joined by hash, one row a document and word, with count 0
+for words that training has not seen; positions whose word or history is such a word
+are carried with their level and scored after that join, from the same exact counts.
 
 Edge cases: a null or empty text is the end token alone.  A row whose id is null
 counts as training and is scored under a null id.  Repeated rows are scored one
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -292,10 +294,18 @@ def _lookup(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarr
     return np.where(table[at] == keys, values[at], -1)
 
 
-_SCORED = "rid long, n_tokens long, n_known long, base double, score double, rare array<struct<hash:long,tf:long>>"
+_SCORED = "rid long, n_tokens long, n_known long, base double, score double, open binary, rare array<struct<hash:long,tf:long>>"
+#: A position to be scored later: its word and its history, each ~count or a place among the text's rare words by hash.
+OPEN = np.dtype([("word", "<i8"), ("history", "<i8"), ("level", "u1")])
 
 
-def _scoring(frequent, shard, n: int, v: int, mean: float, p: Params, first: bool):
+def pair_logs(level: np.ndarray, word: np.ndarray, history: np.ndarray, n: int, v: int, p: Params) -> np.ndarray:
+    """log10 p(w | h) from a pair's level and the counts of its words."""
+    seen = np.minimum(count_of(level, p.base), history)
+    return np.log10((seen + p.mu * ((word + 1) / (n + v + 1))) / (history + p.mu))
+
+
+def _scoring(frequent, shard, n: int, v: int, p: Params, first: bool):
     """``frequent``: a broadcast of the table of words; ``shard``: one of a Filter."""
 
     def run(batches):
@@ -305,34 +315,66 @@ def _scoring(frequent, shard, n: int, v: int, mean: float, p: Params, first: boo
             words = Words(text_column(batch))
             hashes = np.concatenate([words.hashes(), [END]])
             c = _lookup(hashes, top, counts)
-            known = np.where(c >= 0, c, mean)
             ids, offsets = with_end(words, np.arange(len(hashes)), len(hashes) - 1)
-            keys, before = pair_keys(hashes[ids], offsets)
-            prior = ((known + 1) / (n + v + 1))[ids]
-            history = np.empty(len(ids))
-            history[1:] = known[ids[:-1]]
-            starts = _lookup(np.array([END], dtype=U64), top, counts)[0]
-            history[offsets[:-1]] = max(0, starts)
-            level = pairs.levels(keys)
-            seen = np.minimum(count_of(level, p.base), history)
-            logs = np.where(level >= 0, np.log10((seen + p.mu * prior) / (history + p.mu)), 0.0)
-            out = {"rid": batch.column("rid"), "score": pa.array(sum_by(logs, offsets))}
+            keys, _ = pair_keys(hashes[ids], offsets)
+            before = np.empty_like(ids)
+            before[1:] = ids[:-1]
+            before[offsets[:-1]] = len(hashes) - 1  # a text begins as often as one ends
+            word, history, level = c[ids], c[before], pairs.levels(keys)
+            late = (level >= 0) & ((word < 0) | (history < 0))
+            now = (level >= 0) & ~late
+            logs = np.zeros(len(ids))
+            logs[now] = pair_logs(level[now], word[now], history[now], n, v, p)
+            # a text's rare words by hash, so that every pass numbers them alike
+            order = np.argsort(hashes)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            rare, tf = np.unique((of * len(hashes) + rank[ids])[word < 0], return_counts=True)
+            doc = rare // len(hashes)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
+            of, kept = of[late], np.zeros(int(late.sum()), OPEN)
+            for name, count, own in (("word", word[late], ids[late]), ("history", history[late], before[late])):
+                kept[name] = np.where(count < 0, np.searchsorted(rare, of * len(hashes) + rank[own]) - ends[of], ~count)
+            kept["level"] = level[late]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))])
+            out = {"rid": batch.column("rid"), "score": pa.array(sum_by(logs, offsets)), "open": pa.array([kept[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())}
             if first:
                 base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / (n + v + 1)), 0.0)[ids]
                 out |= {"n_tokens": pa.array(np.diff(offsets)), "n_known": pa.array(sum_by((c > 0)[ids].astype(np.int64), offsets)), "base": pa.array(sum_by(base, offsets))}
-                at = np.flatnonzero(c[ids] < 0)
-                of = np.searchsorted(offsets, at, side="right") - 1
-                both, tf = np.unique(of * len(hashes) + ids[at], return_counts=True)
-                doc, word = both // len(hashes), both % len(hashes)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
-                out["rare"] = lists(ends, pa.StructArray.from_arrays([pa.array(signed(hashes[word])), pa.array(tf.astype(np.int64))], ["hash", "tf"]))
-                yield pa.record_batch({k: out[k] for k in ("rid", "n_tokens", "n_known", "base", "score", "rare")})
+                out["rare"] = lists(ends, pa.StructArray.from_arrays([pa.array(signed(hashes[order[rare % len(hashes)]])), pa.array(tf.astype(np.int64))], ["hash", "tf"]))
+                yield pa.record_batch({k: out[k] for k in ("rid", "n_tokens", "n_known", "base", "score", "open", "rare")})
             else:
                 yield pa.record_batch(out)
 
     return run
 
 
+_RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _resolving(n: int, v: int, p: Params):
+    """Add the open positions to ``score``; ``found``: hashes and counts of a text's rare words."""
+
+    def run(batches):
+        for batch in batches:
+            found, opened = batch.column("found"), batch.column("open")
+            of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+            hashes, c = (pc.struct_field(found.flatten(), k).to_numpy(zero_copy_only=False) for k in ("hash", "c"))
+            c = np.append(c[np.lexsort((hashes.view(U64), of))], 0)
+            starts = np.searchsorted(of, np.arange(batch.num_rows))
+            blobs = opened.flatten()
+            at = np.frombuffer(b"".join(blobs.to_pylist()), OPEN)
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(opened).to_numpy(zero_copy_only=False))
+            doc = np.repeat(doc, pc.binary_length(blobs).to_numpy(zero_copy_only=False) // OPEN.itemsize)
+            count = lambda x: np.where(x < 0, ~x, c[np.where(x < 0, -1, starts[doc] + x)])
+            logs = pair_logs(at["level"].astype(np.int64), count(at["word"]), count(at["history"]), n, v, p)
+            total = batch.column("score").to_numpy() + np.bincount(doc, logs, batch.num_rows)
+            yield pa.record_batch([*(batch.column(k) for k in ("doc_id", "n_tokens", "n_known", "base_score")), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of ``docs``.
 
@@ -343,19 +385,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     sc = spark.sparkContext
     n, v = model.tokens, model.vocabulary
     top, counts, least = _frequent(model)
-    mean = (n - int(counts.sum())) / (v - len(top)) if v > len(top) else 0.0
     table = sc.broadcast((top, counts))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     whole, parts, held = None, [], [table]
     for group in _shards(model):
         shard = sc.broadcast(_filter(model, group))
-        run = _scoring(table, shard, n, v, mean, p, whole is None)
+        run = _scoring(table, shard, n, v, p, whole is None)
         if whole is None:
             # the id travels beside the row number, so that no join has to bring it back
             whole = rows.mapInArrow(_keeping(run), "doc_id long, " + _SCORED)
         else:
-            parts.append(rows.select("rid", "text").mapInArrow(run, "rid long, score double"))
+            parts.append(rows.select("rid", "text").mapInArrow(run, "rid long, score double, open binary"))
         held.append(shard)
     whole, parts = cut(whole), [cut(x) for x in parts]
     for x in held:  # all that they were for is written
@@ -364,21 +405,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     seldom = model.words.where(F.floor(F.log2("c") * 8) < least)
     c = F.coalesce("c", F.lit(0))
     log = F.log10((c + 1).cast("double") / F.lit(float(n + v + 1)))
-    rest = rare.join(seldom, "hash", "left").groupBy("rid").agg(F.sum(F.col("tf") * log).alias("more_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
+    rest = rare.join(seldom, "hash", "left").groupBy("rid").agg(F.sum(F.col("tf") * log).alias("more_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.collect_list(F.struct("hash", c.alias("c"))).alias("found"))
     out = whole.drop("rare").join(rest, "rid", "left")
-    score_col = F.col("score")
+    score_col, opened = F.col("score"), F.array("open")
     if parts:
         more = parts[0]
         for x in parts[1:]:
             more = more.unionAll(x)
-        out = out.join(more.groupBy("rid").agg(F.sum("score").alias("more_score")), "rid", "left")
+        out = out.join(more.groupBy("rid").agg(F.sum("score").alias("more_score"), F.collect_list("open").alias("more_open")), "rid", "left")
         score_col = score_col + F.coalesce("more_score", F.lit(0.0))
-    return out.select(
+        opened = F.concat(opened, F.coalesce("more_open", F.array().cast("array<binary>")))
+    out = out.select(
         "doc_id", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        score_col.alias("score"),
+        score_col.alias("score"), opened.alias("open"), "found",
     )
+    return out.mapInArrow(_resolving(n, v, p), _RESULT)
 
 
 def _keeping(run):

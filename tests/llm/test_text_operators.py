@@ -51,6 +51,16 @@ def test_lm_scores(spark, corpus, top_words, filter_bytes):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_score_has_exact_counts_of_all_words(spark, corpus):
+    rows = corpus + EDGE_DOCS + [(1000 + i, f"once{i} never{i} w1 once{i}") for i in range(30)]
+    rows = [(i, t) for i, t in rows if i is not None]
+    whole, few, none = (
+        {(r.doc_id, r.n_tokens, r.n_known): round(r.score, 8) for r in lm_scoring.score_split(docs_of(spark, rows), lm_scoring.Params(top_words=top, max_filter_bytes=size)).collect()}
+        for top, size in ((1 << 20, 1 << 28), (5, 256), (0, 1 << 28))
+    )
+    assert whole == few == none
+
+
 def test_lm_filter_gives_exact_levels_but_for_false_positives():
     p = lm_scoring.Params()
     keys = lm_scoring.mix(np.arange(5000, dtype=np.uint64))
