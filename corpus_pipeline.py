@@ -2,8 +2,8 @@
 
 Every stage takes the documents that the stage before kept, whole, and its decisions
 take effect: all but the last return the columns of documents, the last one encodes.
-The near-duplicate stage takes shingles of five words and links fingerprints at up to
-``NEAR_BITS`` differing bits.
+The near-duplicate stage takes shingles of five words and links texts whose fingerprints
+differ in up to ``NEAR_BITS`` bits and whose shingles have a similarity of ``SIMILARITY``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from lattica.llm.queries import PIECES_FILE
 from lattica.session import cut, table
 
 NEAR_BITS = 8
+SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return simhash.keep_first(docs, simhash.Params(shingle=5, distance=NEAR_BITS))
+    return simhash.keep_first(docs, simhash.Params(shingle=5, distance=NEAR_BITS, similarity=SIMILARITY))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

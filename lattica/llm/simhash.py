@@ -23,6 +23,11 @@ components is lost by that.
 
 Components come from the core library's large-star and small-star steps.
 
+With ``similarity``, members are distinct texts (words lower-cased) instead of
+fingerprints, and a link also needs that Jaccard similarity of the two texts' sets of
+shingles (by their 64-bit hashes).  Only pairs in one component of fingerprint links can
+have a link, so all pairs of a component are looked at, in blocks as above.
+
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts
 shorter than the shingle are one shingle.  Rows without an id get the class of their
 fingerprint, whose smallest id may be null.  An empty table gives no rows.
@@ -45,22 +50,24 @@ from lattica.operators.components import components
 from lattica.session import cut, prepare, shuffle_partitions
 
 BITS, SEED, BLOCK = 64, 42, 2048
+TEXT_BLOCK = 1024  # texts whose sets of shingles are compared with as many others in one task
 
 
 @dataclass(frozen=True)
 class Params:
     shingle: int = 4
     distance: int = 4
+    similarity: float = 0.0  # of the sets of shingles; 0: bits alone
     hot_rows: int = 1 << 16  # of split values that are broadcast; more are joined by a shuffle
 
 
 # -- fingerprints ----------------------------------------------------------------------
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """Fingerprint of one text's words."""
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of one text's shingles, repeats included."""
     if not words:
-        return 0
+        return np.zeros(0, U64)
     joined = b" ".join(words)
     sizes = np.array([len(w) + 1 for w in words])
     ends = np.cumsum(sizes)
@@ -68,8 +75,12 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     n = max(1, len(words) - shingle + 1)
     lasts = ends[min(shingle, len(words)) - 1 :] - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist())], dtype=U64)
-    return vote(hashes)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist())], dtype=U64)
+
+
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """Fingerprint of one text's words."""
+    return vote(shingles(words, shingle)) if words else 0
 
 
 def vote(hashes: np.ndarray) -> int:
@@ -78,18 +89,23 @@ def vote(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def text_key(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
 def fingerprints(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, fp (the 64 bits as a signed long) and key (a hash of the words) of every row."""
     p = params or Params()
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in pieces(batches):
-            texts = text_column(batch).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t.lower().split(), p.shingle) for t in texts], dtype=U64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(signed(fps))})
+            words = [t.lower().split() for t in text_column(batch).cast(pa.binary()).to_pylist()]
+            fps = np.array([fingerprint(w, p.shingle) for w in words], dtype=U64)
+            keys = np.array([text_key(w) for w in words], dtype=U64)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(signed(fps)), "key": pa.array(signed(keys))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key long")
 
 
 # -- partitions and thresholds ---------------------------------------------------------
@@ -388,23 +404,85 @@ def links(fps: DataFrame, params: Params | None = None) -> DataFrame:
     return dealt.mapInArrow(_matching(p.distance), "a long, b long").distinct()
 
 
+# -- similarity -----------------------------------------------------------------------
+
+
+def similar(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, p: Params) -> list[tuple[int, int]]:
+    """Spanning forest of the verified links between texts; with ``side``, of those between its two values."""
+    sizes = np.array([len(x) for x in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    union, out, mark = _Union(len(sets)), [], np.zeros(len(names), bool)
+    for i in range(len(sets) - 1):
+        near = popcount(fps[i + 1 :] ^ fps[i]) <= p.distance
+        if side is not None:
+            near &= side[i + 1 :] != side[i]
+        root = union.find(i)
+        others = np.array([j for j in (np.flatnonzero(near) + i + 1).tolist() if union.find(j) != root], dtype=np.int64)
+        if not len(others):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        ends = np.cumsum(sizes[others])
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
+        shared = np.diff(np.concatenate([[0], np.cumsum(mark[flat[at]])])[np.concatenate([[0], ends])])
+        mark[own] = False
+        for j in others[shared >= p.similarity * (sizes[i] + sizes[others] - shared) - 1e-9].tolist():
+            if union.join(i, j):
+                out.append((i, j))
+    return out
+
+
+def verified(docs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between keys; ``texts``: key, fp and root (of its fingerprint's component) of distinct texts."""
+    many = texts.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / TEXT_BLOCK).cast("int").alias("blocks"))
+    crowded = cut(texts.join(many, "root"))
+    whole = [(list(range(BITS)), 0)]
+    maps = docs.sparkSession.sparkContext.broadcast(_occupied(crowded.select(F.col("key").alias("fp")), whole))
+
+    def read(batches):
+        for batch in pieces(batches):
+            own = {text_key(w): w for w in (t.lower().split() for t in text_column(batch).cast(pa.binary()).to_pylist())}
+            keys = np.array(list(own), dtype=U64)
+            place = _place(keys, BITS)
+            keys = keys[(maps.value[0][(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1]
+            yield pa.record_batch({"key": pa.array(signed(keys)), "shingles": pa.array([np.unique(shingles(own[k], p.shingle)).tobytes() for k in keys.tolist()], pa.binary())})
+
+    sets = docs.select("text").mapInArrow(read, "key long, shingles binary").dropDuplicates(["key"])
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))).alias("at")
+    dealt = crowded.join(sets, "key").withColumn("block", block).select("root", "key", "fp", "shingles", "block", place).select("root", "at.bi", "at.bj", "key", "fp", "block", "shingles")
+
+    def run(key, group):
+        col = lambda c: group.column(c).to_numpy()
+        keys, side = col("key"), col("block") if key[1].as_py() != key[2].as_py() else None
+        pairs = np.array(similar(col("fp").view(U64), [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()], side, p), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(keys[pairs[:, 0]]), "b": pa.array(keys[pairs[:, 1]])})
+
+    return dealt.groupBy("root", "bi", "bj").applyInArrow(run, "a long, b long")
+
+
 # -- classes --------------------------------------------------------------------------
 
 
 def classes(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id of the class) and copies (rows of this fingerprint) of every row."""
+    """doc_id, fp, component_id (the smallest id of the class) and copies (rows of this fingerprint, or text) of every row."""
     p = params or Params()
+    member = "key" if p.similarity else "fp"
     rows = cut(fingerprints(docs, p))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    roots = components(links(distinct, p))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    roots = components(links(cut(rows.select("fp").distinct()), p))
+    if p.similarity:
+        placed = rows.select("key", "fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        roots = components(verified(docs, cut(placed), p))
+    distinct = rows.groupBy(member).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    rooted = cut(distinct.join(roots, distinct[member] == roots["node"], "left").select(member, "first_id", "copies", F.coalesce("root", member).alias("root")))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classed = cut(rooted.join(first, "root").select("fp", "component_id", "copies"))
-    # at most 1024 fingerprints hold more than a 1024th of the rows each
+    classed = cut(rooted.join(first, "root").select(member, "component_id", "copies"))
+    # at most 1024 members hold more than a 1024th of the rows each
     total = rows.count()
     hot = F.broadcast(classed.where(F.col("copies") > total / 1024))
-    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(classed.where(F.col("copies") <= total / 1024), "fp")
-    return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id", "copies")
+    rest = rows.join(hot.select(member), member, "left_anti").join(classed.where(F.col("copies") <= total / 1024), member)
+    return rows.join(hot, member).unionByName(rest).select("doc_id", "fp", "component_id", "copies")
 
 
 def keep_first(docs: DataFrame, params: Params | None = None) -> DataFrame:

@@ -219,6 +219,35 @@ def test_simhash_splits_large_values_without_losing_links(spark, monkeypatch):
     assert [up[f] for f in fps] == want
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_simhash_links_are_verified_by_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
+    rng, rows = np.random.default_rng(9), [(9000, None), (9001, ""), (9002, "one"), (9003, "ONE ")]
+    for i in range(25):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 100)]
+        for j, changed in enumerate((0, 1, 2, 3, 3, 3)):
+            own = list(words)
+            for at in rng.choice(100, changed, replace=False):
+                own[at] = f"x{i}_{j}_{at}"
+            rows.append((10 * i + j, " ".join(own)))
+    texts = [(t or "").encode().lower().split() for _, t in rows]
+    fps, sets = [simhash.fingerprint(w, 5) for w in texts], [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in texts]
+    up, close = list(range(len(rows))), 0
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if bin(fps[i] ^ fps[j]).count("1") <= 8:
+                    alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+                    close += not alike
+                    if alike:
+                        up[i] = up[j] = min(up[i], up[j])
+    assert close and len(set(up)) < len(rows) - 10
+    want = {i: min(rows[k][0] for k in range(len(rows)) if up[k] == up[n]) for n, (i, _) in enumerate(rows)}
+    own = simhash.Params(shingle=5, distance=8, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in simhash.classes(docs_of(spark, rows), own).collect()} == want
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows), own).collect()} == set(want.values())
+
+
 def test_pigeonhole_allocation():
     share, corr = np.full(64, 0.5), np.eye(64)
     for distance in (4, 8):
