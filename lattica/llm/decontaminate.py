@@ -1,8 +1,13 @@
 """Benchmark decontamination by template windows.
 
-Words are stripped of punctuation and lower-cased; numbers, number words, names
-(capitalised words inside a sentence) and units after a number become the typed
-placeholders of a template, their words the values of its slots.  Windows of
+Words are stripped of punctuation and lower-cased; numbers, number words, names and
+units after a number become the typed placeholders of a template, their words the values
+of its slots.  An item's names are its capitalised words inside a sentence, and those at
+a sentence's start that some item has as such a name or that aren't known to be common
+(``COMMON``, or in lower case in some item).  In a text each word that may be a name is
+tried as one: capitalised words at any place, in any case the names of items, and in a
+text without case all words that no item has as a literal.  A word that may be both is
+tried as both, so a window can have several templates.  Windows of
 ``window`` template words are hashed and hash-joined with the benchmark's.  A text is
 contaminated by an item if it holds at least ``containment`` of the item's distinct
 windows and the slots agree: over the matched windows each slot value of the item
@@ -10,6 +15,8 @@ stands for one value of the text for each time that the item occurs in it, for a
 ``agreement`` of the values.  So copies and questions with other numbers or names are
 both found, while windows that only share placeholders are not.
 
+What items have as names and literals is broadcast: it grows with their vocabulary.
+
 A window of a text takes part in the join only if a Bloom filter of fixed size that
 holds the benchmark's windows has it.  The benchmark's side is broadcast up to
 ``broadcast_rows`` windows and shuffled beyond, with Spark's skew handling.
@@ -36,6 +43,12 @@ EDGES = b".,;:!?\"'`()[]{}<>*#&_/\\|~-"
 #: Words that count as numbers, and units that follow them.
 NUMBER_WORDS = frozenset(b"two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 UNITS = frozenset(b"mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg lb lbs oz gram grams kilogram kilograms ton tons pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh hz khz mhz w kw v a c f k percent % dollar dollars euro euros cent cents usd eur".split())
+COMMON = frozenset(
+    b"a an the this that these those there here it he she they we you i if when while where what which who whom whose why how in on at by for from to of with "
+    b"without after before during since until as and or but nor so yet not no each every all some any many most both either neither another given let find suppose "
+    b"consider assume calculate compute determine solve show prove write explain describe list choose select use using is are was were do does did has have had can "
+    b"could will would should may might must then now today next first finally however therefore thus because although also only my your his her its our their".split()
+)
 NUMBER = re.compile(rb"[+$-]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
 SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = hash_words([b" number", b" name", b" unit"])
 LITERAL, IS_NUMBER, IS_UNIT = 0, 1, 2
@@ -50,17 +63,36 @@ class Params:
     broadcast_rows: int = 200_000
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template words, slot values (0 at literals) and offsets of the texts."""
+class Lexicon:
+    """Sorted hashes of words that are in lower case (``lower``), names or literals in some item."""
+
+    def __init__(self, lower: np.ndarray, names: np.ndarray, literals: np.ndarray):
+        self.lower, self.names, self.literals = lower, names, literals
+
+
+@dataclass
+class Canonical:
+    """Template words, slot values (0 at literals), offsets of the texts; where a name may stand instead, and all words' hashes."""
+
+    code: np.ndarray
+    slot: np.ndarray
+    offsets: np.ndarray
+    both: np.ndarray
+    value: np.ndarray
+    lower: np.ndarray  # of the vocabulary
+
+
+def canonical(texts: pa.Array, known: Lexicon | None = None, item: bool = True) -> Canonical:
     words = Words(texts, lower=False)
     n = len(words.vocab)
-    code, value, kind = np.zeros(n, U64), np.zeros(n, U64), np.zeros(n, np.int8)
-    capital, ends, held = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    value, kind = np.zeros(n, U64), np.zeros(n, np.int8)
+    capital, small, ends, held, common = (np.zeros(n, bool) for _ in range(5))
     bare = []
     for i, raw in enumerate(words.vocab):
         word = raw.strip(EDGES)
         ends[i] = raw[-1:] in b".?!:"
-        low = word.lower()
+        text = word.decode()
+        low = word.lower() if word.isascii() else text.lower().encode()
         bare.append(low)
         if word:
             held[i] = True
@@ -68,75 +100,122 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 kind[i] = IS_NUMBER
             elif low in UNITS:
                 kind[i] = IS_UNIT
-            capital[i] = low != word and 65 <= word[0] <= 90
+            capital[i] = text[0].isupper()
+            small[i] = text[0].islower()
+            common[i] = low in COMMON
     if n:
-        code = value = hash_words(bare)
+        value = hash_words(bare)
     ids = words.ids
-    keep = held[ids] if n else np.zeros(0, bool)
+    if not len(ids):
+        none = np.zeros(0, U64)
+        return Canonical(none, none, words.offsets, np.zeros(0, bool), none, none)
+    isin = lambda own: _isin(value, own)[ids]
     first = np.zeros(len(ids), bool)
-    starts = words.offsets[:-1][np.diff(words.offsets) > 0]
-    first[starts] = True
-    before_ends = np.ones(len(ids), bool)
-    if len(ids):
-        before_ends[1:] = ends[ids[:-1]]
-        number = kind[ids] == IS_NUMBER
-        after_number = np.zeros(len(ids), bool)
-        after_number[1:] = number[:-1]
-        after_number &= ~first
-        unit = (kind[ids] == IS_UNIT) & after_number
-        name = capital[ids] & ~first & ~before_ends & ~number & ~unit
-        out, slot = code[ids].copy(), np.zeros(len(ids), U64)
-        for mask, mark in ((number, SLOT_NUMBER), (name, SLOT_NAME), (unit, SLOT_UNIT)):
-            slot[mask] = value[ids[mask]]
-            out[mask] = mark
+    first[words.offsets[:-1][np.diff(words.offsets) > 0]] = True
+    starts = first.copy()
+    starts[1:] |= ends[ids[:-1]]
+    number = kind[ids] == IS_NUMBER
+    after_number = np.zeros(len(ids), bool)
+    after_number[1:] = number[:-1]
+    unit = (kind[ids] == IS_UNIT) & after_number & ~first
+    free = ~number & ~unit
+    # a text of capitals says no more about names than one without any
+    has = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[ids])])[words.offsets]) > 0
+    doc = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
+    cased = (has(capital) & has(small))[doc]
+    named = capital[ids] & free & cased
+    both = np.zeros(len(ids), bool)
+    if known is None:
+        name = named & ~starts
+    elif item:
+        name = free & (named & ~starts | isin(known.names) & capital[ids] | named & ~common[ids] & ~isin(known.lower))
     else:
-        out, slot = np.zeros(0, U64), np.zeros(0, U64)
+        literal = isin(known.literals)
+        name = free & (named | isin(known.names) | ~cased & ~literal)
+        both = name & literal
+        name &= ~literal
+    code, slot = value[ids], np.zeros(len(ids), U64)
+    for mask, mark in ((number, SLOT_NUMBER), (name, SLOT_NAME), (unit, SLOT_UNIT)):
+        slot[mask] = value[ids[mask]]
+        code[mask] = mark
+    keep = held[ids]
     offsets = np.concatenate([[0], np.cumsum(keep)])[words.offsets]
-    return out[keep], slot[keep], offsets
+    return Canonical(code[keep], slot[keep], offsets, both[keep], value[ids][keep], value[small])
 
 
-def windows(code: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first words and texts of all windows; shorter texts are one window."""
+def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def windows(text: Canonical, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first words, texts and templates (a bit for each word taken as a name that may be both) of all windows; shorter texts are one window."""
+    offsets = text.offsets
     lens = np.diff(offsets)
     count = np.where(lens >= width, lens - width + 1, np.minimum(lens, 1))
     doc = np.repeat(np.arange(len(lens)), count)
     last = np.cumsum(count)
     start = np.arange(last[-1] if len(last) else 0) - np.repeat(last - count, count) + np.repeat(offsets[:-1], count)
-    key, wide = np.zeros(len(start), U64), np.concatenate([code, np.zeros(width, U64)])
-    short = lens[doc] < width
+    key, taken = np.zeros(len(start), U64), np.zeros(len(start), np.int64)
+    code, both = np.concatenate([text.code, np.zeros(width, U64)]), np.concatenate([text.both, np.zeros(width, bool)])
     for k in range(width):
-        word = wide[start + k]
-        if short.any():
-            word = np.where(k < np.minimum(lens[doc], width), word, U64(0))
-        key = key * U64(0x9E3779B97F4A7C15) + word
-    return mix(key), start, doc
+        inside = start + k < offsets[1:][doc]
+        alt = np.flatnonzero(both[start + k] & inside)
+        key = key * U64(0x9E3779B97F4A7C15)
+        named, key = key[alt] + SLOT_NAME, key + np.where(inside, code[start + k], U64(0))
+        key, taken = np.concatenate([key, named]), np.concatenate([taken, taken[alt] | 1 << k])
+        start, doc = np.concatenate([start, start[alt]]), np.concatenate([doc, doc[alt]])
+    return mix(key), start, doc, taken
 
 
-def _slots(slot: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> pa.Array:
-    wide = np.concatenate([slot, np.zeros(width, U64)])
-    table = np.stack([np.where(start + k < end, wide[start + k], U64(0)) for k in range(width)], axis=1) if len(start) else np.zeros((0, width), U64)
+def _slots(text: Canonical, start: np.ndarray, end: np.ndarray, taken: np.ndarray, width: int) -> pa.Array:
+    slot, value = (np.concatenate([x, np.zeros(width, U64)]) for x in (text.slot, text.value))
+    own = lambda k: np.where(taken >> k & 1 == 1, value[start + k], slot[start + k])
+    table = np.stack([np.where(start + k < end, own(k), U64(0)) for k in range(width)], axis=1) if len(start) else np.zeros((0, width), U64)
     return lists(np.arange(len(start) + 1) * width, pa.array(signed(table.reshape(-1))))
 
 
-def _windowing(width: int, shared=None):
-    """``shared``: a broadcast of the filter's words; only windows that it has come out."""
+def _windowing(width: int, lexicon, shared=None):
+    """``lexicon``: a broadcast; ``shared``: one of the filter's words, for texts: only windows that it has come out."""
 
     def run(batches):
         bits = shared.value if shared is not None else None
-        for batch in pieces(batches):
-            code, slot, offsets = canonical(text_column(batch))
-            keys, start, doc = windows(code, offsets, width)
+        for batch in pieces(batches, limit=1 << 20):
+            text = canonical(text_column(batch), lexicon.value, bits is None)
+            keys, start, doc, taken = windows(text, width)
             if bits is not None:
                 for shift in (0, FILTER_BITS):
                     at = (keys >> U64(shift)) & U64((1 << FILTER_BITS) - 1)
                     hit = (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-                    keys, start, doc = keys[hit], start[hit], doc[hit]
+                    keys, start, doc, taken = keys[hit], start[hit], doc[hit], taken[hit]
             own = batch.column("id").take(pa.array(doc))
-            yield pa.record_batch({"id": own, "win": pa.array(signed(keys)), "slots": _slots(slot, start, offsets[1:][doc], width)})
+            yield pa.record_batch({"id": own, "win": pa.array(signed(keys)), "slots": _slots(text, start, text.offsets[1:][doc], taken, width)})
 
     return run
 
 
+def _lexicon(benchmark: DataFrame) -> Lexicon:
+    """From two passes over the items: their names decide which words at sentence starts are names too."""
+    nothing = np.zeros(0, U64)
+
+    def of(known, kinds):
+        def run(batches):
+            for batch in pieces(batches):
+                text = canonical(text_column(batch), known)
+                named, literal = text.code == SLOT_NAME, text.code == text.value
+                for kind, own in enumerate((text.lower, text.value[named], text.value[literal])):
+                    own = np.unique(own)
+                    yield pa.record_batch({"kind": pa.array(np.full(len(own), kind, np.int32)), "word": pa.array(signed(own))})
+
+        rows = benchmark.select("text").mapInArrow(run, "kind int, word long").distinct().toArrow()
+        kind, word = rows.column("kind").to_numpy(), rows.column("word").to_numpy().view(U64)
+        return [np.sort(word[kind == k]) for k in kinds]
+
+    lower, names = of(None, (0, 1))
+    return Lexicon(lower, *of(Lexicon(lower, names, nothing), (1, 2)))
+
+
 _WINDOWS = "id long, win long, slots array<long>"
 
 
@@ -154,9 +233,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: Params | None = None) -
     """doc_id, item_id, n_windows, containment and slot_agreement of each contaminated text and item."""
     p = params or Params()
     spark = prepare(docs.sparkSession)
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window), _WINDOWS))
+    lexicon = spark.sparkContext.broadcast(_lexicon(benchmark))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window, lexicon), _WINDOWS))
     shared = spark.sparkContext.broadcast(_filter(items))
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window, shared), _WINDOWS)
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window, lexicon, shared), _WINDOWS)
     # repeats within a text count: they tell how often the item occurs in it
     mine = found.groupBy("id", "win", "slots").agg(F.count("*").alias("times"))
     bench = items.select(F.col("id").alias("item_id"), "win", F.col("slots").alias("item_slots")).distinct()

@@ -142,6 +142,17 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_find_names_at_sentence_starts_and_in_any_case(spark):
+    tom, bea = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?", "Beatrix walked 7 miles to the shop. How far is the shop from her old house?"
+    bench = spark.createDataFrame([(1, tom), (2, bea)], "item_id long, text string")
+    texts = [
+        (1, "And so, " + tom.replace("Tom", "Anna") + " Nobody knows."), (2, tom.lower()), (3, tom.upper()), (4, tom.lower().replace("tom", "anna").replace("3", "8")), (5, tom),
+        (6, bea.replace("Beatrix", "Carl").replace("7", "9")), (7, bea.upper()), (8, bea.lower()), (9, "Tom bought some apples. How many did he have? Nobody knows how many apples Tom has."), (10, "SOME OTHER WORDS OF A TEXT IN CAPITALS. HOW MANY? " * 3),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {*((i, 1) for i in range(1, 6)), *((i, 2) for i in range(6, 9))}
+
+
 def test_gif_decoder():
     gif, samples = gif_media, bytes(range(256)) * 40 + b"a" * 9000
     coded = gif.lzw_encode(samples)
