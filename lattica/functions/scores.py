@@ -171,9 +171,9 @@ class HistogramQuantileAffinity(_Leaf):
 
 
 class MeanMaxKAffinity(_Leaf):
-    """Mean of the k largest affinities."""
+    """Mean of the k largest affinities; of a union it can be above that of both parts."""
 
-    needs = frozenset({"values"})
+    needs, between = frozenset({"values"}), False
 
     def __init__(self, k: int):
         self.k = int(k)

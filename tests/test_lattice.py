@@ -190,3 +190,11 @@ def test_score_generator_gives_snapshots(spark):
     for f, r in set(zip(frag.reshape(-1).tolist(), rough.reshape(-1).tolist())):
         have.setdefault(r, set()).add(f)
     assert {frozenset(v) for k, v in have.items() if k} == want
+
+
+def test_mean_of_largest_merges_over_the_whole_graph(spark):
+    score = scores.parse("OneMinus<MeanMaxKAffinity<G, 3, V>>")
+    values = {(1, 2): [0.95], (1, 3): [0.9, 0.1, 0.1], (2, 3): [0.9, 0.1, 0.1]}
+    stats = spark.createDataFrame([(u, v, len(x), x) for (u, v), x in values.items()], "u long, v long, cnt long, values array<double>")
+    roots = {r["a"]: r["c"] for r in merge.exact(stats, [0.5], score).where("kind = 'parent'").collect()}
+    assert roots == {1: 1, 2: 1, 3: 1}
