@@ -186,9 +186,21 @@ def region_graph_after(merged: DataFrame, stats: DataFrame, threshold: float, sc
     own = merged.where((F.col("kind") == "edge") & (F.col("threshold") == threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"), "cnt", "score")
     up = merged.where((F.col("kind") == "parent") & (F.col("threshold") == threshold)).select("a", F.col("c").alias("root"), "component")
     ends = stats.join(up.withColumnsRenamed({"a": "u", "root": "ru", "component": "cu"}), "u", "left").join(up.withColumnsRenamed({"a": "v", "root": "rv", "component": "cv"}), "v", "left")
-    between = ends.where("cu is null or cv is null or cu <> cv").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b"), "cnt", "sum")
-    merged_between = between.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "cnt", "sum").groupBy("u", "v").agg(F.sum("cnt").alias("cnt"), F.sum("sum").alias("sum"))
-    return own.unionByName(merged_between.select("u", "v", "cnt", score.column().alias("score"))) if score.needs <= {"sum", "cnt"} else own
+    between = ends.where("cu is null or cv is null or cu <> cv").withColumns({"a": F.coalesce("ru", "u"), "b": F.coalesce("rv", "v")})
+    makers = {"sum": F.sum("sum"), "min": F.min("min"), "max": F.max("max"), "values": F.flatten(F.collect_list("values")), "maxima": F.collect_list(F.array_max("values"))}
+    needs = [*sorted(score.needs - {"cnt"}), *(["maxima"] if "values" in score.needs else [])]
+    if not set(needs) <= makers.keys():  # such scores are merged as one component
+        return own
+    merged_between = between.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("cnt").alias("cnt"), *(makers[n].alias(n) for n in needs))
+    if "values" not in score.needs:
+        return own.unionByName(merged_between.select("u", "v", "cnt", score.column().alias("score")))
+
+    def run(batches):  # the column of a score over values is that of an initial edge
+        for batch in batches:
+            scored = pa.array([score.value(e) for e in batch.to_pylist()], pa.float64())
+            yield pa.record_batch([*(batch.column(c) for c in ("u", "v", "cnt")), scored], names=["u", "v", "cnt", "score"])
+
+    return own.unionByName(merged_between.mapInArrow(run, "u long, v long, cnt long, score double"))
 
 
 def frozen(edges: DataFrame, threshold_bytes: float) -> DataFrame:

@@ -198,3 +198,16 @@ def test_mean_of_largest_merges_over_the_whole_graph(spark):
     stats = spark.createDataFrame([(u, v, len(x), x) for (u, v), x in values.items()], "u long, v long, cnt long, values array<double>")
     roots = {r["a"]: r["c"] for r in merge.exact(stats, [0.5], score).where("kind = 'parent'").collect()}
     assert roots == {1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("text", ["OneMinus<MinAffinity<G, V>>", "OneMinus<MaxAffinity<G, V>>", "OneMinus<QuantileAffinity<G, 50, V, true>>", "OneMinus<QuantileAffinity<G, 50, V, false>>", "OneMinus<MeanAffinity<G, V>>"])
+def test_region_graph_has_edges_between_components_for_every_score(spark, text):
+    score = scores.parse(text)
+    values = {(1, 2): [0.9, 0.95], (3, 4): [0.8, 0.9], (1, 3): [0.1, 0.3], (2, 4): [0.2], (4, 5): [0.4, 0.05, 0.1]}
+    rows = [(u, v, len(x), sum(x), min(x), max(x), x) for (u, v), x in values.items()]
+    stats = spark.createDataFrame(rows, "u long, v long, cnt long, sum double, min double, max double, values array<double>").select("u", "v", *sorted(score.needs | {"cnt"}))
+    kernel = merge.Kernel([{"u": u, "v": v, "cnt": n, "sum": s, "min": a, "max": b, "values": x, "maxima": [b]} for u, v, n, s, a, b, x in rows], score)
+    list(kernel.until(0.5))
+    want = sorted((u, v, e["cnt"], round(kernel._score(u, v, e), 9)) for u, v, e in kernel.live())
+    got = merge.region_graph_after(merge.exact(stats, [0.5], score), stats, 0.5, score).collect()
+    assert len(want) == 2 and sorted((r["u"], r["v"], r["cnt"], round(r["score"], 9)) for r in got) == want
