@@ -2,30 +2,84 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.session import cut
 
 
+PIECE = 1 << 18  # edges that one task contracts at once
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each node's component, for edges between places 0 .. n - 1."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def _contract(batches):
+    """Edges of a piece as (node, least node of its component in the piece); up to ``PIECE`` of them at once."""
+    held: list[list[np.ndarray]] = [[], []]
+    size = 0
+
+    def put():
+        u, v = (np.concatenate(x) for x in held)
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = names[local_components(len(names), at[: len(u)], at[len(u) :])]
+        moved = root != names
+        return pa.record_batch({"u": pa.array(names[moved]), "v": pa.array(root[moved])})
+
+    for batch in batches:
+        for x, c in zip(held, ("u", "v")):
+            x.append(batch.column(c).to_numpy())
+        size += batch.num_rows
+        if size >= 2 * PIECE:
+            yield put()
+            held, size = [[], []], 0
+    if size:
+        yield put()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the least node of its component) of every node that has an edge to another.
 
-    Alternating large-star and small-star steps: each is a grouped minimum and a join on
-    the node, so skewed hubs are pre-aggregated and their join is split by AQE.  Every
-    step is written to the checkpoint folder; the loop ends when a step changes nothing.
+    Edges are first contracted piece by piece, ``PIECE`` edges in a task: a graph of one
+    piece is done then.  Others go on by alternating large-star and small-star steps: each
+    is a grouped minimum and a join on the node, so skewed hubs are pre-aggregated and
+    their join is split by AQE.  Every step is written to the checkpoint folder, in as
+    many files as there are pieces; the loop ends when a step changes nothing.
     Nulls and self-loops are left out; repeated edges count once.
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = cut(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    while mark[0]:
+    edges = cut(known.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct())
+    n = edges.count()
+    pieces = -(-n // PIECE)
+    if n:
+        edges = cut(edges.coalesce(pieces).mapInArrow(_contract, "u long, v long"))
+        # a piece that stays within its bounds comes out whole: each node once, with its root
+        whole = pieces == 1
+        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while n and not whole:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct().coalesce(max(pieces, 1)))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.operators.components import components, label
-from lattica.operators.flow import corners, flow, flow_edges, reciprocal_edges
+from lattica.operators.flow import clear_slab_faces, corners, flow, flow_edges, reciprocal_edges
 from lattica.schemas import Shape
 from lattica.session import cut
 
@@ -20,32 +19,42 @@ def plateaus(bits: DataFrame, shape: Shape) -> DataFrame:
     return components(reciprocal_edges(bits, shape)).select(F.col("node").alias("vox"), "root")
 
 
-def drain(cells: list[int], bits: list[int], outlets: list[bool], steps: list[int]) -> list[int]:
-    """One plateau's cells with a single way out each.
+def emptied(bits: np.ndarray, near: np.ndarray, mutual: np.ndarray, outlet: np.ndarray) -> np.ndarray:
+    """Cells with a single way out each, for all plateaus among the cells at once.
 
-    Water leaves first from the outlets, in the order of their numbers, and the plateau
-    is emptied breadth first from there.  A cell passes the turn on to the neighbours that
-    still exchange with it and aren't waiting, and keeps the last of the directions whose
-    neighbour doesn't flow back *at that moment*; a cell emptied before counts as such, so
-    the order is part of the result.
+    Cells are in order of their numbers; ``near`` has their six neighbours' places, ``mutual``
+    tells where both point at each other.  Water reaches the cells breadth first from the
+    outlets: a frontier's neighbours join the next one in the order of the first cell, then
+    direction, that reaches them.  A reached cell keeps the last of its directions that leads
+    off the plateau or to a cell reached before it.  Cells never reached keep all.
     """
-    now = dict(zip(cells, bits))
-    turn = deque(sorted(c for c, out in zip(cells, outlets) if out))
-    waiting = set(turn)
-    while turn:
-        cell = turn.popleft()
-        kept = 0
-        for d in range(6):
-            if now[cell] >> d & 1:
-                there = cell + steps[d]
-                if now.get(there, 0) >> (d + 3) % 6 & 1:
-                    if there not in waiting:
-                        waiting.add(there)
-                        turn.append(there)
-                else:
-                    kept = 1 << d
-        now[cell] = kept
-    return [now[c] for c in cells]
+    rank = np.full(len(bits), -1, dtype=np.int64)
+    front, reached = np.flatnonzero(outlet), 0
+    while len(front):
+        rank[front] = reached + np.arange(len(front))
+        reached += len(front)
+        there = near[front][mutual[front]]  # row by row, so in order of cell and direction
+        there = there[rank[there] < 0]
+        found, first = np.unique(there, return_index=True)
+        front = found[np.argsort(first)]
+    wet = np.flatnonzero(rank >= 0)
+    points = (bits[wet, None] >> np.arange(6)) & 1 == 1
+    other = np.where(mutual[wet], rank[near[wet]], -1)
+    leaves = points & (~mutual[wet] | (other >= 0) & (other < rank[wet, None]))
+    out = bits.copy()
+    out[wet] = 1 << (5 - np.argmax(leaves[:, ::-1], axis=1))
+    return out
+
+
+def plateau_emptied(vox: np.ndarray, bits: np.ndarray, outlet: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole plateaus' cells in any order: cells by number, what they keep, and their neighbours' numbers."""
+    order = np.argsort(vox, kind="stable")
+    vox, bits, outlet = vox[order], bits[order].astype(np.int64), outlet[order].astype(bool)
+    target = vox[:, None] + steps
+    near = np.minimum(np.searchsorted(vox, target), len(vox) - 1)
+    points = (bits[:, None] >> np.arange(6)) & 1 == 1
+    mutual = points & (vox[near] == target) & ((bits[near] >> ((np.arange(6) + 3) % 6)) & 1 == 1)
+    return vox, emptied(bits, near, mutual, outlet), target
 
 
 def divide(bits: DataFrame, shape: Shape) -> DataFrame:
@@ -57,13 +66,13 @@ def divide(bits: DataFrame, shape: Shape) -> DataFrame:
     """
     bits = cut(bits)
     roots = plateaus(bits, shape)
-    steps = [*(-s for s in shape.strides), *shape.strides]
+    steps = np.array([*(-s for s in shape.strides), *shape.strides])
     out = corners(bits, shape).withColumn("outlet", F.lit(True))
     cells = cut(bits.join(out, "vox", "left").join(roots, "vox", "left").select("vox", "bits", F.coalesce("outlet", F.lit(False)).alias("outlet"), "root"))
 
     def run(key, group):
-        cells, own, outlet = (group.column(c).to_pylist() for c in ("vox", "bits", "outlet"))
-        return pa.table({"vox": pa.array(cells, pa.int64()), "bits": pa.array(drain(cells, own, outlet, steps), pa.int32())})
+        cells, kept, _ = plateau_emptied(*(group.column(c).to_numpy(zero_copy_only=False) for c in ("vox", "bits", "outlet")), steps)
+        return pa.table({"vox": pa.array(cells), "bits": pa.array(kept.astype(np.int32))})
 
     drained = cells.where("root is not null").join(cells.where("root is not null and outlet").select("root").distinct(), "root", "left_semi").groupBy("root").applyInArrow(run, "vox long, bits int")
     closed = cells.where("root is not null").join(cells.where("root is not null and outlet").select("root").distinct(), "root", "left_anti").select("vox", "bits")
@@ -103,10 +112,15 @@ def components_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("_v")).unionAll(edges.select(F.col("b").alias("_v"))).distinct()
 
 
-def watershed(lattice: DataFrame, shape: Shape, low: float, high: float, tie_flip: bool = False, coarse: float | None = None, slab: int | None = None) -> DataFrame:
-    """Fragments of a lattice.  With ``slab`` flow doesn't cross slabs of that many planes."""
-    from lattica.operators.flow import clear_slab_faces
+def watershed(lattice: DataFrame, shape: Shape, low: float, high: float, tie_flip: bool = False, coarse: float | None = None, slab: int | None = None, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """Fragments of a lattice, block by block.  With ``slab`` flow doesn't cross slabs of that many planes."""
+    from lattica.operators import blocks
+
+    return blocks.watershed(lattice, shape, low, high, tie_flip, coarse, slab, tile or blocks.TILE)
 
+
+def watershed_relational(lattice: DataFrame, shape: Shape, low: float, high: float, tie_flip: bool = False, coarse: float | None = None, slab: int | None = None) -> DataFrame:
+    """The same by joins and aggregates over single cells, without blocks."""
     bits = flow(lattice, shape, low, high, tie_flip, coarse)
     if slab:
         bits = clear_slab_faces(bits, shape, slab)
@@ -129,3 +143,14 @@ def sizes(frags: DataFrame) -> DataFrame:
 def summary(frags: DataFrame) -> DataFrame:
     """n_fragments (distinct), max_id and background."""
     return frags.agg(F.countDistinct(F.when(F.col("frag") != 0, F.col("frag"))).alias("n_fragments"), F.coalesce(F.max("frag"), F.lit(0)).alias("max_id"), F.count_if(F.col("frag") == 0).alias("background"))
+
+
+def size_histogram(sizes: DataFrame, column: str = "size") -> DataFrame:
+    """bin and n: how many sizes lie in [2^bin, 2^(bin + 1))."""
+    return sizes.groupBy(F.floor(F.log2(column)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def flow_summary(bits: DataFrame) -> DataFrame:
+    """Cells without a direction, with one, and with several."""
+    n = F.bit_count("bits")
+    return bits.agg(F.count_if(n == 0).alias("none"), F.count_if(n == 1).alias("one"), F.count_if(n > 1).alias("several"))
