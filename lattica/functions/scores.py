@@ -2,7 +2,8 @@
 
 An expression gives a Spark column over a table of edge statistics (``column``), a plain
 number inside the merge kernel (``value``), and the statistics it needs (``needs``).
-Statistics: cnt, sum, min, max, size_u, size_v (numbers) and values (affinities).
+Statistics: cnt, sum, min, max, size_u, size_v (numbers), levels (sorted affinities ``a``, each
+with its count ``n``: at most 256 for bytes) and those of registered providers.
 ``parse`` reads the nested template notation, e.g. ``OneMinus<MeanAffinity<G, V>>``;
 type arguments that aren't expressions or integers are passed over.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,6 +23,33 @@ from pyspark.sql import functions as F
 SMALLEST, LARGEST = 1.1754943508222875e-38, 3.4028234663852886e38  # of float32
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A statistic of one's own over the affinities of an edge.
+
+    ``aggregate`` gives the column over grouped contacts (of their ``aff``, an affinity in
+    [0, 1]), ``merge`` the statistic of two merged edges.
+    """
+
+    name: str
+    aggregate: Callable[[Column], Column]
+    merge: Callable[[object, object], object]
+
+
+PROVIDERS: dict[str, Provider] = {}
+
+
+def provide(provider: Provider) -> Score:
+    """Register a statistic; the score that reads it.  Such scores merge over the whole graph."""
+    if provider.name in BUILT_IN:
+        raise ValueError(f"{provider.name} is a statistic already")
+    PROVIDERS[provider.name] = provider
+    return Statistic(provider.name)
+
+
+BUILT_IN = ("cnt", "sum", "min", "max", "levels", "maxima", "size_u", "size_v")
+
+
 class Score:
     needs: frozenset[str] = frozenset()
     #: Merged statistics stay between those of the parts, so merging can go component by component.
@@ -125,31 +154,58 @@ class ContactArea(_Leaf):
         return float(s["cnt"])
 
 
+def _nth(levels: Column, at: Column) -> Column:
+    """The affinity at a place (from 0) of the sorted affinities that levels stand for."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), none.alias("a"))
+
+    def step(acc, x):
+        seen = acc["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.when(acc["a"].isNull() & (seen > at), x["a"]).otherwise(acc["a"]).alias("a"))
+
+    return F.aggregate(levels, start, step, lambda acc: acc["a"])
+
+
+def _total(levels: Column) -> Column:
+    return F.aggregate(levels, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+
+def _place(counts: dict, at: int):
+    for a in sorted(counts):
+        at -= counts[a]
+        if at < 0:
+            return a
+    return None
+
+
 class QuantileAffinity(_Leaf):
     """The value at place q * n / 100 (rounded down, at most n - 1) of the sorted affinities.
 
     With ``init_max`` an initial edge counts with its largest affinity only.
     """
 
-    needs = frozenset({"values"})
+    needs = frozenset({"levels"})
 
     def __init__(self, q: int, init_max: bool = True):
         self.q, self.init_max = int(q), bool(int(init_max))
 
     def column(self):
-        values = F.array(F.array_max("values")) if self.init_max else F.sort_array("values")
-        n = F.size(values)
-        return F.element_at(values, F.least(F.floor(n * self.q / 100), n - 1).cast("int") + 1).cast("double")
+        levels = F.col("levels")
+        if self.init_max:
+            return F.array_max(levels)["a"].cast("double")
+        n = _total(levels)
+        return _nth(levels, F.least(F.floor(n * self.q / 100), n - 1))
 
     def value(self, s):
-        values = sorted(s["maxima"] if self.init_max else s["values"])
-        return values[min(len(values) - 1, self.q * len(values) // 100)]
+        counts = s["maxima" if self.init_max else "levels"]
+        n = sum(counts.values())
+        return _place(counts, min(n - 1, self.q * n // 100))
 
 
 class HistogramQuantileAffinity(_Leaf):
     """The quantile of binned affinities, as a bin's middle; q = 100 lies past the last bin."""
 
-    needs = frozenset({"values"})
+    needs = frozenset({"levels"})
 
     def __init__(self, q: int, bins: int = 256, init_max: bool = True):
         self.q, self.bins, self.init_max = int(q), int(bins), bool(int(init_max))
@@ -158,50 +214,62 @@ class HistogramQuantileAffinity(_Leaf):
         return min(int(v * self.bins), self.bins - 1)
 
     def column(self):
-        values = F.array(F.array_max("values")) if self.init_max else F.sort_array("values")
-        n = F.size(values)
-        at = F.floor(n * self.q / 100).cast("int")
-        chosen = F.least(F.floor(F.element_at(values, F.least(at, n - 1) + 1) * self.bins), F.lit(self.bins - 1))
+        levels = F.col("levels")
+        n = F.lit(1) if self.init_max else _total(levels)
+        at = F.floor(n * self.q / 100)
+        value = F.array_max(levels)["a"] if self.init_max else _nth(levels, F.least(at, n - 1))
+        chosen = F.least(F.floor(value * self.bins), F.lit(self.bins - 1))
         return (F.when(at >= n, self.bins).otherwise(chosen) + 0.5) / self.bins
 
     def value(self, s):
-        bins = sorted(self._bin(v) for v in (s["maxima"] if self.init_max else s["values"]))
-        at = self.q * len(bins) // 100
-        return ((bins[at] if at < len(bins) else self.bins) + 0.5) / self.bins
+        counts = s["maxima" if self.init_max else "levels"]
+        at = _place(counts, self.q * sum(counts.values()) // 100)
+        return ((self.bins if at is None else self._bin(at)) + 0.5) / self.bins
 
 
 class MeanMaxKAffinity(_Leaf):
     """Mean of the k largest affinities; of a union it can be above that of both parts."""
 
-    needs, between = frozenset({"values"}), False
+    needs, between = frozenset({"levels"}), False
 
     def __init__(self, k: int):
         self.k = int(k)
 
     def column(self):
-        top = F.slice(F.sort_array("values", False), 1, self.k)
-        return F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
+
+        def step(acc, x):
+            take = F.least(x["n"], F.lit(self.k) - acc["n"])
+            return F.struct((acc["n"] + take).alias("n"), (acc["sum"] + take * x["a"]).alias("sum"))
+
+        return F.aggregate(F.reverse("levels"), start, step, lambda acc: acc["sum"] / acc["n"])
 
     def value(self, s):
-        top = sorted(s["values"], reverse=True)[: self.k]
-        return sum(top) / len(top)
+        left, total = self.k, 0.0
+        for a in sorted(s["levels"], reverse=True):
+            take = min(left, s["levels"][a])
+            left, total = left - take, total + take * a
+        return total / (self.k - left)
 
 
 class Random(_Leaf):
-    """A number in [0, 1) for each edge and seed; the same for the same pair of nodes."""
+    """A number in [0, 1) for each edge and seed, by multiplications modulo 2^31 - 1; the same in any plan."""
 
     between = False
+    MODULUS = (1 << 31) - 1
 
     def __init__(self, seed: int = 0):
         self.seed = int(seed)
 
     def column(self):
-        return F.pmod(F.xxhash64("u", "v", F.lit(self.seed)), F.lit(1 << 30)) / float(1 << 30)
+        m = F.lit(self.MODULUS).cast("long")
+        x = F.pmod(F.pmod(F.col("u"), m) * 48271 + F.pmod(F.col("v"), m) * 69621 + F.lit(self.seed * 16807 + 11).cast("long"), m)
+        return F.pmod(F.pmod(x * 48271, m) * 69621, m) / self.MODULUS
 
     def value(self, s):
-        import hashlib
-
-        return int.from_bytes(hashlib.sha1(f"{s['u']} {s['v']} {self.seed}".encode()).digest()[:4], "big") / 2**32
+        m = self.MODULUS
+        x = (s["u"] % m * 48271 + s["v"] % m * 69621 + self.seed * 16807 + 11) % m
+        return x * 48271 % m * 69621 % m / m
 
 
 class Constant(_Leaf):

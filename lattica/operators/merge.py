@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.functions.scores import DEFAULT, MeanAffinity, OneMinus, Score, _Unary
+from lattica.functions.scores import DEFAULT, PROVIDERS, MeanAffinity, OneMinus, Score, _Unary
 from lattica.operators.components import components, compress
 from lattica.operators.graph import contract, contract_rows
 from lattica.session import cut
@@ -35,8 +35,10 @@ def monotone(score: Score) -> bool:
 class Kernel:
     """Exact merging of one component's edges, resumable over rising score thresholds."""
 
-    def __init__(self, edges: list[dict], score: Score, queue_bins: int = 0):
+    def __init__(self, edges: list[dict], score: Score, queue_bins: int = 0, events: bool = False, providers: dict | None = None):
         self.score, self.bins = score, queue_bins
+        self.events: list[tuple] | None = [] if events else None
+        self.providers = PROVIDERS if providers is None else providers
         self.parent: dict[int, int] = {}
         self.size: dict[int, int] = {}
         self.near: dict[int, dict[int, dict]] = {}
@@ -61,29 +63,39 @@ class Kernel:
         heapq.heappush(self.heap, (key, min(u, v), max(u, v), e["version"], s))
 
     def until(self, threshold: float):
-        """Merge while the best score is below the threshold; yield (step, a, b, survivor, score)."""
+        """Merge while the best score is below the threshold; yield (step, a, b, survivor, score).
+
+        Every merge is told as (step, u, v, survivor, score); edges that wait in a bin with
+        some below the threshold go back to the queue for the next one.
+        """
+        late = []
         while self.heap:
             _, u, v, version, s = self.heap[0]
             e = self.near.get(u, {}).get(v)
             if e is None or e["version"] != version:
                 heapq.heappop(self.heap)
+                self.note("deleted" if e is None else "stale", u, v, s)
                 continue
             if s >= threshold:
-                if not self.bins:
-                    return
-                if self.heap[0][0] > int(threshold * self.bins):
-                    return
+                if not self.bins or self.heap[0][0] > min(self.bins - 1, int(threshold * self.bins)):
+                    break
                 heapq.heappop(self.heap)
-                self.late = [*getattr(self, "late", []), (u, v, e)]
+                late.append((u, v, e))
                 continue
             heapq.heappop(self.heap)
+            self.note("pop", u, v, s)
             yield self.step, u, v, u, s
             self.step += 1
             self._merge(u, v)
-        for u, v, e in self.__dict__.pop("late", []):
+        for u, v, e in late:
             if self.near.get(u, {}).get(v) is e:
                 self._push(u, v, e)
 
+    def note(self, what: str, u: int, v: int, score: float) -> None:
+        """Keep what happened at the queue, where asked for."""
+        if self.events is not None:
+            self.events.append((what, self.step, u, v, score))
+
     def _merge(self, u: int, v: int) -> None:
         self.parent[v] = u
         self.size[u] += self.size[v]
@@ -99,9 +111,12 @@ class Kernel:
                 for name, how in (("cnt", sum), ("sum", sum), ("min", min), ("max", max)):
                     if name in kept:
                         kept[name] = how((kept[name], e[name]))
-                for name in ("values", "maxima"):
+                for name in ("levels", "maxima"):
                     if name in kept:
-                        kept[name] = [*kept[name], *e[name]]
+                        kept[name] = {a: kept[name].get(a, 0) + e[name].get(a, 0) for a in kept[name] | e[name]}
+                for name, provider in self.providers.items():
+                    if name in kept:
+                        kept[name] = provider.merge(kept[name], e[name])
                 kept["version"] = max(kept["version"], e["version"])
             kept["version"] += 1
             self.near[u][w] = other[u] = kept
@@ -121,16 +136,26 @@ class Kernel:
                     yield u, v, e
 
 
+def _edge(row: dict) -> dict:
+    """An edge's statistics as the kernel merges them: levels as a count for each affinity."""
+    if "levels" in row:
+        row["levels"] = {x["a"]: x["n"] for x in row["levels"]}
+        row["maxima"] = {max(row["levels"]): 1}
+    return row
+
+
 _OUT = "kind string, component long, threshold double, step long, a long, b long, c long, score double, cnt long"
 _OUT_ARROW = pa.schema([("kind", pa.string()), ("component", pa.int64()), ("threshold", pa.float64()), ("step", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("score", pa.float64()), ("cnt", pa.int64())])
 
 
-def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT, queue_bins: int = 0) -> DataFrame:
+def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT, queue_bins: int = 0, events: bool = False) -> DataFrame:
     """Merge edges with statistics (u, v, cnt, ...) at score thresholds, lowest first.
 
     Rows by ``kind``: parent (a = fragment, c = its root at the threshold), merge (step, a
-    and b into c at a score), edge (a, b, score and cnt of the graph after the threshold).
-    The result is written once, since its parts are read apart.
+    and b into c at a score), edge (a, b, score and cnt of the graph after the threshold);
+    with ``events`` also pop, deleted and stale (step, a, b, score): what the queue gave up
+    to be merged, and entries whose edge was gone or had changed.  The result is written
+    once, since its parts are read apart.
     """
     order = sorted(float(t) for t in thresholds)
     stats = cut(stats)
@@ -143,12 +168,11 @@ def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT,
     else:
         grouped = stats.withColumn("component", F.lit(0).cast("long"))
 
+    own = {n: PROVIDERS[n] for n in score.needs if n in PROVIDERS}  # registered here, not in the workers
+
     def run(key, group):
-        edges = group.drop_columns(["component"]).to_pylist()
-        for e in edges:
-            if "values" in e:
-                e["maxima"] = [max(e["values"])]
-        kernel = Kernel(edges, score, queue_bins)
+        edges = [_edge(e) for e in group.drop_columns(["component"]).to_pylist()]
+        kernel = Kernel(edges, score, queue_bins, events, own)
         comp, rows = key[0].as_py(), []
 
         def add(kind, threshold, step=None, a=None, b=None, c=None, s=None, cnt=None):
@@ -157,6 +181,9 @@ def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT,
         for t in order:
             for step, a, b, c, s in kernel.until(t):
                 add("merge", t, step, a, b, c, s)
+            for what, step, a, b, s in kernel.events or ():
+                add(what, t, step, a, b, s=s)
+            kernel.events = [] if events else None
             for n in kernel.parent:
                 add("parent", t, a=n, c=kernel.root(n))
             for u, v, e in kernel.live():
@@ -173,11 +200,9 @@ def merge_history(merged: DataFrame) -> DataFrame:
 
 def parents_of(merged: DataFrame, frags: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """threshold, frag and root of every fragment; those that no merge concerns are their own."""
-    spark = frags.sparkSession
     levels = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
     all_ = frags.where("frag <> 0").select("frag").distinct().select(levels, "frag")
     found = merged.where("kind = 'parent'").select("threshold", F.col("a").alias("frag"), F.col("c").alias("root"))
-    del spark
     return all_.join(found, ["threshold", "frag"], "left").select("threshold", "frag", F.coalesce("root", "frag").alias("root"))
 
 
@@ -187,20 +212,29 @@ def region_graph_after(merged: DataFrame, stats: DataFrame, threshold: float, sc
     up = merged.where((F.col("kind") == "parent") & (F.col("threshold") == threshold)).select("a", F.col("c").alias("root"), "component")
     ends = stats.join(up.withColumnsRenamed({"a": "u", "root": "ru", "component": "cu"}), "u", "left").join(up.withColumnsRenamed({"a": "v", "root": "rv", "component": "cv"}), "v", "left")
     between = ends.where("cu is null or cv is null or cu <> cv").withColumns({"a": F.coalesce("ru", "u"), "b": F.coalesce("rv", "v")})
-    makers = {"sum": F.sum("sum"), "min": F.min("min"), "max": F.max("max"), "values": F.flatten(F.collect_list("values")), "maxima": F.collect_list(F.array_max("values"))}
-    needs = [*sorted(score.needs - {"cnt"}), *(["maxima"] if "values" in score.needs else [])]
+    makers = {"sum": F.sum("sum"), "min": F.min("min"), "max": F.max("max")}
+    needs = sorted(score.needs - {"cnt", "levels"})
     if not set(needs) <= makers.keys():  # such scores are merged as one component
         return own
-    merged_between = between.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("cnt").alias("cnt"), *(makers[n].alias(n) for n in needs))
-    if "values" not in score.needs:
+    ends = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    merged_between = between.groupBy(*ends).agg(F.sum("cnt").alias("cnt"), *(makers[n].alias(n) for n in needs))
+    if "levels" not in score.needs:
         return own.unionByName(merged_between.select("u", "v", "cnt", score.column().alias("score")))
+    # counts by affinity: all of them, and with an initial edge's largest only
+    each = between.select(*ends, F.explode("levels").alias("x")).groupBy("u", "v", F.col("x.a").alias("a")).agg(F.sum("x.n").alias("n"))
+    tops = between.groupBy(*ends, F.array_max("levels")["a"].alias("a")).agg(F.count("*").alias("n"))
+    gathered = lambda rows, name: rows.groupBy("u", "v").agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias(name))
+    both = merged_between.join(gathered(each, "levels"), ["u", "v"]).join(gathered(tops, "maxima"), ["u", "v"])
 
-    def run(batches):  # the column of a score over values is that of an initial edge
+    def run(batches):  # the column of a score over levels is that of an initial edge
         for batch in batches:
-            scored = pa.array([score.value(e) for e in batch.to_pylist()], pa.float64())
+            rows = batch.to_pylist()
+            for e in rows:
+                e["levels"], e["maxima"] = ({x["a"]: x["n"] for x in e[name]} for name in ("levels", "maxima"))
+            scored = pa.array([score.value(e) for e in rows], pa.float64())
             yield pa.record_batch([*(batch.column(c) for c in ("u", "v", "cnt")), scored], names=["u", "v", "cnt", "score"])
 
-    return own.unionByName(merged_between.mapInArrow(run, "u long, v long, cnt long, score double"))
+    return own.unionByName(both.mapInArrow(run, "u long, v long, cnt long, score double"))
 
 
 def frozen(edges: DataFrame, threshold_bytes: float) -> DataFrame:
@@ -279,17 +313,25 @@ def mutual_best_by_component(edges: DataFrame, threshold_bytes: float) -> DataFr
 # -- (1 + eps) rounds ------------------------------------------------------------------
 
 
-def propose(edges: DataFrame, nodes: DataFrame, level: float, colour_seed: int, seed: int) -> DataFrame:
+def hashed_colour(seed: int):
+    return lambda node: F.xxhash64(node, F.lit(seed)).bitwiseAND(1)
+
+
+def hashed_priority(seed: int):
+    return lambda blue, red: F.xxhash64(blue, red, F.lit(seed)).bitwiseAND(0x7FFFFFFF)
+
+
+def propose(edges: DataFrame, nodes: DataFrame, level: float, colour_of, priority_of) -> DataFrame:
     """blue, red, pri, add and size: each blue node's best red among eligible edges.
 
     ``edges``: u, v, sum_bytes, cnt; ``nodes``: id, size, frozen.  Eligible: mean >= level,
-    ends of different colours, the red one not frozen and at least as large.
+    ends of different colours (1 is red), the red one not frozen and at least as large.
     """
-    colour = lambda c: F.xxhash64(F.col(c), F.lit(colour_seed)).bitwiseAND(1)
-    up = edges.where(F.col("sum_bytes") / F.col("cnt") >= level).withColumns({"cu": colour("u"), "cv": colour("v")}).where("cu <> cv")
+    colour = lambda c: colour_of(F.col(c))
+    up = eligible(edges, level).withColumns({"cu": colour("u"), "cv": colour("v")}).where("cu <> cv")
     sides = up.select(F.when(F.col("cu") == 1, F.col("u")).otherwise(F.col("v")).alias("red"), F.when(F.col("cu") == 1, F.col("v")).otherwise(F.col("u")).alias("blue"))
     sized = sides.join(nodes.select(F.col("id").alias("red"), F.col("size").alias("size"), "frozen"), "red").where("not frozen").join(nodes.select(F.col("id").alias("blue"), F.col("size").alias("add")), "blue").where("size >= add")
-    pri = F.xxhash64("blue", "red", F.lit(seed)).bitwiseAND(0x7FFFFFFF)
+    pri = priority_of(F.col("blue"), F.col("red"))
     best = sized.groupBy("blue").agg(F.max(F.struct(pri.alias("pri"), "red", "size", "add")).alias("b"))
     return best.select("blue", "b.red", "b.pri", "b.add", "b.size")
 
@@ -305,6 +347,26 @@ def accept(proposals: DataFrame, eps: float) -> DataFrame:
     return taken.where(F.col("so_far") <= cap).select(F.col("blue").alias("frag"), F.col("red").alias("root"))
 
 
+def grown(sizes: DataFrame, parents: DataFrame) -> DataFrame:
+    """id and size of what is left after ``parents`` (frag, root) are merged, from rows (id, size)."""
+    moved = sizes.join(parents.withColumnRenamed("frag", "id"), "id", "left")
+    return moved.groupBy(F.coalesce("root", "id").alias("id")).agg(F.sum("size").alias("size"))
+
+
+def overgrown(sizes: DataFrame, before: DataFrame, eps: float) -> DataFrame:
+    """id of nodes that have grown by more than 1 + eps since ``before``: they take no more."""
+    return sizes.join(before.withColumnRenamed("size", "_before"), "id").where(F.col("size") > (1 + eps) * F.col("_before")).select("id")
+
+
+def eligible(edges: DataFrame, level: float) -> DataFrame:
+    """Edges whose live mean is at least ``level``."""
+    return edges.where(F.col("sum_bytes") / F.col("cnt") >= level)
+
+
+def largest_mean(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.max(F.col("sum_bytes") / F.col("cnt")).alias("largest_mean"))
+
+
 def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float], eps: float, most_layers: int = 10_000, most_outer: int = 64, most_inner: int = 64) -> dict[float, DataFrame]:
     """Parents (frag, root) by threshold from rounds over DataFrames, thresholds falling.
 
@@ -318,7 +380,7 @@ def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float]
     mean = F.col("sum_bytes") / F.col("cnt")
     for t in sorted(thresholds_bytes, reverse=True):
         while layer < most_layers:
-            most = edges.agg(F.max(mean)).first()[0]
+            most = largest_mean(edges).first()[0]
             if most is None or most <= t:
                 break
             level, merged_in_layer, done = max(most / (1 + eps), t), 0, False
@@ -333,16 +395,15 @@ def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float]
                         done = True
                         break
                     marked = sizes.withColumn("frozen", F.lit(False)) if frozen_ids is None else sizes.join(frozen_ids, "id", "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))
-                    taken = cut(accept(propose(live, marked, level, 1 + layer * 1000 + outer, 1 + inner * 100 + outer), eps))
+                    taken = cut(accept(propose(live, marked, level, hashed_colour(1 + layer * 1000 + outer), hashed_priority(1 + inner * 100 + outer)), eps))
                     n = taken.count()
                     if not n:
                         break
                     merged_in_outer += n
                     up = cut(taken if up is None else up.unionByName(taken))
                     edges = cut(contract(edges, taken))
-                    grown = sizes.join(taken.withColumnRenamed("frag", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("id")).agg(F.sum("size").alias("size"))
-                    sizes = cut(grown)
-                    frozen_ids = cut(sizes.join(start.withColumnRenamed("size", "before"), "id").where(F.col("size") > (1 + eps) * F.col("before")).select("id", F.lit(True).alias("frozen")))
+                    sizes = cut(grown(sizes, taken))
+                    frozen_ids = cut(overgrown(sizes, start, eps).withColumn("frozen", F.lit(True)))
                 merged_in_layer += merged_in_outer
                 if done:
                     break
@@ -458,4 +519,4 @@ def violations(edges: DataFrame, parents: DataFrame, threshold_bytes: float) ->
     return contract_rows(contract(edges, parents)).where(F.col("sum_bytes") / F.col("cnt") > threshold_bytes)
 
 
-__all__ = ["Kernel", "MeanAffinity", "accept", "approximate", "exact", "frozen", "merge_history", "monotone", "mutual_best", "mutual_best_by_component", "mutual_best_local", "parents_of", "propose", "region_graph_after", "rounds", "rounds_local", "violations"]
+__all__ = ["Kernel", "MeanAffinity", "accept", "approximate", "eligible", "exact", "frozen", "grown", "hashed_colour", "hashed_priority", "largest_mean", "overgrown", "merge_history", "monotone", "mutual_best", "mutual_best_by_component", "mutual_best_local", "parents_of", "propose", "region_graph_after", "rounds", "rounds_local", "violations"]

@@ -133,10 +133,9 @@ def test_scores_parse_and_agree_between_column_and_kernel(spark):
         "QuantileAffinity<G, 75, V, false>", "HistogramQuantileAffinity<G, 50, V, 16, 0>", "MeanMaxKAffinity<G, 2, V>", "Step<MeanAffinity<G>, Constant<0.5>>", "Invert<Add<ContactArea<G>, Constant<1>>>",
     ):
         score = scores.parse(text)
-        stats = {(r["u"], r["v"]): r.asDict() for r in graph.statistics(contacts, {"cnt", "sum", "min", "max", "values", "size_u", "size_v"}, sizes).collect()}
+        stats = {(r["u"], r["v"]): r.asDict(True) for r in graph.statistics(contacts, {"cnt", "sum", "min", "max", "levels", "size_u", "size_v"}, sizes).collect()}
         for r in graph.scored(contacts, score, sizes).collect():
-            own = stats[r["u"], r["v"]]
-            assert r["score"] == pytest.approx(score.value(own | {"maxima": [max(own["values"])]})), text
+            assert r["score"] == pytest.approx(score.value(merge._edge(stats[r["u"], r["v"]]))), text
     with pytest.raises(ValueError):
         scores.parse("Nothing<At>")
 
@@ -192,22 +191,94 @@ def test_score_generator_gives_snapshots(spark):
     assert {frozenset(v) for k, v in have.items() if k} == want
 
 
+def levels(values):
+    return [(v, values.count(v)) for v in sorted(set(values))]
+
+
 def test_mean_of_largest_merges_over_the_whole_graph(spark):
     score = scores.parse("OneMinus<MeanMaxKAffinity<G, 3, V>>")
     values = {(1, 2): [0.95], (1, 3): [0.9, 0.1, 0.1], (2, 3): [0.9, 0.1, 0.1]}
-    stats = spark.createDataFrame([(u, v, len(x), x) for (u, v), x in values.items()], "u long, v long, cnt long, values array<double>")
+    stats = spark.createDataFrame([(u, v, len(x), levels(x)) for (u, v), x in values.items()], "u long, v long, cnt long, levels array<struct<a:double,n:long>>")
     roots = {r["a"]: r["c"] for r in merge.exact(stats, [0.5], score).where("kind = 'parent'").collect()}
     assert roots == {1: 1, 2: 1, 3: 1}
 
 
-@pytest.mark.parametrize("text", ["OneMinus<MinAffinity<G, V>>", "OneMinus<MaxAffinity<G, V>>", "OneMinus<QuantileAffinity<G, 50, V, true>>", "OneMinus<QuantileAffinity<G, 50, V, false>>", "OneMinus<MeanAffinity<G, V>>"])
+@pytest.mark.parametrize("text", ["OneMinus<MinAffinity<G, V>>", "OneMinus<MaxAffinity<G, V>>", "OneMinus<QuantileAffinity<G, 50, V, true>>", "OneMinus<QuantileAffinity<G, 50, V, false>>", "OneMinus<MeanAffinity<G, V>>", "OneMinus<HistogramQuantileAffinity<G, 50, V, 16, 0>>"])
 def test_region_graph_has_edges_between_components_for_every_score(spark, text):
     score = scores.parse(text)
     values = {(1, 2): [0.9, 0.95], (3, 4): [0.8, 0.9], (1, 3): [0.1, 0.3], (2, 4): [0.2], (4, 5): [0.4, 0.05, 0.1]}
-    rows = [(u, v, len(x), sum(x), min(x), max(x), x) for (u, v), x in values.items()]
-    stats = spark.createDataFrame(rows, "u long, v long, cnt long, sum double, min double, max double, values array<double>").select("u", "v", *sorted(score.needs | {"cnt"}))
-    kernel = merge.Kernel([{"u": u, "v": v, "cnt": n, "sum": s, "min": a, "max": b, "values": x, "maxima": [b]} for u, v, n, s, a, b, x in rows], score)
+    rows = [(u, v, len(x), sum(x), min(x), max(x), levels(x)) for (u, v), x in values.items()]
+    stats = spark.createDataFrame(rows, "u long, v long, cnt long, sum double, min double, max double, levels array<struct<a:double,n:long>>").select("u", "v", *sorted(score.needs | {"cnt"}))
+    kernel = merge.Kernel([merge._edge({"u": u, "v": v, "cnt": n, "sum": s, "min": a, "max": b, "levels": [{"a": p, "n": q} for p, q in x]}) for u, v, n, s, a, b, x in rows], score)
     list(kernel.until(0.5))
     want = sorted((u, v, e["cnt"], round(kernel._score(u, v, e), 9)) for u, v, e in kernel.live())
     got = merge.region_graph_after(merge.exact(stats, [0.5], score), stats, 0.5, score).collect()
     assert len(want) == 2 and sorted((r["u"], r["v"], r["cnt"], round(r["score"], 9)) for r in got) == want
+
+
+def sorted_values(values, q):
+    own = sorted(values)
+    return own[min(len(own) - 1, q * len(own) // 100)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_level_statistics_equal_those_of_all_values(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(1, int(v), int(a)) for v, a in zip(rng.integers(2, 6, 200), rng.choice([0, 3, 90, 91, 200, 255], 200))]
+    contacts = spark.createDataFrame(rows, "u long, v long, aff int")
+    of = {v: [a / 255 for _, w, a in rows if w == v] for v in range(2, 6)}
+    for q in (0, 10, 50, 99, 100):
+        got = {r["v"]: r["score"] for r in graph.scored(contacts, scores.QuantileAffinity(q, False)).collect()}
+        assert got == pytest.approx({v: sorted_values(x, q) for v, x in of.items()})
+    for k in (1, 3, 500):
+        got = {r["v"]: r["score"] for r in graph.scored(contacts, scores.MeanMaxKAffinity(k)).collect()}
+        assert got == pytest.approx({v: np.mean(sorted(x)[-k:]) for v, x in of.items()})
+
+
+def live_scores(kernel):
+    return [kernel._score(u, v, e) for u, v, e in kernel.live()]
+
+
+@pytest.mark.parametrize("bins", [0, 1, 2, 16, 256])
+def test_any_thresholds_merge_all_that_is_below_the_last(graph_case, bins):
+    edges = lambda: [{"u": u, "v": v, "sum": s / 255, "cnt": n} for (u, v), (s, n) in graph_case.items()]
+    for steps in ([0.3], [0.05, 0.3], [0.0, 0.1, 0.2, 0.299, 0.3], [0.3, 0.6, 1.0, 2.0]):
+        kernel, nodes = merge.Kernel(edges(), scores.DEFAULT, bins), {n for p in graph_case for n in p}
+        for t in steps:
+            for _, a, b, c, s in kernel.until(t):
+                assert s < t and c == min(a, b)
+            assert all(s >= t for s in live_scores(kernel))
+        if not bins:
+            assert partition(kernel.parent.items(), nodes) == partition(spec.merge(graph_case, (1 - steps[-1]) * 255).items(), nodes)
+    pair = merge.Kernel([{"u": 1, "v": 2, "sum": 0.9, "cnt": 1}, {"u": 3, "v": 4, "sum": 0.1, "cnt": 1}], scores.DEFAULT, 2)
+    assert [len(list(pair.until(t))) for t in (0.05, 0.3)] == [0, 1]
+
+
+def test_queue_events(spark, graph_case):
+    stats = edges_frame(spark, graph_case).select("u", "v", "cnt", (F.col("sum_bytes") / 255.0).alias("sum"))
+    rows = merge.exact(stats, [0.3, 0.6], events=True).collect()
+    n = {k: sum(r["kind"] == k for r in rows) for k in ("merge", "pop", "deleted", "stale")}
+    assert n["pop"] == n["merge"] > 0 and n["deleted"] + n["stale"] > 0
+    assert {(r["component"], r["step"], r["a"], r["b"]) for r in rows if r["kind"] == "pop"} == {(r["component"], r["step"], r["a"], r["b"]) for r in rows if r["kind"] == "merge"}
+
+
+def test_own_statistics_are_merged(spark):
+    score = scores.provide(scores.Provider("span", lambda a: F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")), lambda x, y: {"lo": min(x["lo"], y["lo"]), "hi": max(x["hi"], y["hi"])}))
+
+    class Width(scores.Score):
+        needs, between = score.needs, False
+
+        def column(self):
+            return 1 - (F.col("span.hi") - F.col("span.lo"))
+
+        def value(self, s):
+            return 1 - (s["span"]["hi"] - s["span"]["lo"])
+
+    contacts = spark.createDataFrame([(1, 2, 0), (1, 2, 255), (1, 3, 0), (2, 3, 200)], "u long, v long, aff int")
+    stats = graph.statistics(contacts, {"span", "cnt", "levels"})
+    assert {(r["u"], r["v"]): (r["span"]["hi"], r["cnt"]) for r in stats.collect()} == {(1, 2): (1.0, 2), (1, 3): (0.0, 1), (2, 3): (pytest.approx(200 / 255), 1)}
+    roots = {r["a"]: r["c"] for r in merge.exact(stats.drop("levels"), [0.5], Width()).where("kind = 'parent'").collect()}
+    assert roots == {1: 1, 2: 1, 3: 1}  # 1 and 2 first; then their edges to 3 span enough together
+    with pytest.raises(ValueError):
+        scores.provide(scores.Provider("cnt", F.count, max))
+    del scores.PROVIDERS["span"]
