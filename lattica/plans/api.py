@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from lattica.operators import graph, labels, merge, metrics
 from lattica.operators.fragments import sizes, watershed
 from lattica.schemas import Shape, ShapeError
 from lattica.session import cut, prepare
-from lattica.sources.lattice import as_bytes, as_numpy, labels_from_numpy, labels_to_numpy, lattice_from_numpy
+from lattica.sources.lattice import as_bytes, as_numpy, from_torch, labels_from_numpy, labels_to_numpy, lattice_from_numpy, to_torch  # noqa: F401 - from_torch and to_torch are part of this surface
 
 
 def engine_ready() -> bool:
@@ -24,6 +25,48 @@ def engine_ready() -> bool:
     return True
 
 
+#: The names by which callers ask for native libraries: none are needed.
+cuda_libs_ready = engine_ready
+
+
+def missing_cuda_libs() -> list[str]:
+    return []
+
+
+def require_cuda_libs() -> None:
+    """Nothing is missing, so nothing is raised."""
+
+
+def repo_root() -> Path:
+    """Where this package's repository lies."""
+    return Path(__file__).resolve().parent.parent.parent
+
+
+class DevBuf:
+    """A result that callers fetch when they want it: a volume of labels still in its DataFrame."""
+
+    def __init__(self, shape: tuple[int, ...], dtype, fetch: Callable[[], np.ndarray]):
+        self.shape, self.dtype, self._fetch = tuple(int(n) for n in shape), np.dtype(dtype), fetch
+        self.nbytes = int(np.prod(self.shape)) * self.dtype.itemsize
+
+    @classmethod
+    def from_host(cls, array) -> DevBuf:
+        own = np.ascontiguousarray(as_numpy(array))
+        return cls(own.shape, own.dtype, lambda: own)
+
+    def to_host(self, count: int | None = None) -> np.ndarray:
+        """The array, or the first ``count`` of its elements."""
+        own = self._fetch()
+        return own if count is None else own.reshape(-1)[:count]
+
+    def __array__(self, dtype=None, copy=None):
+        own = self.to_host()
+        return own if dtype is None else own.astype(dtype)
+
+    def free(self) -> None:
+        self._fetch = lambda: np.zeros(0, self.dtype)
+
+
 def _spark(spark: SparkSession | None) -> SparkSession:
     return prepare(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
 
@@ -36,12 +79,12 @@ def parents_table(edges: DataFrame, frags: DataFrame, thresholds: Sequence[float
 
     ``approximate``: (1 + eps) rounds in a task for each component that can merge.
     ``rounds``: the same rules as joins and aggregates over the whole graph, for graphs with
-    a component too large for a task.  ``exact``: lowest score first.  All share one state
+    a component too large for a task.  ``exact`` or ``rac``: lowest score first.  All share one state
     over falling thresholds, so labels at one depend on which others were asked for.
     """
     wanted = [float(t) for t in thresholds]
     eps = resolve_eps(wanted, eps)
-    if method == "exact":
+    if method in ("exact", "rac"):  # reciprocal merging gives the same partition
         stats = edges.select("u", "v", "cnt", (F.col("sum_bytes") / 255.0).alias("sum"))
         found = merge.exact(stats, [1 - t for t in wanted])
         levels = F.create_map(*(F.lit(x) for t in wanted for x in (1 - t, t)))
@@ -55,7 +98,7 @@ def parents_table(edges: DataFrame, frags: DataFrame, thresholds: Sequence[float
             out = part if out is None else out.unionByName(part)
         return out
     if method != "approximate":
-        raise ValueError(f"method must be approximate, rounds or exact, not {method!r}")
+        raise ValueError(f"method must be approximate, rounds, exact or rac, not {method!r}")
     found = merge.approximate(edges, [t * 255 for t in wanted], eps)
     levels = F.create_map(*(F.lit(x) for t in wanted for x in (t * 255, t)))
     return found.select(levels[F.col("threshold")].alias("threshold"), "frag", "root")
@@ -124,6 +167,18 @@ def segment(aff, thresholds: Sequence[float], *, aff_low: float = LOW, aff_high:
 agglomerate = segment
 
 
+def segment_d(aff, thresholds: Sequence[float], aff_low: float = LOW, aff_high: float = HIGH, return_device: bool = False, eps: float | None = None, threshold_mode: str = "affinity", method: str = "approximate", spark: SparkSession | None = None) -> list:
+    """``segment`` whose volumes, with ``return_device``, stay in their DataFrames until they are fetched."""
+    wanted = resolve_thresholds(thresholds, threshold_mode)
+    lattice, shape = lattice_from_numpy(_spark(spark), aff)
+    frame = segment_frames(lattice, shape, wanted, aff_low, aff_high, eps, method)
+    if not return_device:
+        return _volumes(frame, shape, wanted)
+    frame = cut(frame)
+    of = lambda t: lambda: labels_to_numpy(frame.where(F.col("threshold") == t), shape).astype(np.uint32)
+    return [DevBuf((shape.z, shape.y, shape.x), np.uint32, of(t)) for t in wanted]
+
+
 def labels_from_fragments(aff, frag, thresholds: Sequence[float], *, eps: float | None = None, threshold_mode: str = "affinity", method: str = "approximate", spark: SparkSession | None = None) -> list[np.ndarray]:
     """The same from given fragments."""
     own, wanted = _checked(aff, frag), resolve_thresholds(thresholds, threshold_mode)
@@ -132,10 +187,10 @@ def labels_from_fragments(aff, frag, thresholds: Sequence[float], *, eps: float
     return _volumes(segment_frames(lattice, shape, wanted, eps=eps, method=method, frags=labels_from_numpy(spark, own)), shape, wanted)
 
 
-def agglomerate_scores(aff, thresholds: Sequence[float], gt=None, frags=None, aff_low: float = LOW, aff_high: float = HIGH, return_merge_history: bool = False, return_region_graph: bool = False, scoring_function: str | Score = DEFAULT, discretize_queue: int = 0, spark: SparkSession | None = None) -> Iterator:
+def agglomerate_scores(aff, thresholds: Sequence[float], gt=None, frags=None, aff_low: float = LOW, aff_high: float = HIGH, return_merge_history: bool = False, return_region_graph: bool = False, scoring_function: str | Score = DEFAULT, discretize_queue: int = 0, force_rebuild: bool = False, spark: SparkSession | None = None) -> Iterator:
     """Exact merging at rising score thresholds: yields the labels, or a tuple with metrics,
     history and graph where asked for.  Each yield is an array of its own, and nothing that
-    was given is changed."""
+    was given is changed.  ``force_rebuild`` has no effect: scores aren't compiled."""
     score = scoring_function if isinstance(scoring_function, Score) else parse(scoring_function)
     spark = _spark(spark)
     lattice, shape = lattice_from_numpy(spark, aff)

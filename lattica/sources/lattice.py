@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.functions.affinity import quantise
-from lattica.schemas import Shape, ShapeError
+from lattica.schemas import LATTICE, Shape, ShapeError
 from lattica.session import prepare, table
 
 # -- arrays ----------------------------------------------------------------------------
@@ -30,6 +30,10 @@ def as_bytes(aff) -> np.ndarray:
     aff = as_numpy(aff)
     if aff.ndim != 4 or aff.shape[0] != 3:
         raise ShapeError(f"expected affinities of shape [3,Z,Y,X], got {list(aff.shape)}")
+    return quantised(aff)
+
+
+def quantised(aff: np.ndarray) -> np.ndarray:
     if aff.dtype == np.uint8:
         return aff
     return np.clip(np.rint(aff.astype(np.float32) * np.float32(255)), 0, 255).astype(np.uint8)
@@ -57,11 +61,17 @@ def labels_to_numpy(labels: DataFrame, shape: Shape, name: str = "label") -> np.
     return out.reshape(shape.z, shape.y, shape.x)
 
 
-def to_torch(array):
+def from_torch(tensor):
+    """A tensor as an array on the host; anything else as it is."""
+    return np.ascontiguousarray(tensor.detach().cpu().numpy()) if hasattr(tensor, "detach") else tensor
+
+
+def to_torch(array, device: str | None = None):
     """A tensor of a collected array, where torch is installed."""
     import torch
 
-    return torch.as_tensor(array)
+    own = torch.as_tensor(np.ascontiguousarray(as_numpy(array)))
+    return own if device is None else own.to(device)
 
 
 # -- files -----------------------------------------------------------------------------
@@ -82,22 +92,64 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.write.mode("overwrite").partitionBy("threshold").parquet(path)
 
 
+SLAB = 8  # planes that one task reads of an array file
+
+
+def _read_slabs(spark: SparkSession, shape: tuple[int, ...], read, slab: int = SLAB) -> tuple[DataFrame, Shape]:
+    """A lattice from ``read(low, high)``, which gives planes of [3,Z,Y,X] where it is called; the driver sees the shape only."""
+    if len(shape) != 4 or shape[0] != 3:
+        raise ShapeError(f"expected affinities of shape [3,Z,Y,X], got {list(shape)}")
+    own = Shape(*shape[1:])
+    prepare(spark)
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                low, high = k * slab, min(own.z, (k + 1) * slab)
+                block = quantised(read(low, high))
+                z, y, x = (i.reshape(-1) for i in np.indices(block.shape[1:]))
+                flat, z = block.reshape(3, -1).astype(np.int32), z + low
+                yield pa.record_batch({
+                    "vox": pa.array((z * own.y + y) * own.x + x), **{n: pa.array(v.astype(np.int32)) for n, v in zip("zyx", (z, y, x))},
+                    **{n: pa.array(flat[i]) for i, n in enumerate(("az", "ay", "ax"))},
+                })
+
+    n = -(-own.z // slab)
+    return spark.range(0, n, numPartitions=max(1, n)).mapInArrow(run, LATTICE), own
+
+
+def read_npy(spark: SparkSession, path: str) -> tuple[DataFrame, Shape]:
+    """An array file that all executors can open; each task maps its own planes."""
+    return _read_slabs(spark, np.load(path, mmap_mode="r").shape, lambda low, high: np.load(path, mmap_mode="r")[:, low:high])
+
+
 def read_hdf5(spark: SparkSession, path: str, keys: tuple[str, ...] = ("affinity",)) -> tuple[DataFrame, Shape]:
-    """The first key that the file has; needs h5py."""
+    """The first key that the file has, read by planes in tasks; needs h5py, and a path that all executors can open."""
     import h5py
 
     with h5py.File(path, "r") as f:
-        for key in keys:
-            if key in f:
-                return lattice_from_numpy(spark, f[key][:])
-    raise KeyError(f"none of {keys} in {path}")
+        key = next((k for k in keys if k in f), None)
+        if key is None:
+            raise KeyError(f"none of {keys} in {path}")
+        shape = f[key].shape
 
+    def planes(low, high):
+        with h5py.File(path, "r") as f:
+            return f[key][:, low:high]
 
-def read_zarr(spark: SparkSession, path: str) -> tuple[DataFrame, Shape]:
-    """A zarr array; needs zarr."""
-    import zarr
+    return _read_slabs(spark, shape, planes)
+
+
+def write_array(labels: np.ndarray, path: str, key: str = "labels") -> None:
+    """A collected volume as .npy, or as .h5 where h5py is installed."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    if path.endswith(".npy"):
+        np.save(path, labels)
+        return
+    import h5py
 
-    return lattice_from_numpy(spark, zarr.open_array(path, mode="r")[:])
+    with h5py.File(path, "w") as f:
+        f.create_dataset(key, data=labels, compression="gzip")
 
 
 def read_graph_npz(spark: SparkSession, path: str) -> DataFrame:
