@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattica.functions import affinity as A
 from lattica.functions import scores as S
 from lattica.functions.thresholds import voi_limits
-from lattica.operators import components, flow, fragments, geometry, graph, labels, merge, metrics
+from lattica.operators import blocks, components, flow, fragments, geometry, graph, labels, merge, metrics
 from lattica.plans.api import segment_frames
 from lattica.session import cut
 from lattica.sources import lattice as L
@@ -61,11 +61,11 @@ dir AS (SELECT b.vox, d, b.vox + {_OFFSETS} AS nbr FROM bits b JOIN lat USING (v
 pair AS (SELECT least(vox, nbr) AS a, greatest(vox, nbr) AS b, bool_or(vox < nbr) AS forward, bool_or(vox > nbr) AS back FROM dir GROUP BY 1, 2)"""
 
 
-def _cc(edges: str, nodes: str) -> str:
+def _cc(edges: str, nodes: str, name: str = "cc") -> str:
     """Components (n, l) of edges (a, b) over nodes (n)."""
-    return f"""sym AS (SELECT a, b FROM ({edges}) UNION ALL SELECT b, a FROM ({edges})),
-cc(n, l) USING KEY (n) AS (SELECT n, n FROM ({nodes}) UNION
-  SELECT s.b, min(cc.l) FROM cc JOIN sym s ON s.a = cc.n JOIN recurring.cc k ON k.n = s.b WHERE cc.l < k.l GROUP BY s.b)"""
+    return f"""{name}_sym AS (SELECT a, b FROM ({edges}) UNION ALL SELECT b, a FROM ({edges})),
+{name}(n, l) USING KEY (n) AS (SELECT n, n FROM ({nodes}) UNION
+  SELECT s.b, min({name}.l) FROM {name} JOIN {name}_sym s ON s.a = {name}.n JOIN recurring.{name} k ON k.n = s.b WHERE {name}.l < k.l GROUP BY s.b)"""
 
 
 _W = f"WITH RECURSIVE {_LEVELS}, {_FACES}"
@@ -198,6 +198,48 @@ def _(spark, sf_dir):
     return fragments.watershed(lattice, shape, LOW, HIGH, slab=4)
 
 
+@query(
+    "watershed_slabs_tiefree",
+    f"""WITH RECURSIVE {_TIEFREE}, {_FACES}, {_bits('0', '1e300')},
+cleared AS (SELECT bits.vox, CAST(bits & ~(CASE WHEN lat.z % 4 = 0 THEN 1 ELSE 0 END) & ~(CASE WHEN lat.z % 4 = 3 OR lat.z = shape.Z - 1 THEN 8 ELSE 0 END) AS INTEGER) AS bits FROM bits JOIN lat USING (vox), shape),
+flows AS (SELECT c.vox AS a, c.vox + {_OFFSETS} AS b FROM cleared c JOIN lat USING (vox), range(6) t(d) WHERE (c.bits >> CAST(d AS INTEGER)) & 1 = 1),
+{_cc('SELECT a, b FROM flows', 'SELECT DISTINCT unnest([a, b]) AS n FROM flows')}
+SELECT lat.vox, coalesce(frag, 0) AS frag FROM lat LEFT JOIN (SELECT n, dense_rank() OVER (ORDER BY l) AS frag FROM cc) c ON c.n = lat.vox""",
+)
+def _(spark, sf_dir):
+    lattice, shape = L.events_lattice_tiefree(spark, sf_dir)
+    return fragments.watershed(cut(lattice), shape, 0.0, 1e300, slab=4)
+
+
+@query("watershed_relational", f"{_TIEFREE_FRAGS} SELECT vox, frag FROM fr")
+def _(spark, sf_dir):
+    lattice, shape = L.events_lattice_tiefree(spark, sf_dir)
+    return fragments.watershed_relational(cut(lattice), shape, 0.0, 1e300)
+
+
+@query("components_by_block", f"{_W}, {_bits()}, {_cc('SELECT a, b FROM pair WHERE forward AND back', 'SELECT DISTINCT unnest([a, b]) AS n FROM pair WHERE forward AND back')} SELECT n AS node, l AS root FROM cc")
+def _(spark, sf_dir):
+    bits, shape = _level_bits(spark, sf_dir)
+    return blocks.components_by_block(flow.reciprocal_edges(bits, shape), lambda vox: F.floor(vox / (4 * shape.strides[0])))
+
+
+@query("block_check", f"{_W}, {_BLOCKS} SELECT CAST(z // 2 AS INTEGER) AS bz, CAST(y // 2 AS INTEGER) AS \"by\", CAST(x // 2 AS INTEGER) AS bx, count(DISTINCT frag) AS labels FROM fr JOIN lat USING (vox) GROUP BY z // 2, y // 2, x // 2 HAVING count(DISTINCT frag) > 1")
+def _(spark, sf_dir):
+    lattice, _, frags = _blocks(spark, sf_dir)
+    return blocks.undivided_blocks(frags, blocks.block_ids(lattice))
+
+
+@query("flow_summary", f"{_W}, {_bits()} SELECT count(*) FILTER (WHERE bit_count(bits) = 0) AS none, count(*) FILTER (WHERE bit_count(bits) = 1) AS one, count(*) FILTER (WHERE bit_count(bits) > 1) AS several FROM bits")
+def _(spark, sf_dir):
+    return fragments.flow_summary(_level_bits(spark, sf_dir)[0])
+
+
+@query("plateau_histogram", f"{_W}, {_bits()}, {_cc('SELECT a, b FROM pair WHERE forward AND back', 'SELECT DISTINCT unnest([a, b]) AS n FROM pair WHERE forward AND back')} SELECT CAST(floor(log2(size)) AS INTEGER) AS bin, count(*) AS n FROM (SELECT count(*) AS size FROM cc GROUP BY l) GROUP BY 1")
+def _(spark, sf_dir):
+    plateaus = fragments.plateaus(*_level_bits(spark, sf_dir))
+    return fragments.size_histogram(plateaus.groupBy("root").agg(F.count("*").alias("size")))
+
+
 @query("nfrag_bg", f"{_W}, {_BLOCKS} SELECT count(DISTINCT CASE WHEN frag <> 0 THEN frag END) AS n_fragments, max(frag) AS max_id, count(*) FILTER (WHERE frag = 0) AS background FROM fr")
 def _(spark, sf_dir):
     return fragments.summary(_blocks(spark, sf_dir)[2])
@@ -264,10 +306,9 @@ _score("step", S.Step(S.MeanAffinity(), S.Constant(0.5)), f"CASE WHEN {_MEAN} <
 _score("parsed", S.parse("OneMinus<Multiply<MeanAffinity<RegionGraphType, ScoreValue>, Invert<ContactArea<RegionGraphType>>>>"), f"1 - {_MEAN} / cnt")
 
 
-@query("score_random")
-def _(spark, sf_dir):
-    contacts, sizes = _block_contacts(spark, sf_dir)
-    return graph.scored(contacts, S.Random(7), sizes)
+_score("random", S.Random(7), "(((u % 2147483647 * 48271 + v % 2147483647 * 69621 + 7 * 16807 + 11) % 2147483647 * 48271) % 2147483647 * 69621) % 2147483647 / 2147483647.0")
+S.PROVIDERS["sum_of_squares"] = S.Provider("sum_of_squares", lambda aff: F.sum(aff * aff), lambda a, b: a + b)
+_score("provided", S.Statistic("sum_of_squares"), "list_sum([x * x for x in vals])")
 
 
 @query("rag_histogram", f"{_W}, {_BLOCKS}, {_TOUCH} SELECT u, v, CAST(least(floor(aff / 255.0 * 16), 15) AS INTEGER) AS bin, count(*) AS n FROM ct GROUP BY u, v, bin")
@@ -307,10 +348,18 @@ def _(spark, sf_dir):
     return graph.induced(_block_graph(spark, sf_dir), 10_000)
 
 
+@query("find_edge", f"{_BLOCK_GRAPH}, q AS (SELECT v AS a, u AS b FROM rag UNION ALL SELECT u, v + 1 FROM rag) SELECT a, b, sum_bytes, cnt FROM q LEFT JOIN rag ON u = least(a, b) AND v = greatest(a, b)")
+def _(spark, sf_dir):
+    edges = cut(_block_graph(spark, sf_dir))
+    pairs = edges.select(F.col("v").alias("a"), F.col("u").alias("b")).unionAll(edges.select("u", F.col("v") + 1))
+    return graph.find_edge(edges, pairs)
+
+
 @query("edge_extremes", f"{_BLOCK_GRAPH} SELECT round(max(sum_bytes / cnt), 9) AS largest_mean, count(*) FILTER (WHERE sum_bytes / cnt >= 120) AS n_above FROM rag")
 def _(spark, sf_dir):
-    mean = F.col("sum_bytes") / F.col("cnt")
-    return _block_graph(spark, sf_dir).agg(F.round(F.max(mean), 9).alias("largest_mean"), F.count_if(mean >= 120).alias("n_above"))
+    edges = cut(_block_graph(spark, sf_dir))
+    above = merge.eligible(edges, 120).agg(F.count("*").alias("n_above"))
+    return merge.largest_mean(edges).select(F.round("largest_mean", 9).alias("largest_mean")).join(above, F.lit(True))
 
 
 # -- merging ---------------------------------------------------------------------------
@@ -332,7 +381,31 @@ def _shaped(spark, sf_dir):
     return cut(graph.region_graph(lattice, frags, shape)), frags
 
 
-_NONE = "SELECT CAST(0 AS BIGINT) AS violations"
+#: Tie-free fragments, contacts with the level lattice's bytes, their graph.
+_SHAPED = f"""{_TIEFREE_FRAGS},
+lev AS (SELECT event_id AS vox, CAST(floor(value) AS BIGINT) % 4 * 85 AS az, CAST(floor(value * 10) AS BIGINT) % 4 * 85 AS ay, user_id % 4 * 85 AS ax FROM events),
+fl AS (SELECT fc.vox, fc.nbr, CASE axis WHEN 0 THEN lev.az WHEN 1 THEN lev.ay ELSE lev.ax END AS aff FROM fc JOIN lev USING (vox)),
+{_TOUCH.replace('FROM fc', 'FROM fl').replace('fc.', 'fl.')}, {_RAG}"""
+#: Roots (frag, root) of rows (a, b): b is merged into a.
+_ROOTS = "up(frag, root) AS (SELECT b, a FROM merged UNION ALL SELECT up.frag, m.a FROM up JOIN merged m ON m.b = up.root), top AS (SELECT frag, min(root) AS root FROM up GROUP BY frag)"
+#: Rounds in which pairs merge that are each other's best edge: rows of kind 0 are edges, of kind 1 merges (b into a).
+_MUTUAL = f"""{_SHAPED}, st(it, kind, a, b, s, n) AS (SELECT 0, 0, u, v, sum_bytes, cnt FROM rag UNION ALL (WITH e AS (SELECT * FROM st WHERE kind = 0),
+  ends AS (SELECT unnest([a, b]) AS x, a, b, s, n FROM e WHERE s / n > 127.5),
+  best AS (SELECT x, arg_min(struct_pack(a := a, b := b), struct_pack(m := -(s / n), a := a, b := b)) AS p FROM ends GROUP BY x),
+  pr AS (SELECT p.a AS a, p.b AS b FROM best GROUP BY 1, 2 HAVING count(*) = 2),
+  mv AS (SELECT least(coalesce(x.a, e.a), coalesce(y.a, e.b)) AS a, greatest(coalesce(x.a, e.a), coalesce(y.a, e.b)) AS b, s, n FROM e LEFT JOIN pr x ON x.b = e.a LEFT JOIN pr y ON y.b = e.b)
+  SELECT (SELECT max(it) + 1 FROM st), 0, a, b, CAST(sum(s) AS BIGINT), CAST(sum(n) AS BIGINT) FROM mv WHERE a <> b AND EXISTS (SELECT 1 FROM pr) GROUP BY a, b
+  UNION ALL SELECT (SELECT max(it) + 1 FROM st), 1, a, b, 0, 0 FROM pr)),
+merged AS (SELECT a, b FROM st WHERE kind = 1), {_ROOTS}"""
+#: In each component of edges below 0.5 the lowest score merges, one pair a round; rows of kind 0 are edges, of kind 1 merges.
+_EXACT = f"""{_SHAPED}, es AS (SELECT u, v, sum_bytes / 255.0 AS s, cnt AS n FROM rag), {_cc('SELECT u AS a, v AS b FROM es WHERE 1 - s / n < 0.5', 'SELECT DISTINCT unnest([u, v]) AS n FROM es WHERE 1 - s / n < 0.5', 'part')},
+st(it, kind, c, a, b, s, n) AS (SELECT 0, 0, p.l, u, v, s, es.n FROM es JOIN part p ON p.n = u JOIN part q ON q.n = v WHERE p.l = q.l UNION ALL (WITH e AS (SELECT * FROM st WHERE kind = 0),
+  pr AS (SELECT c, arg_min(struct_pack(a := a, b := b, s := 1 - s / n), struct_pack(m := 1 - s / n, a := a, b := b)) AS p FROM e WHERE 1 - s / n < 0.5 GROUP BY c),
+  mv AS (SELECT e.c, CASE WHEN e.a = p.b THEN p.a ELSE e.a END AS a, CASE WHEN e.b = p.b THEN p.a ELSE e.b END AS b, e.s, e.n FROM e JOIN pr ON pr.c = e.c)
+  SELECT (SELECT max(it) + 1 FROM st), 0, c, least(a, b), greatest(a, b), sum(s), CAST(sum(n) AS BIGINT) FROM mv WHERE a <> b GROUP BY 3, 4, 5
+  UNION ALL SELECT (SELECT max(it) + 1 FROM st), 1, c, p.a, p.b, p.s, 0 FROM pr)),
+merged AS (SELECT it, c, a, b, s FROM st WHERE kind = 1), {_ROOTS}"""
+_LABELS = "SELECT vox, coalesce(top.root, fr.frag) AS label FROM fr LEFT JOIN top ON top.frag = fr.frag"
 
 
 def _count(df: DataFrame) -> DataFrame:
@@ -345,37 +418,32 @@ def _exact(spark, sf_dir):
     return edges, frags, stats, merge.exact(stats, [0.3, 0.5])
 
 
-@query("exact_merge_labels")
+@query("exact_merge_labels", f"{_EXACT} {_LABELS}")
 def _(spark, sf_dir):
     _, frags, _, merged = _exact(spark, sf_dir)
     up = merge.parents_of(merged, frags, [0.5]).select("frag", "root")
     return labels.extract(frags, up)
 
 
-@query("exact_merge_violations", _NONE)
+@query("merge_history", f"{_EXACT} SELECT c AS component, CASE WHEN s < 0.3 THEN 0.3 ELSE 0.5 END AS threshold, CAST(it - 1 AS BIGINT) AS step, a, b, a AS c, round(s, 9) AS score FROM merged")
 def _(spark, sf_dir):
-    edges, frags, _, merged = _exact(spark, sf_dir)
-    return _count(merge.violations(edges, merge.parents_of(merged, frags, [0.5]).select("frag", "root"), 127.5))
-
+    return merge.merge_history(_exact(spark, sf_dir)[3]).withColumn("score", F.round("score", 9))
 
-@query("exact_merge_nested", _NONE)
-def _(spark, sf_dir):
-    """Fragments together at the lower score are together at the higher one."""
-    _, frags, _, merged = _exact(spark, sf_dir)
-    up = merge.parents_of(merged, frags, [0.3, 0.5])
-    both = up.where("threshold = 0.3").select("frag", F.col("root").alias("fine")).join(up.where("threshold = 0.5").select("frag", F.col("root").alias("rough")), "frag")
-    return _count(both.groupBy("fine").agg(F.countDistinct("rough").alias("n")).where("n > 1"))
 
-
-@query("merge_history")
+@query(
+    "region_graph_after",
+    f"{_EXACT}, ends AS (SELECT coalesce(x.root, u) AS a, coalesce(y.root, v) AS b, sum_bytes, cnt FROM rag LEFT JOIN top x ON x.frag = u LEFT JOIN top y ON y.frag = v) "
+    "SELECT least(a, b) AS u, greatest(a, b) AS v, CAST(sum(cnt) AS BIGINT) AS cnt, round(1 - sum(sum_bytes) / 255.0 / sum(cnt), 9) AS score FROM ends WHERE a <> b GROUP BY 1, 2",
+)
 def _(spark, sf_dir):
-    return merge.merge_history(_exact(spark, sf_dir)[3])
+    _, _, stats, merged = _exact(spark, sf_dir)
+    return merge.region_graph_after(merged, stats, 0.5).withColumn("score", F.round("score", 9))
 
 
-@query("region_graph_after")
+@query("boruvka_labels", f"{_MUTUAL} {_LABELS}")
 def _(spark, sf_dir):
-    _, _, stats, merged = _exact(spark, sf_dir)
-    return merge.region_graph_after(merged, stats, 0.5)
+    edges, frags = _shaped(spark, sf_dir)
+    return labels.extract(frags, merge.mutual_best_by_component(edges, 127.5))
 
 
 @query("parhac_labels")
@@ -384,22 +452,18 @@ def _(spark, sf_dir):
     return labels.extract(frags, merge.approximate(edges, [127.5], 0.08).select("frag", "root"))
 
 
-@query("parhac_violations", _NONE)
-def _(spark, sf_dir):
-    edges, _ = _shaped(spark, sf_dir)
-    return _count(merge.violations(edges, merge.approximate(edges, [127.5], 0.08).select("frag", "root"), 127.5))
-
-
-@query("boruvka_labels")
+@query("parhac_bounds", f"{_SHAPED}, {_cc('SELECT u AS a, v AS b FROM rag WHERE sum_bytes / cnt > 127.5', 'SELECT DISTINCT frag AS n FROM fr WHERE frag > 0', 'part')} SELECT CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS across, count(*) AS fragments, count(*) FILTER (WHERE alone) AS alone FROM (SELECT l, count(*) = 1 AS alone, n FROM part GROUP BY l, n)".replace("FROM (SELECT l, count(*) = 1 AS alone, n FROM part GROUP BY l, n)", "FROM (SELECT n, count(*) OVER (PARTITION BY l) = 1 AS alone FROM part)"))
 def _(spark, sf_dir):
+    """What the rounds must keep: no edge left above the threshold, no cluster over two frozen components, lone fragments alone."""
     edges, frags = _shaped(spark, sf_dir)
-    return labels.extract(frags, merge.mutual_best_by_component(edges, 127.5))
-
-
-@query("boruvka_violations", _NONE)
-def _(spark, sf_dir):
-    edges, _ = _shaped(spark, sf_dir)
-    return _count(merge.violations(edges, merge.mutual_best_by_component(edges, 127.5), 127.5))
+    found = cut(merge.approximate(edges, [127.5], 0.08).select("frag", "root"))
+    own = frags.where("frag <> 0").select("frag").distinct().join(found, "frag", "left").select("frag", F.coalesce("root", "frag").alias("root"))
+    frozen = merge.frozen(edges, 127.5).withColumnsRenamed({"node": "frag", "root": "part"})
+    placed = cut(own.join(frozen, "frag", "left").select("frag", "root", F.coalesce("part", "frag").alias("part")))
+    across = placed.groupBy("root").agg(F.countDistinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias("across"))
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("frag") == F.col("root")).alias("kept"))
+    told = parts.agg(F.sum("n").alias("fragments"), F.sum(F.when((F.col("n") == 1) & (F.col("kept") == 1), 1).otherwise(0)).cast("long").alias("alone"))
+    return _count(merge.violations(edges, found, 127.5)).join(across, F.lit(True)).join(told, F.lit(True))
 
 
 _PROPOSALS = "SELECT l_partkey AS blue, l_suppkey AS red, max(l_orderkey) AS pri, count(*) AS add, 20 AS size FROM lineitem GROUP BY 1, 2"
@@ -415,15 +479,32 @@ def _(spark, sf_dir):
     return merge.accept(rows.withColumn("size", F.lit(20)), 0.4)
 
 
-@query("best_proposal", "SELECT l_partkey AS blue, max((l_orderkey, l_suppkey))[2] AS red FROM lineitem GROUP BY 1")
+@query(
+    "best_proposal",
+    """WITH e AS (SELECT l_suppkey + 1 AS u, l_partkey + 1000000 AS v, sum(CAST(round(l_discount * 100) * 25 AS BIGINT)) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2),
+p AS (SELECT CASE WHEN u % 2 = 1 THEN u ELSE v END AS red, CASE WHEN u % 2 = 1 THEN v ELSE u END AS blue FROM e WHERE s / n >= 100 AND u % 2 <> v % 2),
+k AS (SELECT *, (blue * 31 + red * 17) % 1009 AS pri FROM p WHERE red % 7 <> 0 AND red % 3 >= blue % 3)
+SELECT blue, max((pri, red))[2] AS red, max(pri) AS pri, 1 + blue % 3 AS add, 1 + max((pri, red))[2] % 3 AS size FROM k GROUP BY blue""",
+)
 def _(spark, sf_dir):
-    rows = L.table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_partkey").alias("blue")).agg(F.max(F.struct("l_orderkey", "l_suppkey")).alias("b")).select("blue", F.col("b.l_suppkey").alias("red"))
+    contacts = L.lineitem_contacts(spark, sf_dir)
+    edges = cut(graph.contract_rows(contacts.select("u", "v", F.col("aff").cast("long").alias("sum_bytes"), F.lit(1).cast("long").alias("cnt"))))
+    ids = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    nodes = ids.select("id", (F.col("id") % 3 + 1).alias("size"), (F.col("id") % 7 == 0).alias("frozen"))
+    return merge.propose(edges, nodes, 100, lambda node: node % 2, lambda blue, red: (blue * 31 + red * 17) % 1009)
 
 
 @query("cluster_sizes", f"{_BLOCK_GRAPH} SELECT frag - frag % 4 AS root, count(*) AS size FROM (SELECT DISTINCT unnest([u, v]) AS frag FROM rag) GROUP BY 1")
 def _(spark, sf_dir):
-    return _by_fours(spark, sf_dir)[1].groupBy("root").agg(F.count("*").alias("size"))
+    up = cut(_by_fours(spark, sf_dir)[1])
+    return merge.grown(up.select(F.col("frag").alias("id"), F.lit(1).cast("long").alias("size")), up).withColumnRenamed("id", "root")
+
+
+@query("overgrown", "SELECT l_suppkey AS id FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_linenumber <= 3) > 0 AND count(*) > 1.4 * count(*) FILTER (WHERE l_linenumber <= 3)")
+def _(spark, sf_dir):
+    rows = L.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_linenumber")
+    size = lambda df: df.groupBy("id").agg(F.count("*").alias("size"))
+    return merge.overgrown(size(rows), size(rows.where("l_linenumber <= 3")), 0.4)
 
 
 @query("pointer_jump", "SELECT o_orderkey AS node, o_orderkey % 2 AS parent FROM (SELECT DISTINCT o_orderkey FROM orders)")
@@ -503,7 +584,19 @@ for _axis in range(3):
     _mirror(_axis)
 
 
-@query("tile_2x2x2")
+def _tiled_sql() -> str:
+    """Along each axis in turn: the lattice, and its mirror image behind it."""
+    parts, before = [], "lat"
+    for i, (name, channel, extent) in enumerate((("z", "az", "shape.Z"), ("y", "ay", "shape.Y"), ("x", "ax", "shape.X"))):
+        at = ", ".join(f"2 * {extent} - 1 - l.{a} AS {a}" if a == name else f"l.{a}" for a in "zyx")
+        own = ", ".join(f"CASE WHEN l.{name} = {extent} - 1 THEN 0 ELSE o.{c} END AS {c}" if c == channel else f"l.{c}" for c in ("az", "ay", "ax"))
+        met = " AND ".join(f"o.{a} = l.{a} + {int(a == name)}" for a in "zyx")
+        parts.append(f"t{i} AS (SELECT z, y, x, az, ay, ax FROM {before} UNION ALL SELECT {at}, {own} FROM {before} l LEFT JOIN {before} o ON {met}, shape)")
+        before = f"t{i}"
+    return f"{_W}, {', '.join(parts)} SELECT (t2.z * 2 * shape.Y + t2.y) * 2 * shape.X + t2.x AS vox, t2.z, t2.y, t2.x, az, ay, ax FROM t2, shape"
+
+
+@query("tile_2x2x2", _tiled_sql())
 def _(spark, sf_dir):
     lattice, shape = L.events_lattice(spark, sf_dir)
     return geometry.tile(lattice, shape, (2, 2, 2))[0]
@@ -543,7 +636,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, frags = _shaped(spark, sf_dir)
     up = merge.frozen(edges, _CUT).withColumnRenamed("node", "frag")
     got = labels.extract(frags, up)
-    return metrics.evaluate(metrics.align(got, frags.select("vox", F.col("frag").alias("gt"))))
-
-
-QUERIES["slice_voi"] = flagship
+    found = metrics.evaluate(metrics.align(got, frags.select("vox", F.col("frag").alias("gt"))))
+    # rounded, and without a negative zero
+    return found.select(*(F.round(F.col(c) + 0.0, 9).alias(c) for c in found.columns))
+
+
+query(
+    "slice_voi",
+    f"""{_SHAPED}, {_cc(f'SELECT u AS a, v AS b FROM rag WHERE sum_bytes / cnt > {_CUT}', 'SELECT DISTINCT frag AS n FROM fr WHERE frag > 0', 'part')},
+p AS (SELECT coalesce(part.l, 0) AS seg, fr.frag AS gt FROM fr LEFT JOIN part ON part.n = fr.frag WHERE fr.frag > 0), c AS (SELECT seg, gt, count(*) AS n FROM p GROUP BY 1, 2),
+s AS (SELECT seg, sum(n) AS n FROM c GROUP BY 1), t AS (SELECT gt, sum(n) AS n FROM c GROUP BY 1), tot AS (SELECT sum(n) AS n FROM c)
+SELECT round((SELECT sum(n * n) FROM c) / (SELECT sum(n * n) FROM t), 9) AS rand_split, round((SELECT sum(n * n) FROM c) / (SELECT sum(n * n) FROM s), 9) AS rand_merge, {_VOI}""",
+)(flagship)
