@@ -1,27 +1,33 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The pieces and scores come from a model file; the segmentation is the one with the
-largest sum of scores (the library's unigram rule; on a file of BPE type the
-library itself merges by rank instead, so its ids differ while both decode to the
-same text).  ``Pieces.stream`` reads chunks of any length and keeps only the text
-since the last boundary on which all surviving backpointer paths converge: every
-``CHECK`` characters it walks the live ends (those a future piece can start from,
-as many as the longest piece has characters) back to their common ancestor and
-commits the ids up to it.  Characters that no piece covers become byte pieces.
-
-Where no path can cross a boundary at all (before a space mark that follows
-another character, around a character that occurs in no longer piece) the parts
-are independent, so a part's ids are kept and reused while a bounded table of
-parts lasts.
+The segmentation is the one with the largest sum of the pieces' log-probabilities (the
+library's unigram rule).  A unigram file has them.  A file of BPE type only has ranks,
+which are no probabilities: there a piece of rank r gets that of Zipf's law, 1 / (r + 1)
+over the sum of all, so nothing is trained.  (The library merges such a file's pieces by
+rank, so single ids differ; both decode to the same text.)
+
+``Search`` takes text as it comes and keeps only what follows the last boundary on which
+all surviving backpointer paths converge: every ``CHECK`` characters it walks the live
+ends (those that a future piece can start from, as many as the longest piece has
+characters) back to their common ancestor and commits the ids up to it.  Characters that
+no piece covers become byte pieces.
+
+Where no piece can reach across a boundary at all (before a space mark that follows
+another character, around a character that occurs in no longer piece) all paths converge
+at once.  ``Pieces.stream`` commits there without a search, and reuses the ids of parts
+between such boundaries while a table of bounded size has them; parts of more than
+``LONGEST_KEPT`` characters go through a search chunk by chunk.
 
 Edge cases: null and empty texts give no ids.  Ties keep the earlier start, that
 is the longer last piece.  Decoding restores the text exactly, except that a
-literal U+2581 comes back as a space and a U+0000 survives as a byte piece.
+literal U+2581 comes back as a space and a U+0000 survives as a byte piece.  Repeated
+rows are encoded one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -38,9 +44,14 @@ from lattica.session import prepare
 
 MARK = "▁"
 CHECK = 64
-KEPT_PARTS = 300_000
+CHUNK = 4096  # characters of a text that are read at once
+LONGEST_KEPT, KEPT_BYTES = 256, 48 << 20  # of the parts whose ids are kept
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+BPE = 2  # a model type
+EULER_GAMMA = 0.5772156649
+_NEVER = float("-inf")
+_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -69,19 +80,108 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += size
 
 
+def by_rank(rank: float, n: int) -> float:
+    """Log-probability of a piece by Zipf's law over n ranks from 0, in steps of 2^-12 so that sums are exact."""
+    return round((-math.log(max(0.0, rank) + 1) - math.log(math.log(max(n, 2)) + EULER_GAMMA)) * 4096) / 4096
+
+
+class Search:
+    """A Viterbi search over text that comes in chunks; what is sure is put out and forgotten."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.text, self.at = "", 0
+        self.best, self.prev, self.ids = [0.0], [0], [-1]
+
+    def push(self, chunk: str) -> list[int]:
+        """Ids that are sure now."""
+        out = []
+        for at in range(0, len(chunk), CHUNK):
+            self._grow(chunk[at : at + CHUNK])
+            while self.at < len(self.text) - self.pieces.longest:
+                self._advance(min(len(self.text) - self.pieces.longest, self.at + CHECK))
+                out += self._commit()
+        return out
+
+    def finish(self) -> list[int]:
+        self._advance(len(self.text))
+        return self._trace(len(self.text))
+
+    def _grow(self, chunk: str) -> None:
+        self.text += chunk
+        self.best += [_NEVER] * len(chunk)
+        self.prev += [0] * len(chunk)
+        self.ids += [-1] * len(chunk)
+
+    def _advance(self, stop: int) -> None:
+        """Relax all pieces that start before ``stop``."""
+        text, best, prev, ids = self.text, self.best, self.prev, self.ids
+        find, unknown, size = self.pieces.trie.get, self.pieces.unknown_score, len(self.text)
+        for at in range(self.at, stop):
+            here, end = best[at], at + 1
+            found = find(text[at])
+            piece, score = found or (-1, 0.0)
+            score = here + (score if piece >= 0 else unknown)
+            if score > best[end]:
+                best[end], prev[end], ids[end] = score, at, piece
+            while found is not None and end < size:
+                end += 1
+                found = find(text[at:end])
+                if found is None:
+                    break
+                piece, score = found
+                if piece >= 0 and here + score > best[end]:
+                    best[end], prev[end], ids[end] = here + score, at, piece
+        self.at = max(self.at, stop)
+
+    def _commit(self) -> list[int]:
+        """Ids up to the boundary on which the paths to all live ends converge; the window then begins there."""
+        live = {i for i in range(self.at, min(self.at + self.pieces.longest, len(self.text) + 1)) if self.best[i] > _NEVER}
+        while len(live) > 1:
+            top = max(live)
+            live.discard(top)
+            live.add(self.prev[top])
+        root = live.pop()
+        if not root:
+            return []
+        out, gone = self._trace(root), self.best[root]
+        self.text, self.at = self.text[root:], self.at - root
+        self.best = [x - gone for x in self.best[root:]]
+        self.prev = [max(0, x - root) for x in self.prev[root:]]
+        self.ids = self.ids[root:]
+        return out
+
+    def _trace(self, end: int) -> list[int]:
+        own, out = self.pieces, []
+        while end:
+            start = self.prev[end]
+            if self.ids[end] >= 0:
+                out.append(self.ids[end])
+            elif own.bytes:
+                out.extend(own.bytes[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass")))
+            else:
+                out.append(own.unknown)
+            end = start
+        return out[::-1]
+
+
 class Pieces:
     """The pieces of a model file with what the search needs."""
 
     def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        normalizer = {1: b"identity", 3: 1, 4: 1, 5: 1}
+        normalizer, kind_of_model = {1: b"identity", 3: 1, 4: 1, 5: 1}, 1
         for number, value in fields(data):
             if number == 1:
                 one = dict(fields(value))
                 score = struct.unpack("<f", one[2])[0] if 2 in one else 0.0
                 self.pieces.append((one.get(1, b"").decode(), score, one.get(3, NORMAL)))
+            elif number == 2:
+                kind_of_model = dict(fields(value)).get(3, 1)
             elif number == 3:
                 normalizer |= dict(fields(value))
+        if kind_of_model == BPE:
+            self.pieces = [(p, s if kind not in (NORMAL, USER) else by_rank(-s, len(self.pieces)), kind) for p, s, kind in self.pieces]
         if normalizer[1] != b"identity" or normalizer[4] or not normalizer[5]:
             raise ValueError("only models with identity normalisation that keep and escape spaces are supported")
         self.dummy_prefix = bool(normalizer[3])
@@ -100,87 +200,52 @@ class Pieces:
         self.marks_lead = all(MARK not in p.lstrip(MARK) for _, p, _ in usable)
         self.out = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept_bytes = 0
 
     # -- search ------------------------------------------------------------------------
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the normalised text that the chunks make, committed as soon as they are sure."""
-        find, longest, unknown_score = self.trie.get, self.longest, self.unknown_score
-        text, at = "", 0
-        best, prev, ids = [0.0], [0], [-1]
-        low = float("-inf")
-        for chunk in self._then_none(chunks):
-            if chunk is not None:
-                text += chunk
-                more = len(text) + 1 - len(best)
-                best += [low] * more
-                prev += [0] * more
-                ids += [-1] * more
-            stop = len(text) if chunk is None else len(text) - longest
-            size = len(text)
-            while at < stop:
-                here, end = best[at], at + 1
-                found = find(text[at])
-                piece, score = found or (-1, 0.0)
-                score = here + (score if piece >= 0 else unknown_score)
-                if score > best[end]:
-                    best[end], prev[end], ids[end] = score, at, piece
-                while found is not None and end < size:
-                    end += 1
-                    found = find(text[at:end])
-                    if found is None:
-                        break
-                    piece, score = found
-                    if piece >= 0 and here + score > best[end]:
-                        best[end], prev[end], ids[end] = here + score, at, piece
-                at += 1
-                if at >= CHECK and at % CHECK == 0:
-                    live = {i for i in range(at, min(at + longest, len(text) + 1)) if best[i] > low}
-                    while len(live) > 1:
-                        top = max(live)
-                        live.discard(top)
-                        live.add(prev[top])
-                    root = live.pop()
-                    if root:
-                        yield self._trace(text, prev, ids, root)
-                        gone = best[root]
-                        text, at, stop, size = text[root:], at - root, stop - root, size - root
-                        best = [x - gone for x in best[root:]]
-                        prev = [max(0, x - root) for x in prev[root:]]
-                        ids = ids[root:]
-        yield self._trace(text, prev, ids, len(text))
-
-    @staticmethod
-    def _then_none(chunks):
-        yield from chunks
-        yield None
-
-    def _trace(self, text: str, prev: list[int], ids: list[int], end: int) -> list[int]:
-        out: list[int] = []
-        while end:
-            start = prev[end]
-            if ids[end] >= 0:
-                out.append(ids[end])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
-            else:
-                out.append(self.unknown)
-            end = start
-        return out[::-1]
+        open_, search, last = "", None, ""
+        for chunk in chunks:
+            for unit in self.units(chunk):
+                if unit[0] == MARK and last not in ("", MARK) and self.marks_lead:
+                    yield list(search.finish() if search else self.unit(open_))
+                    open_, search = "", None
+                last = unit[-1]
+                if search is None:
+                    open_ += unit
+                    if len(open_) <= LONGEST_KEPT:
+                        continue
+                    search, unit, open_ = Search(self), open_, ""
+                yield search.push(unit)
+        if search or open_:
+            yield list(search.finish() if search else self.unit(open_))
+
+    def units(self, text: str) -> list[str]:
+        """Cut before space marks that no piece has inside."""
+        return _UNIT.findall(text) if self.marks_lead else [text] if text else []
 
     def part(self, part: str) -> tuple[int, ...]:
         """Ids of a part that no piece reaches across the ends of."""
         found = self.kept.get(part)
         if found is None:
-            if len(self.kept) >= KEPT_PARTS:
-                self.kept.clear()
-            found = self.kept[part] = tuple(i for ids in self.stream([part]) for i in ids)
+            search = Search(self)
+            found = (*search.push(part), *search.finish())
+            size = 200 + 4 * len(part) + 16 * len(found)
+            if self.kept_bytes + size > KEPT_BYTES:
+                self.kept, self.kept_bytes = {}, 0
+            self.kept[part] = found
+            self.kept_bytes += size
         return found
 
     def unit(self, unit: str) -> Iterable[int]:
         found = self.kept.get(unit)
         if found is not None:
             return found
+        if len(unit) > LONGEST_KEPT:
+            search = Search(self)
+            return [i for at in range(0, len(unit), CHUNK) for i in search.push(unit[at : at + CHUNK])] + search.finish()
         return [i for p in self.alone.split(unit) if p for i in self.part(p)]
 
     # -- whole texts -------------------------------------------------------------------
@@ -190,8 +255,7 @@ class Pieces:
 
     def encode(self, text: str | None) -> list[int]:
         text = self.normalise(text or "")
-        units = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.marks_lead else [text]
-        return [i for u in units for i in self.unit(u)]
+        return [i for ids in self.stream(text[at : at + CHUNK] for at in range(0, len(text), CHUNK)) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
@@ -201,7 +265,7 @@ class Pieces:
 _LOADED: dict[int, Pieces] = {}
 
 
-def _loaded(broadcast) -> Pieces:
+def loaded(broadcast) -> Pieces:
     """The model in this worker; one is kept."""
     data = broadcast.value
     key = hash(data)
@@ -254,8 +318,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str =
     model = spark.sparkContext.broadcast(Path(model_file).read_bytes())
 
     def run(batches):
-        own = _loaded(model)
-        for batch in pieces(batches, limit=8 << 20):
+        own = loaded(model)
+        for batch in pieces(batches):
             offsets, ids = encode_batch(own, text_column(batch))
             listed = ids.tolist()
             sha = [hashlib.sha256(own.decode(listed[a:b]).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -271,7 +335,7 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids: str
     model = spark.sparkContext.broadcast(Path(model_file).read_bytes())
 
     def run(batches):
-        own = _loaded(model)
+        own = loaded(model)
         for batch in batches:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array([None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()], pa.string())})
 
