@@ -6,8 +6,15 @@ text).  Both refer to the response by ``WARC-Refers-To``, keep its target and da
 carry a digest of their own block; ids follow from the response's id, so a task that
 runs twice writes the same records.
 
-Edge cases: null records give no rows; a broken record gives one row with ``error``;
-a response without a body gives an empty conversion.
+Bodies are read through their Transfer-Encoding (chunked) and Content-Encoding (gzip,
+deflate, zstd) up to ``max_body`` bytes.  Pages are read by one linear scan over their
+tags: a tag ends at the next ``>``; comments, and scripts, styles, noscript and template
+elements, are dropped, and what is never closed is dropped to the page's end.
+
+Edge cases: null records give no rows; a broken record, a body that can't be decoded or
+grows beyond the bound gives one row with ``error``; a response without a body gives an
+empty conversion.  Repeated records give repeated rows, with the same record ids.  An
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,9 +24,11 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +36,12 @@ from lattica.llm.text import pieces
 from lattica.session import prepare
 
 VERSION = b"WARC/1.1"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<![^>]*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|title|head|body|blockquote|pre|form|hr|dd|dt|dl|option|figure)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MAX_BODY = 64 << 20
+#: Elements that break lines, and those whose content isn't text.
+BREAKING = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside title head body blockquote pre form hr dd dt dl option figure".split())
+RAW = frozenset(("script", "style", "noscript", "template"))
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset=[\"']?([\w-]+)", re.I)
 
 
@@ -44,12 +54,125 @@ def named(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(chr(0).join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
 
 
-def plain_text(page: str) -> str:
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", page)))
+def _lines(text: str) -> str:
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def scan(page: str) -> tuple[str, str, list[str]]:
+    """Plain text, title and link targets of a page, from one pass over its tags."""
+    low = page.lower()
+    if len(low) != len(page):  # some letters grow when lowered
+        low = page.translate({c: c + 32 for c in range(65, 91)})
+    out: list[str] = []
+    links: list[str] = []
+    title, title_from, at, last = None, None, 0, page.rfind(">")
+    while at < len(page):
+        here = page.find("<", at)
+        if here < 0:
+            out.append(page[at:])
+            break
+        out.append(page[at:here])
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        name = _NAME.match(page, here)
+        if name is None and not page.startswith("<!", here):
+            out.append("<")
+            at = here + 1
+            continue
+        if here > last:
+            break
+        at = page.index(">", here) + 1
+        if name is None:
+            out.append(" ")
+            continue
+        kind, closing = name[1].lower(), page[here + 1] == "/"
+        if kind in RAW and not closing:
+            end = low.find(f"</{kind}", at)
+            end = page.find(">", end) if end >= 0 else -1
+            out.append(" ")
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        if kind == "title" and title is None:
+            if not closing:
+                title_from = len(out) if title_from is None else title_from
+            elif title_from is not None:
+                title = "".join(out[title_from:])
+        elif kind == "a" and not closing:
+            href = _HREF.search(page, here, at)
+            if href:
+                links.append(html.unescape(next(x for x in href.groups() if x is not None)))
+        if kind in BREAKING:
+            out.append("\n")
+    return _lines("".join(out)), _lines(title or ""), links
+
+
+def plain_text(page: str) -> str:
+    return scan(page)[0]
+
+
+def dechunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at, at + 4096)
+        if end < 0:
+            raise ValueError("a broken chunk")
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            raise ValueError("a broken chunk") from None
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("a broken chunk")
+        if not size:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _inflated(data: bytes, window: int, most: int) -> bytes:
+    """All members of a zlib, gzip or raw stream."""
+    out, room = [], most
+    while data:
+        stream = zlib.decompressobj(window)
+        try:
+            part = stream.decompress(data, room + 1)
+        except zlib.error as e:
+            raise ValueError(f"a broken encoded body: {e}") from None
+        room -= len(part)
+        if room < 0:
+            raise ValueError("a body beyond max_body")
+        if not stream.eof:
+            raise ValueError("a broken encoded body: cut off")
+        out.append(part)
+        data = stream.unused_data if window == 47 and stream.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
+def decoded(body: bytes, coding: str, most: int = MAX_BODY) -> bytes:
+    """A body out of the codings that a Content-Encoding header names, applied last first."""
+    for kind in reversed([x.strip().lower() for x in coding.split(",") if x.strip()]):
+        if not body or kind == "identity":
+            continue
+        if kind in ("gzip", "x-gzip"):
+            body = _inflated(body, 47, most)
+        elif kind == "deflate":
+            raw = (body[0] & 15) != 8 or (body[0] << 8 | (body[1] if len(body) > 1 else 0)) % 31
+            body = _inflated(body, -15 if raw else 15, most)
+        elif kind == "zstd":
+            try:
+                body = zstandard.ZstdDecompressor().stream_reader(body).read(most + 1)
+            except zstandard.ZstdError as e:
+                raise ValueError(f"a broken encoded body: {e}") from None
+        else:
+            raise ValueError(f"an unknown Content-Encoding: {kind}")
+        if len(body) > most:
+            raise ValueError("a body beyond max_body")
+    return body
+
+
 def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     own = [*headers, ("Content-Length", str(len(block)))]
     lines = [VERSION, *(f"{k}: {' '.join(v.split())}".encode("utf-8", "surrogatepass") for k, v in own)]
@@ -90,7 +213,7 @@ def response_record(key: str, url: str | None, page: str | None, date: str) -> b
     return write_record(headers, block)
 
 
-def derive(record: bytes) -> list[dict]:
+def derive(record: bytes, max_body: int = MAX_BODY) -> list[dict]:
     """The metadata and the conversion record of a response record."""
     headers, block = read_record(record)
     get = {k.lower(): v for k, v in headers}.get
@@ -99,37 +222,41 @@ def derive(record: bytes) -> list[dict]:
     http_head, gap, body = block.partition(b"\r\n\r\n")
     lines = http_head.split(b"\r\n")
     http = _fields(lines[1:])
-    kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    said = {k.lower(): v for k, v in reversed(http)}
+    kind = said.get("content-type", "")
+    entity = dechunked(body) if "chunked" in said.get("transfer-encoding", "").lower() else body
+    content = decoded(entity, said.get("content-encoding", ""), max_body)
     charset = _CHARSET.search(kind)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = content.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):  # an unknown charset, or one that isn't of text
+        page = content.decode("utf-8", "replace")
     source, uri = get("warc-record-id", ""), get("warc-target-uri")
-    title = _TITLE.search(page)
+    plain, title, targets = scan(page)
     links = []
-    for m in _LINK.finditer(_DROPPED.sub(" ", page)):
-        raw = html.unescape(next(x for x in m.groups() if x is not None))
+    for raw in targets:
         try:
             links.append(urljoin(uri or "", raw))
         except ValueError:
             links.append(raw)
-    facts = [("title", plain_text(title[1]) if title else ""), *(("outlink", x) for x in links)]
+    facts = [("title", title), *(("outlink", x) for x in links)]
     facts += [(f"source-{k}", v) for k, v in headers if k.lower() != "content-length"]
     facts += [("http-status", lines[0].decode("utf-8", "replace")), *((f"http-{k}", v) for k, v in http)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    text = plain.encode("utf-8", "surrogatepass")
     out = []
-    for type_, content, own in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
+    for type_, media, own in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
         key = named(type_, source)
         made = [("WARC-Type", type_), ("WARC-Record-ID", key), ("WARC-Date", get("warc-date", "")), ("WARC-Refers-To", source)]
         if uri is not None:
-            made.append(("WARC-Target-URI", uri))
-        made += [("Content-Type", content), ("WARC-Block-Digest", digest(own))]
+            made += [("WARC-Target-URI", uri), ("WARC-Refers-To-Target-URI", uri)]
+        if get("warc-date"):
+            made.append(("WARC-Refers-To-Date", get("warc-date")))
+        made += [("Content-Type", media), ("WARC-Block-Digest", digest(own))]
         out.append({
             "record_type": type_, "record_id": key, "refers_to": source, "target_uri": uri, "date": get("warc-date"),
             "block_digest": digest(own), "source_block_digest": get("warc-block-digest"), "source_payload_digest": get("warc-payload-digest"),
-            "payload_intact": get("warc-payload-digest") in (None, digest(body)), "n_links": len(links) if type_ == "metadata" else None,
+            "payload_intact": get("warc-payload-digest") in (None, digest(body), digest(entity)), "n_links": len(links) if type_ == "metadata" else None,
             "content_length": len(own), "record": write_record(made, own), "error": None,
         })
     return out
@@ -139,7 +266,7 @@ DERIVED = "page_id long, record_type string, record_id string, refers_to string,
 _ARROW = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "block_digest", "source_block_digest", "source_payload_digest")), ("payload_intact", pa.bool_()), ("n_links", pa.int32()), ("content_length", pa.int64()), ("record", pa.binary()), ("error", pa.string())])
 
 
-def derivatives(records: DataFrame, id_col: str = "page_id", record: str = "record") -> DataFrame:
+def derivatives(records: DataFrame, id_col: str = "page_id", record: str = "record", max_body: int = MAX_BODY) -> DataFrame:
     """Two rows for each response record in ``record``."""
 
     def run(batches):
@@ -149,7 +276,7 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record: str = "reco
                 if data is None:
                     continue
                 try:
-                    rows += [{"page_id": page} | x for x in derive(bytes(data))]
+                    rows += [{"page_id": page} | x for x in derive(bytes(data), max_body)]
                 except ValueError as e:
                     rows.append({"page_id": page, "error": str(e)})
             if rows:
