@@ -1,8 +1,10 @@
 """License scans: phrase places, and an exact set-similarity join with license templates.
 
-The join finds every block of a text (``block_words`` words, a new block every
-``stride`` words) whose distinct words contain at least ``containment`` of a
-template's.  All words of templates are ordered by their frequency over all texts,
+Templates go by classes of length: one of up to K words, K a power of two from
+``least_words`` on, is looked for in blocks of 2 K words, a new one every K / 2 words, so
+an occurrence of up to 1.5 K words lies in some block whole.  The join finds every block
+of a text whose distinct words contain at least ``containment`` of a template's of that
+class.  All words of templates are ordered by their frequency over all texts,
 rarest first.  A template of n words that must share o = ceil(containment * n) shares
 one of its n - o + 1 rarest, so only those are indexed (prefix filter); a block with
 fewer than o words that any template has is passed over (length filter); and a block is
@@ -14,11 +16,13 @@ Templates are a table of labelled texts that is small by nature: it is checked a
 
 Edge cases: null and empty texts have no words and no labels.  Ties in frequency are
 ordered by the word.  Repeated rows are scanned one by one.  No templates: only phrases.
+A template without words is left out.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -45,6 +49,51 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
 )
 _SPACES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -52,8 +101,7 @@ _SPACES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 9
 @dataclass(frozen=True)
 class Params:
     containment: float = 0.85
-    block_words: int = 64
-    stride: int = 32
+    least_words: int = 32  # of the shortest class
     max_template_words: int = 100_000
 
 
@@ -66,47 +114,47 @@ class Index:
     """Templates under a global order of their words."""
 
     def __init__(self, templates, frequency: dict[bytes, int], p: Params):
-        self.p = p
-        sets = [(label, set(words_of(text.encode()))) for label, text in templates]
-        self.rank = {w: i for i, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates, self.prefix = [], {}
-        for label, own in sets:
+        read = [(label, words_of(text.encode())) for label, text in templates]
+        self.rank = {w: i for i, w in enumerate(sorted({w for _, own in read for w in own}, key=lambda w: (frequency.get(w, 0), w)))}
+        self.templates: list[tuple[str, frozenset, int, int]] = []
+        self.prefix: dict[int, dict[int, list]] = {}  # class -> rank -> (template, place in its order)
+        for label, own in read:
             if not own:
                 continue
-            order = sorted(self.rank[w] for w in own)
-            need = math.ceil(p.containment * len(order) - 1e-9)
+            order = sorted({self.rank[w] for w in own})
+            need = max(1, math.ceil(p.containment * len(order) - 1e-9))
+            words = max(p.least_words, 1 << (len(own) - 1).bit_length())
             t = len(self.templates)
             self.templates.append((label, frozenset(order), len(order), need))
             for i in range(len(order) - need + 1):
-                self.prefix.setdefault(order[i], []).append((t, i))
-        self.first = {w: r for w, r in self.rank.items() if r in self.prefix}
-
-    def matches(self, words: list[bytes]) -> dict[tuple[int, int], float]:
-        """Containment of each (block, template) that meets the threshold."""
-        first, p = self.first, self.p
-        found: dict[tuple[int, int], float] = {}
-        hits = [i for i, w in enumerate(words) if w in first]
-        if not hits:
+                self.prefix.setdefault(words, {}).setdefault(order[i], []).append((t, i))
+
+    def matches(self, words: list[bytes]) -> dict[tuple[int, int, int], float]:
+        """Containment of each (class, block, template) that meets the threshold."""
+        found: dict[tuple[int, int, int], float] = {}
+        places = [(i, r) for i, r in enumerate(map(self.rank.get, words)) if r is not None]
+        if not places:
             return found
-        last = max(0, math.ceil((len(words) - p.block_words) / p.stride))
-        blocks = sorted({b for i in hits for b in range(max(0, (i - p.block_words) // p.stride + 1), min(last, i // p.stride) + 1)})
-        for b in blocks:
-            start = b * p.stride
-            own = sorted({self.rank[w] for w in words[start : start + p.block_words] if w in self.rank})
-            alive: dict[int, bool] = {}
-            for j, r in enumerate(own):
-                for t, i in self.prefix.get(r, ()):
-                    if t in alive:
-                        continue
-                    _, order, n, need = self.templates[t]
-                    # this is the first word that both share: the rest has to make up for it
-                    alive[t] = len(own) >= need and 1 + min(len(own) - j - 1, n - i - 1) >= need
-            for t, ok in alive.items():
-                if ok:
-                    _, order, n, need = self.templates[t]
-                    shared = sum(r in order for r in own)
-                    if shared >= need:
-                        found[b, t] = shared / n
+        where, ranks = [i for i, _ in places], [r for _, r in places]
+        for size, prefix in self.prefix.items():
+            block, stride = 2 * size, size // 2 or 1
+            last = max(0, math.ceil((len(words) - block) / stride))
+            blocks = {b for i, r in places if r in prefix for b in range(max(0, (i - block) // stride + 1), min(last, i // stride) + 1)}
+            for b in sorted(blocks):
+                own = sorted(set(ranks[bisect_left(where, b * stride) : bisect_left(where, b * stride + block)]))
+                alive: dict[int, bool] = {}
+                for j, r in enumerate(own):
+                    for t, i in prefix.get(r, ()):
+                        if t not in alive:
+                            _, _, n, need = self.templates[t]
+                            # this is the first word that both share: the rest has to make up for it
+                            alive[t] = len(own) >= need and 1 + min(len(own) - j - 1, n - i - 1) >= need
+                for t, ok in alive.items():
+                    if ok:
+                        _, order, n, need = self.templates[t]
+                        shared = sum(r in order for r in own)
+                        if shared >= need:
+                            found[size, b, t] = shared / n
         return found
 
 
@@ -115,9 +163,11 @@ def phrase_places(words: list[bytes], phrases) -> dict[str, list[int]]:
     joined, out = b" " + b" ".join(words) + b" ", {}
     for phrase, label in phrases:
         key = b" " + phrase + b" "
-        at = joined.find(key)
+        at, seen, word = joined.find(key), 0, 0
         while at >= 0:
-            out.setdefault(label, []).append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", seen, at)
+            seen = at
+            out.setdefault(label, []).append(word)
             at = joined.find(key, at + 1)
     return out
 
@@ -159,9 +209,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, params: Params |
                 found = own.matches(words)
                 starts = [i for x in places.values() for i in x]
                 row = (doc, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(places)))
-                labels = {own.templates[t][0] for _, t in found} | set(places)
+                labels = {own.templates[t][0] for *_, t in found} | set(places)
                 score = 1.0 if places else max(found.values(), default=0.0)
-                for c, v in zip(out, (*row, ",".join(sorted(labels)), score, len({b for b, _ in found}))):
+                for c, v in zip(out, (*row, ",".join(sorted(labels)), score, len({key[:2] for key in found}))):
                     out[c].append(v)
             types = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
             yield pa.record_batch([pa.array(out[c], types[t]) for c, t in (x.split() for x in SCANNED.split(", "))], names=list(out))
