@@ -13,8 +13,10 @@ canvas as RGBA, and a colour histogram (RGB, 8 levels a channel, as "bin:count")
 the stored bytes back through the decoder and digests what it read.
 
 Edge cases: a null or empty text is 64 zero bytes.  Null media give no frame rows;
-broken media give one row with ``error`` set and null columns.  Texts of any length
-are stored in frames of at most ``ROWS`` rows, so memory doesn't grow with one frame.
+broken media give one row with ``error`` set and null columns after the frames that could
+be read; so does a canvas of more than ``most_pixels``.  Texts of any length are stored in
+frames of at most ``ROWS`` rows, so memory doesn't grow with one frame.  Repeated rows are
+stored one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from lattica.session import prepare
 
 WIDTH, ROWS, DELAY_CS = 64, 1024, 10
 TABLE = 4096
+MOST_PIXELS = 1 << 24  # of a canvas, 64 MB
 
 
 class GifError(ValueError):
@@ -69,8 +72,8 @@ def code_widths(first: int, n: int, bits: int) -> np.ndarray:
     return _schedule(bits)[np.minimum(np.arange(first, first + n), 2 * TABLE - 1)]
 
 
-def _strings(codes: np.ndarray, clear: int) -> bytes:
-    """What the codes since a clear stand for.
+def _strings(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """What the codes since a clear stand for, as far as it takes to make ``most`` samples.
 
     Code k + clear + 2 is the string of the k-th code followed by the first sample of
     the next one, so each string is a chain of earlier codes that ends in a literal.
@@ -87,6 +90,10 @@ def _strings(codes: np.ndarray, clear: int) -> bytes:
             break
         root = further
     ends = np.cumsum(size + 1)
+    if len(ends) and ends[-1] > most:
+        used = int(np.searchsorted(ends, most)) + 1
+        if used < len(codes):
+            return _strings(codes[:used], clear, most)
     first = codes[root].astype(np.uint8)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
     out[ends - size - 1] = first
@@ -107,6 +114,7 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
     total, at, since, run = len(data) * 8, 0, 0, 1024
     out: list[bytes] = []
     held: list[np.ndarray] = []  # codes since the last clear
+    made = 0
     while at < total:
         widths = code_widths(since, run, bits)
         ends = at + np.cumsum(widths)
@@ -123,13 +131,13 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
             continue
         used = int(marks[0])
         held.append(codes[:used])
-        out.append(_strings(np.concatenate(held), clear))
-        held = []
-        if codes[used] == stop:
+        out.append(_strings(np.concatenate(held), clear, most))
+        held, made = [], made + len(out[-1])
+        if codes[used] == stop or made >= most:
             break
         at, since, run = int(ends[used]), 0, max(256, min(TABLE, 2 * used))
     if held:
-        out.append(_strings(np.concatenate(held), clear))
+        out.append(_strings(np.concatenate(held), clear, most))
     return b"".join(out)[:most]
 
 
@@ -211,14 +219,16 @@ def _rows_of_interlace(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, step) for a, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes):
-    """Yield the frames of a GIF as they are shown."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS):
+    """Yield the frames of a GIF as they are shown; a larger canvas than ``most_pixels`` is an error."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     at, common = 13, None
     if flags & 0x80:
         common, at = _palette(data, at, flags)
+    if height * width > most_pixels:
+        raise GifError("a canvas beyond most_pixels")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     disposal = delay = clock = 0
     clear_index = None
@@ -243,6 +253,8 @@ def decode_gif(data: bytes):
         if palette is None:
             raise GifError("no palette")
         bits = data[at]
+        if not 2 <= bits <= 8:
+            raise GifError("a wrong code size")
         stream, at = _blocks(data, at + 1)
         samples = np.frombuffer(lzw_decode(stream, bits, w * h), dtype=np.uint8)
         if len(samples) < w * h:
@@ -253,6 +265,8 @@ def decode_gif(data: bytes):
             rows[_rows_of_interlace(h)] = samples
             samples = rows
         need_h, need_w = max(canvas.shape[0], top + h), max(canvas.shape[1], left + w)
+        if need_h * need_w > most_pixels:
+            raise GifError("a canvas beyond most_pixels")
         if (need_h, need_w) != canvas.shape[:2]:
             grown = np.zeros((need_h, need_w, 4), dtype=np.uint8)
             grown[: canvas.shape[0], : canvas.shape[1]] = canvas
@@ -312,8 +326,8 @@ def sparse(counts: np.ndarray) -> str:
 FRAMES = "doc_id long, frame int, start_cs long, delay_cs int, disposal int, width int, height int, rgba binary, histogram string, error string"
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", data: str = "media") -> DataFrame:
-    """A row for each timed frame of each GIF in ``data``."""
+def frames(media: DataFrame, id_col: str = "doc_id", data: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """A row for each timed frame of each GIF in ``data``, put out frame by frame; a broken file ends in a row with ``error``."""
     names = [x.split()[0] for x in FRAMES.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
 
@@ -322,14 +336,12 @@ def frames(media: DataFrame, id_col: str = "doc_id", data: str = "media") -> Dat
             for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
                 if blob is None:
                     continue
-                rows = []
+                batch_of = lambda *row: pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=names)
                 try:
-                    for i, f in enumerate(decode_gif(bytes(blob))):
-                        rows.append((doc, i, f.start_cs, f.delay_cs, f.disposal, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), sparse(histogram(f.rgba)), None))
-                except (GifError, IndexError, struct.error, ValueError) as e:
-                    rows = [(doc, *[None] * 8, str(e) or type(e).__name__)]
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    for i, f in enumerate(decode_gif(bytes(blob), most_pixels)):
+                        yield batch_of(doc, i, f.start_cs, f.delay_cs, f.disposal, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), sparse(histogram(f.rgba)), None)
+                except (GifError, IndexError, struct.error, ValueError, OverflowError) as e:
+                    yield batch_of(doc, *[None] * 8, str(e) or type(e).__name__)
 
     prepare(media.sparkSession)
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(data).alias("media")).mapInArrow(run, FRAMES)
