@@ -12,18 +12,25 @@ tried as both, so a window can have several templates.  Windows of
 contaminated by an item if it holds at least ``containment`` of the item's distinct
 windows and the slots agree: over the matched windows each slot value of the item
 stands for one value of the text for each time that the item occurs in it, for at least
-``agreement`` of the values.  So copies and questions with other numbers or names are
-both found, while windows that only share placeholders are not.
+``agreement`` of the values, and each name of the text for one of the item likewise.  So
+copies and questions with other numbers or names are both found, while windows that only
+share placeholders are not.  (Different numbers of an item may become equal ones.)
 
 What items have as names and literals is broadcast: it grows with their vocabulary.
 
 A window of a text takes part in the join only if a Bloom filter of fixed size that
-holds the benchmark's windows has it.  The benchmark's side is broadcast up to
-``broadcast_rows`` windows and shuffled beyond, with Spark's skew handling.
+holds the benchmark's windows has it.  A text that holds enough of an item holds one of
+its n - ceil(containment * n) + 1 rarest windows, by the texts that have them; only those
+make candidates, so a window that many texts and items share pairs none of them by
+itself.  The benchmark's side is broadcast up to ``broadcast_rows`` windows and shuffled
+beyond, with Spark's skew handling.
 
 Edge cases: null texts are empty; a text without words has no window and is clean; a
-text or item shorter than the window is a single window.  Rows that share an id are
-judged together, and so are those without one.  An empty benchmark finds nothing.
+text or item shorter than the window is a single window.  An item of at least
+``least_words`` and fewer words than the window is looked for inside texts too, if two of
+its words are literals; a shorter one is found in a text that has nothing else.  Rows are
+judged by id and text: rows that share an id, or have none, apart unless their texts are
+equal.  Repeated rows and items count once.  An empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -33,15 +40,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lattica.llm.text import U64, Words, hash_words, lists, mix, pieces, signed, text_column
 from lattica.session import cut, prepare
 
 EDGES = b".,;:!?\"'`()[]{}<>*#&_/\\|~-"
 #: Words that count as numbers, and units that follow them.
-NUMBER_WORDS = frozenset(b"two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
+NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset(b"mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres mg g kg lb lbs oz gram grams kilogram kilograms ton tons pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh hz khz mhz w kw v a c f k percent % dollar dollars euro euros cent cents usd eur".split())
 COMMON = frozenset(
     b"a an the this that these those there here it he she they we you i if when while where what which who whom whose why how in on at by for from to of with "
@@ -51,8 +59,10 @@ COMMON = frozenset(
 )
 NUMBER = re.compile(rb"[+$-]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
 SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = hash_words([b" number", b" name", b" unit"])
-LITERAL, IS_NUMBER, IS_UNIT = 0, 1, 2
+IS_NUMBER, IS_UNIT = 1, 2
+A_NAME, A_NUMBER, A_UNIT = 1, 2, 3  # the last two bits of a slot's value
 FILTER_BITS = 26
+LEAST_LITERALS = 2  # of a window that is shorter than others
 
 
 @dataclass(frozen=True)
@@ -60,6 +70,7 @@ class Params:
     window: int = 5
     containment: float = 0.8
     agreement: float = 0.8
+    least_words: int = 3
     broadcast_rows: int = 200_000
 
 
@@ -135,8 +146,8 @@ def canonical(texts: pa.Array, known: Lexicon | None = None, item: bool = True)
         both = name & literal
         name &= ~literal
     code, slot = value[ids], np.zeros(len(ids), U64)
-    for mask, mark in ((number, SLOT_NUMBER), (name, SLOT_NAME), (unit, SLOT_UNIT)):
-        slot[mask] = value[ids[mask]]
+    for mask, mark, kind_of in ((number, SLOT_NUMBER, A_NUMBER), (name, SLOT_NAME, A_NAME), (unit, SLOT_UNIT, A_UNIT)):
+        slot[mask] = typed(value[ids[mask]], kind_of)
         code[mask] = mark
     keep = held[ids]
     offsets = np.concatenate([[0], np.cumsum(keep)])[words.offsets]
@@ -149,48 +160,81 @@ def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def windows(text: Canonical, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first words, texts and templates (a bit for each word taken as a name that may be both) of all windows; shorter texts are one window."""
+def typed(values: np.ndarray, kind: int) -> np.ndarray:
+    return values & U64(2**64 - 4) | U64(kind)
+
+
+@dataclass
+class Windows:
+    """Hashes, first words, lengths and texts of windows, and a bit for each word taken as a name that may be both."""
+
+    key: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    taken: np.ndarray
+
+    def only(self, at: np.ndarray) -> Windows:
+        return Windows(self.key[at], self.start[at], self.size[at], self.doc[at], self.taken[at])
+
+
+def windows(text: Canonical, width: int, shorter: tuple[int, ...] = ()) -> Windows:
+    """All windows; shorter texts are one window.  ``shorter``: lengths of further windows of longer texts."""
     offsets = text.offsets
     lens = np.diff(offsets)
-    count = np.where(lens >= width, lens - width + 1, np.minimum(lens, 1))
-    doc = np.repeat(np.arange(len(lens)), count)
-    last = np.cumsum(count)
-    start = np.arange(last[-1] if len(last) else 0) - np.repeat(last - count, count) + np.repeat(offsets[:-1], count)
+    starts, docs, sizes = [], [], []
+    for size in (width, *shorter):
+        count = np.where(lens >= size, lens - size + 1, np.minimum(lens, 1)) if size == width else np.where(lens > size, lens - size + 1, 0)
+        doc = np.repeat(np.arange(len(lens)), count)
+        last = np.cumsum(count)
+        start = np.arange(last[-1] if len(last) else 0) - np.repeat(last - count, count) + np.repeat(offsets[:-1], count)
+        own = np.minimum(size, lens[doc])
+        if size < width:
+            literal = np.concatenate([[0], np.cumsum(text.code == text.value)])
+            told = literal[start + size] - literal[start] >= LEAST_LITERALS
+            doc, start, own = doc[told], start[told], own[told]
+        starts.append(start)
+        docs.append(doc)
+        sizes.append(own)
+    start, doc, size = np.concatenate(starts), np.concatenate(docs), np.concatenate(sizes)
     key, taken = np.zeros(len(start), U64), np.zeros(len(start), np.int64)
     code, both = np.concatenate([text.code, np.zeros(width, U64)]), np.concatenate([text.both, np.zeros(width, bool)])
     for k in range(width):
-        inside = start + k < offsets[1:][doc]
+        key *= U64(0x9E3779B97F4A7C15)
+        inside, word = k < size, code[start + k]
         alt = np.flatnonzero(both[start + k] & inside)
-        key = key * U64(0x9E3779B97F4A7C15)
-        named, key = key[alt] + SLOT_NAME, key + np.where(inside, code[start + k], U64(0))
-        key, taken = np.concatenate([key, named]), np.concatenate([taken, taken[alt] | 1 << k])
-        start, doc = np.concatenate([start, start[alt]]), np.concatenate([doc, doc[alt]])
-    return mix(key), start, doc, taken
-
-
-def _slots(text: Canonical, start: np.ndarray, end: np.ndarray, taken: np.ndarray, width: int) -> pa.Array:
-    slot, value = (np.concatenate([x, np.zeros(width, U64)]) for x in (text.slot, text.value))
-    own = lambda k: np.where(taken >> k & 1 == 1, value[start + k], slot[start + k])
-    table = np.stack([np.where(start + k < end, own(k), U64(0)) for k in range(width)], axis=1) if len(start) else np.zeros((0, width), U64)
+        named = key[alt] + SLOT_NAME
+        key += word if inside.all() else np.where(inside, word, U64(0))
+        if len(alt):
+            key, taken = np.concatenate([key, named]), np.concatenate([taken, taken[alt] | 1 << k])
+            start, doc, size = np.concatenate([start, start[alt]]), np.concatenate([doc, doc[alt]]), np.concatenate([size, size[alt]])
+    return Windows(mix(key), start, size, doc, taken)
+
+
+def _slots(text: Canonical, found: Windows, width: int) -> pa.Array:
+    slot, value = (np.concatenate([x, np.zeros(width, U64)]) for x in (text.slot, typed(text.value, A_NAME)))
+    start = found.start
+    own = lambda k: np.where(found.taken >> k & 1 == 1, value[start + k], slot[start + k])
+    table = np.stack([np.where(k < found.size, own(k), U64(0)) for k in range(width)], axis=1) if len(start) else np.zeros((0, width), U64)
     return lists(np.arange(len(start) + 1) * width, pa.array(signed(table.reshape(-1))))
 
 
-def _windowing(width: int, lexicon, shared=None):
+def _windowing(width: int, lexicon, shared=None, shorter: tuple[int, ...] = ()):
     """``lexicon``: a broadcast; ``shared``: one of the filter's words, for texts: only windows that it has come out."""
 
     def run(batches):
         bits = shared.value if shared is not None else None
         for batch in pieces(batches, limit=1 << 20):
             text = canonical(text_column(batch), lexicon.value, bits is None)
-            keys, start, doc, taken = windows(text, width)
+            found = windows(text, width, shorter)
             if bits is not None:
+                held = np.arange(len(found.key))
                 for shift in (0, FILTER_BITS):
-                    at = (keys >> U64(shift)) & U64((1 << FILTER_BITS) - 1)
-                    hit = (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-                    keys, start, doc, taken = keys[hit], start[hit], doc[hit], taken[hit]
-            own = batch.column("id").take(pa.array(doc))
-            yield pa.record_batch({"id": own, "win": pa.array(signed(keys)), "slots": _slots(text, start, text.offsets[1:][doc], taken, width)})
+                    at = (found.key[held] >> U64(shift)) & U64((1 << FILTER_BITS) - 1)
+                    held = held[(bits[(at >> U64(3)).view(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
+                found = found.only(held)
+            doc = pa.array(found.doc)
+            yield pa.record_batch({"id": batch.column("id").take(doc), "row": batch.column("row").take(doc), "win": pa.array(signed(found.key)), "size": pa.array(found.size.astype(np.int32)), "slots": _slots(text, found, width)})
 
     return run
 
@@ -216,7 +260,12 @@ def _lexicon(benchmark: DataFrame) -> Lexicon:
     return Lexicon(lower, *of(Lexicon(lower, names, nothing), (1, 2)))
 
 
-_WINDOWS = "id long, win long, slots array<long>"
+_WINDOWS = "id long, row long, win long, size int, slots array<long>"
+
+
+def row_of(id_: str) -> Column:
+    """What rows are told apart by: the id and the text."""
+    return F.xxhash64(F.col(id_).cast("long"), "text")
 
 
 def _filter(bench: DataFrame) -> np.ndarray:
@@ -230,33 +279,57 @@ def _filter(bench: DataFrame) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, item_id, n_windows, containment and slot_agreement of each contaminated text and item."""
+    """doc_id, item_id, n_windows, containment, slot_agreement and row (``row_of``) of each contaminated text and item."""
     p = params or Params()
     spark = prepare(docs.sparkSession)
     lexicon = spark.sparkContext.broadcast(_lexicon(benchmark))
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window, lexicon), _WINDOWS))
+    listed = benchmark.select(F.col("item_id").cast("long").alias("id"), row_of("item_id").alias("row"), "text").dropDuplicates(["row"])
+    items = cut(listed.mapInArrow(_windowing(p.window, lexicon), _WINDOWS))
+    shorter = tuple(sorted(r.size for r in items.where((F.col("size") < p.window) & (F.col("size") >= p.least_words)).select("size").distinct().collect()))
     shared = spark.sparkContext.broadcast(_filter(items))
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windowing(p.window, lexicon, shared), _WINDOWS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), row_of("doc_id").alias("row"), "text")
+    found = texts.mapInArrow(_windowing(p.window, lexicon, shared, shorter), _WINDOWS)
     # repeats within a text count: they tell how often the item occurs in it
-    mine = found.groupBy("id", "win", "slots").agg(F.count("*").alias("times"))
-    bench = items.select(F.col("id").alias("item_id"), "win", F.col("slots").alias("item_slots")).distinct()
-    if items.count() <= p.broadcast_rows:
-        bench = F.broadcast(bench)
-    both = cut(mine.withColumnRenamed("id", "doc_id").join(bench, "win"))
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("win").alias("n_windows"))
-    per = both.groupBy("doc_id", "item_id", "win").agg(F.sum("times").alias("times"))
-    held = per.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("times").alias("copies"))
-    held = held.join(total.withColumnRenamed("item_id", "own_item"), F.col("item_id").eqNullSafe(F.col("own_item"))).drop("own_item")
-    held = held.withColumn("containment", F.col("matched") / F.col("n_windows")).where(F.col("containment") >= p.containment)
+    copies = texts.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1")
+    mine = found.groupBy("id", "row", "win", "slots").agg(F.count("*").alias("times"))
+    mine = cut(mine)
+    repeated = cut(copies.join(mine.select("row").distinct(), "row", "left_semi"))
+    if not repeated.isEmpty():
+        mine = mine.join(repeated, "row", "left").withColumn("times", (F.col("times") / F.coalesce("rows", F.lit(1))).cast("long")).drop("rows")
+    small = items.count() <= p.broadcast_rows
+    near = F.broadcast if small else (lambda x: x)
+    bench = items.select(F.col("row").alias("item"), F.col("id").alias("item_id"), "win", F.col("slots").alias("item_slots")).distinct()
+    # candidates: what shares one of an item's rarest windows
+    distinct = bench.select("item", "win").distinct()
+    counts = mine.join(near(distinct.select("win").distinct()), "win", "left_semi").select("row", "win").distinct().groupBy("win").agg(F.count("*").alias("texts"))
+    each = W.partitionBy("item")
+    ordered = distinct.join(counts, "win", "left").withColumns({
+        "n_windows": F.count("*").over(each),
+        "place": F.row_number().over(each.orderBy(F.coalesce("texts", F.lit(0)), "win")),
+    })
+    rarest = cut(ordered.where(F.col("place") <= F.col("n_windows") - F.ceil(p.containment * F.col("n_windows") - 1e-9) + 1).select("item", "win", "n_windows"))
+    pairs = cut(mine.select("row", "win").join(near(rarest), "win").select("row", "item", "n_windows").distinct())
+    both = cut(mine.withColumnRenamed("id", "doc_id").join(pairs, "row").join(near(bench), ["item", "win"]))
+    who = ["row", "item"]
+    per = both.groupBy(*who, "win").agg(F.sum("times").alias("times"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"))
+    held = per.groupBy(who).agg(F.count("*").alias("matched"), F.max("times").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "item_id", "n_windows")))
+    held = held.withColumn("containment", F.col("matched") / F.col("n_windows")).where(F.col("containment") >= p.containment - 1e-9)
     pair = F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")
-    values = both.select("doc_id", "item_id", pair).select("doc_id", "item_id", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("a <> 0")
-    values = values.groupBy("doc_id", "item_id", "a").agg(F.countDistinct("b").alias("n"))
-    joined = held.alias("h").join(values.alias("v"), F.col("h.doc_id").eqNullSafe(F.col("v.doc_id")) & F.col("h.item_id").eqNullSafe(F.col("v.item_id")), "left")
-    agreed = joined.groupBy("h.doc_id", "h.item_id", "n_windows", "containment").agg(F.coalesce(F.avg(F.when(F.col("n").isNull() | (F.col("n") <= F.col("copies")), 1.0).otherwise(0.0)), F.lit(1.0)).alias("slot_agreement"))
-    return agreed.where(F.col("slot_agreement") >= p.agreement).select("doc_id", "item_id", "n_windows", "containment", "slot_agreement")
+    values = both.join(held.select(*who, "copies"), who).select(*who, "copies", pair).select(*who, "copies", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("a <> 0").distinct()
+
+    def agreeing(one: str, other: str, name: str, rows: DataFrame) -> DataFrame:
+        """The share of values ``one`` that stand for no more values ``other`` than the text has copies."""
+        n = rows.groupBy(*who, one).agg(F.count("*").alias("n"), F.first("copies").alias("copies"))
+        return n.groupBy(who).agg(F.avg((F.col("n") <= F.col("copies")).cast("double")).alias(name))
+
+    kind = lambda c: F.col(c).bitwiseAND(3)
+    named = values.where((kind("a") == A_NAME) & (kind("b") == A_NAME))
+    agreed = held.join(agreeing("a", "b", "there", values), who, "left").join(agreeing("b", "a", "back", named), who, "left")
+    agreed = agreed.withColumn("slot_agreement", F.least(F.coalesce("there", F.lit(1.0)), F.coalesce("back", F.lit(1.0))))
+    return agreed.where(F.col("slot_agreement") >= p.agreement).select("doc_id", "item_id", "n_windows", "containment", "slot_agreement", "row")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    bad = cut(leaks(docs, benchmark, params).select(F.col("doc_id").alias("leaking_id")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_id")), "left_anti")
+    bad = cut(leaks(docs, benchmark, params).select(F.col("row").alias("__row")).distinct())
+    return docs.withColumn("__row", row_of("doc_id")).join(bad, "__row", "left_anti").drop("__row")
