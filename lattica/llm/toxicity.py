@@ -8,13 +8,18 @@ on, a text has, hashed to ``2**bits`` buckets.  With one weight vector w for all
 Training reads at most ``max_rows`` labelled rows, those with the smallest hash of
 their id, so the sample doesn't depend on how rows are dealt.  A first pass over them
 keeps the ``max_features`` buckets that toxic rows have most above chance (at least
-``least_z`` standard deviations), a second one fits w and theta by proximal AdaGrad on
-the mean negative log-likelihood with a small L1 term.  Scoring reads every text whole
-and puts out the expected severity, the sum over k of P(grade >= k).
+``least_z`` standard deviations), a second one fits w and theta on the mean negative
+log-likelihood with a small L1 term, by accelerated proximal gradient steps that restart
+where the momentum points uphill.  Weights are held at zero or above, since only what
+toxic rows have more often is kept; thresholds are held in order.  It makes ``rounds``
+steps, and what they reach is the model.  Scoring reads every text whole and puts out the
+expected severity, the sum over k of P(grade >= k).
 
 Edge cases: a null or empty text has no features and gets the score of the
 thresholds alone.  Labels that are null are left out; of repeated labels of one id
-the largest counts.  Without labels, or with a single grade, nothing is toxic.
+the largest counts.  Of documents that share a labelled id the least text is trained on,
+and each is scored.  Without labels, or with a single grade, nothing is toxic.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,7 +145,11 @@ def train(docs: DataFrame, grades: DataFrame, params: Params | None = None) -> M
     one = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)  # a proven bound, so it can be broadcast
     texts = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text"))
-    n, bad = texts.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0))).first()
+    totals = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)), F.countDistinct("doc_id")).first()
+    n, bad, ids = totals(texts)
+    if n > ids:  # repeated ids, which the sample's bound doesn't count
+        texts = cut(texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text")))
+        n, bad, ids = totals(texts)
 
     def count(batches):
         for batch in pieces(batches):
