@@ -13,7 +13,8 @@ The filter is cut into segments by the pairs' hash, each built whole by one task
 and sized for what it holds, so its error rate is the same at every size.  A
 broadcast holds up to ``max_filter_bytes``; a larger filter is cut into shards of
 that size, and each shard is one more pass that scores the positions whose pair
-it holds (a text's score is a sum over positions, so the passes add up).
+it holds (a text's score is a sum over positions, so the passes add up).  Rows are numbered
+and written once before several passes.
 
 Word counts: the most frequent words (at most ``top_words``) are broadcast with
 exact counts.  The rest is joined by hash, one row a document and word, with count 0
@@ -22,7 +23,8 @@ are carried with their level and scored after that join, from the same exact cou
 
 Edge cases: a null or empty text is the end token alone.  A row whose id is null
 counts as training and is scored under a null id.  Repeated rows are scored one
-by one.  No training text: N = V = 0, every probability is 1 / 1.
+by one.  No training text: N = V = 0, every probability is 1 / 1.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -388,8 +390,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     table = sc.broadcast((top, counts))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    groups = list(_shards(model))
+    if len(groups) > 1:  # every pass has to see the same numbers, whatever is computed again
+        rows = cut(rows)
     whole, parts, held = None, [], [table]
-    for group in _shards(model):
+    for group in groups:
         shard = sc.broadcast(_filter(model, group))
         run = _scoring(table, shard, n, v, p, whole is None)
         if whole is None:
