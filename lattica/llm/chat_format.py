@@ -4,8 +4,9 @@ Turns are written as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings
 texts get a backslash after their first character (and one more where backslashes
 stand there already), which reading takes away again, so they never act as marks.
 
-A conversation is cut into windows at turns.  Running sums of the turns' tokens (words
-here) say where: a window holds the system turn (a first turn with that role), up to
+A conversation is cut into windows at turns.  Running sums of the turns' tokens (those of
+``model_file``'s pieces, or words without one, and four for the marks and line ends) say
+where: a window holds the system turn (a first turn with that role), up to
 ``history_turns`` and ``history_tokens`` of the turns before, and as many new turns as
 the budget has room for, at least one: a turn beyond the budget stands alone and is
 flagged.  Only new assistant texts are under the loss mask; what is repeated is masked.
@@ -24,11 +25,15 @@ import hashlib
 import re
 from collections import deque
 from dataclasses import dataclass, field
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.sentencepieces import encode_batch, loaded
+from lattica.llm.text import pieces, text_column
 from lattica.session import prepare, shuffle_partitions
 
 #: Control strings of common chat templates.
@@ -37,6 +42,7 @@ _REST = "|".join(re.escape(c[1:]) for c in CONTROLS)
 _FIRST = "[" + re.escape("".join(sorted({c[0] for c in CONTROLS}))) + "]"
 _RAW = re.compile(rf"({_FIRST}\\*)(?={_REST})")
 _ESCAPED = re.compile(rf"({_FIRST}\\*)\\(?={_REST})")
+MARKS = 4  # tokens of a turn's two marks and line ends
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 
@@ -58,9 +64,9 @@ def unescape_role(role: str) -> str:
 
 @dataclass(frozen=True)
 class Params:
-    budget: int = 2048
+    budget: int = 1024
     history_turns: int = 4
-    history_tokens: int = 512
+    history_tokens: int = 256
 
 
 @dataclass
@@ -86,9 +92,9 @@ class Windows:
     turns: int = 0
     done: int = 0
 
-    def add(self, role: str, text: str):
+    def add(self, role: str, text: str, tokens: int):
         """Windows that this turn closes."""
-        turn = _Turn(role, text, len(text.split()) + 2)
+        turn = _Turn(role, text, tokens)
         self.turns += 1
         if self.turns == 1 and role == "system":
             self.system, self.used = turn, turn.tokens
@@ -145,10 +151,17 @@ _ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa
 _FLUSH = 4 << 20
 
 
-def format_windows(turns: DataFrame, params: Params | None = None) -> DataFrame:
+def format_windows(turns: DataFrame, params: Params | None = None, model_file: str | None = None) -> DataFrame:
     """A row for each window of each conversation; the windows of one come in order."""
     p = params or Params()
     spark = prepare(turns.sparkSession)
+    model = spark.sparkContext.broadcast(Path(model_file).read_bytes()) if model_file else None
+
+    def counts(batch, column):
+        texts = text_column(batch, column)
+        if model is None:
+            return np.array([len(x.split()) for x in texts.to_pylist()], dtype=np.int64)
+        return np.diff(encode_batch(loaded(model), texts)[0])
 
     def run(batches):
         conv, state, rows, size = None, None, [], 0
@@ -162,13 +175,14 @@ def format_windows(turns: DataFrame, params: Params | None = None) -> DataFrame:
                 size += len(w["text"])
                 rows.append(w | {"conv_id": conv, "loss_spans": [{"start": a, "end": b} for a, b in w["loss_spans"]]})
 
-        for batch in batches:
-            for own, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+        for batch in pieces(batches):
+            tokens = (MARKS + counts(batch, "role") + counts(batch, "text")).tolist()
+            for own, role, text, size_of in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), tokens):
                 if state is None or own != conv:
                     if state is not None:
                         put(state.finish())
                     conv, state = own, Windows(p)
-                put(state.add(role, text))
+                put(state.add(role, text, size_of))
                 if size > _FLUSH:
                     yield batch_of(rows)
                     rows, size = [], 0
