@@ -1,15 +1,19 @@
+import gzip
 import hashlib
 import math
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from lattica.llm import chat_format, decontaminate, gif_media, license_scan, lm_scoring, sentencepieces, simhash, toxicity, url_filter, warc
+from lattica.llm import chat_format, decontaminate, gif_media, license_scan, lm_scoring, sentencepieces, toxicity, url_filter, warc
 from lattica.llm.queries import PIECES_FILE
 from lattica.llm.text import Words, pieces
 
@@ -76,44 +80,171 @@ def test_lm_filter_gives_exact_levels_but_for_false_positives():
     assert lm_scoring.level_of(np.array([1, 2, 3, 4, 8]), 2.0).tolist() == [1, 2, 2, 3, 4]
 
 
-def test_pieces_equal_the_library_and_round_trip(spark):
+@pytest.fixture(scope="module")
+def own_pieces():
+    return sentencepieces.Pieces(open(PIECES_FILE, "rb").read())
+
+
+ODD_TEXTS = ("", " ", "a  b ", "☃\n\n\t日本", "x" * 3000, "thenddd rering " * 40, " lead", "a\n b\tc", "ünder Ärger", "日本語 ☃ mixed")
+
+
+def test_pieces_equal_the_library_and_round_trip(spark, own_pieces):
+    """A unigram file is read as the library reads it; a BPE file gets scores by rank first."""
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     model = pb.ModelProto()
     with open(PIECES_FILE, "rb") as f:
         model.ParseFromString(f.read())
-    for p in model.pieces:  # the library adds in single precision, which such scores would drown
-        p.score = max(p.score, -40_000.0)
-    data = model.SerializeToString()
-    own = sentencepieces.Pieces(data)
+    for p, (_, score, _) in zip(model.pieces, own_pieces.pieces):
+        p.score = score
     model.trainer_spec.model_type = 1
-    theirs = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-    for text in ("the rendering of many words", "Über  two spaces", "日本語 ☃ mixed", " lead", "a\nb\tc", "thntnd eringshe ouen"):
-        assert own.encode(text) == theirs.encode(text), text
-    for text in ("", " ", "a  b ", "☃\n\n\t日本", "x" * 300, "thenddd rering " * 40):
-        ids, norm = own.encode(text), own.normalise(text)
-        assert own.decode(ids) == text
+    data = model.SerializeToString()
+    unigram, theirs = sentencepieces.Pieces(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for text in ("the rendering of many words", "Über  two spaces", "thntnd eringshe ouen", *ODD_TEXTS[1:]):
+        assert own_pieces.encode(text) == unigram.encode(text) == theirs.encode(text), text
+    for text in ODD_TEXTS:
+        ids, norm = own_pieces.encode(text), own_pieces.normalise(text)
+        assert own_pieces.decode(ids) == text
         for size in (1, 5, 1000):
-            assert [i for part in own.stream([norm[k : k + size] for k in range(0, len(norm), size)]) for i in part] == ids
-    coded = sentencepieces.encode(docs_of(spark, EDGE_DOCS), PIECES_FILE)
+            assert [i for part in own_pieces.stream([norm[k : k + size] for k in range(0, len(norm), size)]) for i in part] == ids
+    rows = [*EDGE_DOCS, *enumerate(ODD_TEXTS, 100), *enumerate(ODD_TEXTS, 100)]
+    coded = sentencepieces.encode(docs_of(spark, rows), PIECES_FILE)
+    assert {r.doc_id: r.ids for r in coded.collect() if r.doc_id and r.doc_id >= 100} == {i: own_pieces.encode(t) for i, t in enumerate(ODD_TEXTS, 100)}
     back = sorted(map(str, (r.text for r in sentencepieces.decode(coded, PIECES_FILE).collect())))
-    assert back == sorted(str(t or "") for _, t in EDGE_DOCS)
+    assert back == sorted(str(t or "") for _, t in rows)
+    assert sentencepieces.encode(docs_of(spark, rows).limit(0), PIECES_FILE).count() == 0
 
 
-def test_streaming_viterbi_is_optimal_by_brute_force():
-    own = sentencepieces.Pieces(open(PIECES_FILE, "rb").read())
-
+def test_streaming_viterbi_is_optimal_by_brute_force(own_pieces):
     def best(s):
         table = [0.0] + [-math.inf] * len(s)
         for j in range(1, len(s) + 1):
-            for i in range(max(0, j - own.longest), j):
-                piece, score = own.trie.get(s[i:j], (-1, 0))
+            for i in range(max(0, j - own_pieces.longest), j):
+                piece, score = own_pieces.trie.get(s[i:j], (-1, 0))
                 if piece >= 0:
                     table[j] = max(table[j], table[i] + score)
         return table[-1]
 
-    for s in ("▁retitioning", "▁thorreou", "▁ndernt▁the"):
-        assert sum(own.pieces[i][1] for part in own.stream(list(s)) for i in part) == best(s)
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("▁thernodig"), 300)) for _ in range(20)]
+    for s in ("▁retitioning", "▁thorreou", "▁ndernt▁the", *made):
+        for size in (1, 7, 100):
+            search = sentencepieces.Search(own_pieces)
+            ids = [i for k in range(0, len(s), size) for i in search.push(s[k : k + size])] + search.finish()
+            assert sum(own_pieces.pieces[i][1] for i in ids) == best(s)
+            assert "".join(own_pieces.pieces[i][0] for i in ids) == s
+
+
+def test_search_window_is_bounded_and_commits_early(own_pieces):
+    """A megabyte without a space, where nothing else ends a part."""
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 1 << 20))
+    search, first, widest, n = sentencepieces.Search(own_pieces), None, 0, 0
+    for at in range(0, len(text), 1000):
+        got = search.push(text[at : at + 1000])
+        n += len(got)
+        first = at if got and first is None else first
+        widest = max(widest, len(search.text))
+    assert first < 2000 and widest < 2 * (sentencepieces.CHECK + own_pieces.longest) + 64 and len(search.text) < 500
+    n += len(search.finish())
+    assert n == len(list(own_pieces.unit(text))) and own_pieces.kept_bytes <= sentencepieces.KEPT_BYTES
+
+
+def test_pieces_kept_stay_within_their_bytes(own_pieces, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "KEPT_BYTES", 20_000)
+    words = [f"word{i}tail" for i in range(500)]
+    ids = [own_pieces.encode(w) for w in words]
+    assert own_pieces.kept_bytes <= 20_000 and [own_pieces.encode(w) for w in words] == ids
+
+
+def test_pieces_make_about_as_many_ids_as_the_library_merges():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=PIECES_FILE)
+    own = sentencepieces.Pieces(open(PIECES_FILE, "rb").read())
+    texts = ["International organisations and their representatives were meeting to discuss environmental regulation.", "Le chat dort sur la chaise pendant que la pluie tombe doucement.", "def main(args): return [x for x in args if x is not None]"] * 3
+    assert sum(len(own.encode(t)) for t in texts) <= 1.05 * sum(len(theirs.encode(t)) for t in texts)
+
+
+def brute_reputation(hosts, p, suffixes):
+    """Of hosts {host: (n, bad)}: {host: (mean, lower bound, blocked)} by the formulas alone."""
+
+    def place(host):
+        bare = host.split("@")[-1]
+        bare = bare if bare.startswith("[") and bare.endswith("]") else re.sub(r":[^\]:]*$", "", bare)
+        bare = bare.rstrip(".")
+        labels = bare.split(".")
+        if bare.startswith("[") or (len(labels) == 4 and all(x.isdigit() for x in labels)):
+            return bare, bare
+        k = next((k for k in range(len(labels), 1, -1) if ".".join(labels[-k:]) in suffixes), 1)
+        return ".".join(labels[-k - 1 :]), ".".join(labels[-k:])
+
+    def total(keys):
+        out = {}
+        for key, (n, bad) in keys:
+            a, b = out.get(key, (0, 0))
+            out[key] = (a + n, b + bad)
+        return out
+
+    def strength(groups, mu):
+        own = [(n, bad, mu[k]) for k, (n, bad) in groups.items() if n]
+        below = sum((n - 1) * m * (1 - m) for n, _, m in own)
+        if not below:
+            return p.most_strength
+        rho = (sum((bad - n * m) ** 2 / n for n, bad, m in own) - sum(m * (1 - m) for _, _, m in own)) / below
+        return min(p.most_strength, max(p.least_strength, 1 / rho - 1)) if rho > 0 else p.most_strength
+
+    domains = total((place(h), x) for h, x in hosts.items())
+    tops = total((d[1], x) for d, x in domains.items())
+    overall = (sum(b for _, b in tops.values()) + 1) / (sum(n for n, _ in tops.values()) + 2)
+    mu = {s: overall for s in tops}
+    m = strength(tops, mu)
+    means = {s: (b + m * mu[s]) / (n + m) for s, (n, b) in tops.items()}
+    mu = {d: means[d[1]] for d in domains}
+    m = strength(domains, mu)
+    means = {d: (b + m * mu[d]) / (n + m) for d, (n, b) in domains.items()}
+    mu = {h: means[place(h)] for h in hosts}
+    m = strength(hosts, mu)
+    out = {}
+    for h, (n, bad) in hosts.items():
+        a, b = bad + m * mu[h], n - bad + m * (1 - mu[h])
+        mean = a / (a + b)
+        bound = mean - p.z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        out[h] = (mean, bound, bound > min(p.limit, p.lift * overall))
+    return out
+
+
+def test_host_reputation_equals_brute_force(spark):
+    """Hosts of mixed outcomes, with ports, users, addresses and long suffixes."""
+    rng = np.random.default_rng(6)
+    hosts = [f"{a}{d}.{s}{tail}" for d in ("one", "two", "three") for s in ("com", "co.uk", "net", "k12.ca.us") for a in ("", "www.", "x.y.") for tail in ("", ":8080", ".")]
+    hosts += ["10.0.0.1", "10.0.0.1:80", "10.0.0.2", "[::1]", "[::1]:443", "user@one.com", "com", "", "localhost"]
+    rates, rows = rng.beta(1, 4, len(hosts)), []
+    for i, h in enumerate(hosts):
+        rows += [(100 * i + j, f"http://{h.upper()}/p{j}", bool(rng.random() < rates[i]) if j % 3 else None) for j in range(rng.integers(1, 40))]
+    suffixes = (*url_filter.SUFFIXES, "k12.ca.us")
+    pages = spark.createDataFrame([r[:2] for r in rows] * 2, "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad boolean")
+    told: dict[str, tuple[int, int]] = {}
+    for i, url, bad in rows * 2:
+        host = url[7:].split("/")[0].lower()
+        n, b = told.get(host, (0, 0))
+        told[host] = (n + (bad is not None), b + bool(bad))
+    want = brute_reputation(told, url_filter.Params(), set(suffixes))
+    got = url_filter.judge(pages, labels, rules=(), suffixes=suffixes).collect()
+    assert len(got) == 2 * len(rows) and {r.host for r in got} == set(told)
+    for r in got:
+        mean, bound, blocked = want[r.host]
+        assert abs(r.bad_rate - mean) < 1e-9 and abs(r.lower_bound - bound) < 1e-9 and r.rule is None
+        assert r.verdict == ("block" if blocked else "allow")
+    assert len({r.verdict for r in got}) == 2
+
+
+def test_rules_of_equal_length_go_by_host_then_name(spark):
+    rules = (("block", "b.com", "/x/"), ("allow", "com", "/x/yy"), ("block", "a.b.com", "/x"), ("allow", "b.com", "/x/"))
+    pages = spark.createDataFrame([(1, "x://a.b.com/x/yy"), (2, "x://c.b.com/x/z"), (3, "x://zb.com/x/z"), (4, "x://b.com")], "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, bad boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, labels, rules).collect()}
+    assert got == {1: ("a.b.com/x", "block"), 2: ("b.com/x/", "block"), 3: (None, "allow"), 4: (None, "allow")}
 
 
 def test_host_reputation(spark):
@@ -137,11 +268,89 @@ def test_leaks(spark):
     docs = docs_of(spark, texts + EDGE_DOCS[:3])
     assert sorted(r.doc_id for r in decontaminate.leaks(docs, bench).collect()) == [1, 2]
     kept = decontaminate.keep_clean(docs, bench)
-    # rows that share an id are judged together, so the empty rows of ids 1 and 2 go too
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [3, 3, 4]
+    # rows that share an id are judged apart, so the empty rows of ids 1 and 2 stay
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 2, 3, 3, 4]
+    lost = spark.createDataFrame([(None, item), (None, filler), (None, None), (5, item), (5, item)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in decontaminate.keep_clean(lost, bench).collect()) == sorted([filler, "None"])
+    assert decontaminate.keep_clean(docs.limit(0), bench).count() == 0
     assert kept.columns == docs.columns and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def brute_template(text):
+    """Of plain texts: numbers in digits, names with a capital, units behind numbers, all else in lower case."""
+    out, after = [], False
+    for raw in text.split():
+        word = raw.strip(".,?")
+        number = word.isdigit()
+        kind = "number" if number else "unit" if after and word in ("km", "kg") else "name" if word[0].isupper() else None
+        out.append((f"<{kind}>" if kind else word, (kind, word) if kind else None))
+        after = number
+    return out
+
+
+def brute_leaks(texts, items, width=5, least=0.8):
+    found = set()
+    spans = lambda own: [own[k : k + width] for k in range(len(own) - width + 1)] if len(own) >= width else [own] if own else []
+    for i, item in items:
+        theirs = spans(brute_template(item))
+        shapes = {tuple(w for w, _ in span) for span in theirs}
+        for d, text in texts:
+            seen, there, back = Counter(), {}, {}
+            mine = spans(brute_template(text))
+            for span in mine:
+                seen[tuple(w for w, _ in span)] += 1
+            matched = shapes & set(seen)
+            if len(matched) < least * len(shapes):
+                continue
+            copies = max(seen[x] for x in matched)
+            for a in theirs:
+                for b in mine:
+                    if tuple(w for w, _ in a) == tuple(w for w, _ in b):
+                        for (_, x), (_, y) in zip(a, b):
+                            if x:
+                                there.setdefault(x, set()).add(y)
+                                if x[0] == "name":
+                                    back.setdefault(y, set()).add(x)
+            share = lambda m: sum(len(v) <= copies for v in m.values()) / len(m) if m else 1.0
+            if min(share(there), share(back)) >= least:
+                found.add((d, i))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    """Re-parameterised questions in texts, some with slots that don't agree, some cut short, one window in all of them."""
+    rng = np.random.default_rng(11)
+    names, things, verbs = ["Anna", "Bob", "Carla", "Dave", "Emil"], [f"thing{k}" for k in range(9)], [f"verb{k}" for k in range(9)]
+    pick = lambda x: str(rng.choice(x))
+    common = "it is said that {a} and {b} have {n} km {m} kg in all "
+
+    def item():
+        body = " ".join(f"then {{{pick(list('ab'))}}} {pick(verbs)} {{{pick(list('nm'))}}} {pick(['km', 'kg', pick(things)])} of the {pick(things)}" for _ in range(rng.integers(1, 4)))
+        return (common if rng.random() < 0.7 else "now ") + body + " so how many are left"
+
+    def fill(shape, same=False):
+        two = rng.choice(names, 2, replace=False)
+        return shape.format(a=two[0], b=two[0] if same else two[1], n=rng.integers(2, 60), m=rng.integers(60, 99))
+
+    shapes = [item() for _ in range(12)]
+    items = [(i, fill(x)) for i, x in enumerate(shapes)]
+    noise = lambda: " ".join(f"plain{k}" for k in rng.integers(0, 500, 30))
+    texts = [(k, " ".join([noise(), fill(shapes[k % 12], k % 5 == 4), *([fill(shapes[(k + 1) % 12])] * (k % 3)), noise()])) for k in range(60)]
+    texts += [(100 + k, noise() + " " + " ".join(items[k][1].split()[: 4 + 3 * k])) for k in range(12)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(texts, items)
+    assert got == want and len(want) > 60
+    planted = {(k, k % 12) for k in range(60) if k % 5 != 4}
+    assert len(planted & got) >= 0.95 * len(planted)
+
+
+def test_short_items_are_found_inside_texts(spark):
+    bench = spark.createDataFrame([(1, "purple elephants dance"), (2, "yes"), (3, "12 km 13 km"), (4, "purple elephants dance")], "item_id long, text string")
+    texts = [(1, "we say purple elephants dance at night, all of them"), (2, "Purple elephants dance!"), (3, "yes we do say yes"), (4, "yes"), (5, "from 12 km to 14 km 15 km"), (6, "elephants dance")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert {g for g in got if g[1] != 3} == {(1, 1), (2, 1), (1, 4), (2, 4), (4, 2)} and (5, 3) not in got
+
+
 def test_leaks_find_names_at_sentence_starts_and_in_any_case(spark):
     tom, bea = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?", "Beatrix walked 7 miles to the shop. How far is the shop from her old house?"
     bench = spark.createDataFrame([(1, tom), (2, bea)], "item_id long, text string")
@@ -180,6 +389,22 @@ def test_gif_decoder():
         list(gif.decode_gif(b"GIF89a"))
 
 
+def test_gif_decoder_refuses_hostile_bytes(spark):
+    good = gif_media.encode_gif(bytes(64))
+    size_at = good.index(b"\x2c" + bytes(4) + b"\x40\x00") + 10
+    rows = [(k, good[:size_at] + bytes([k]) + good[size_at + 1 :]) for k in (0, 1, 9, 64, 200, 255)]
+    wide = struct.pack("<HHBBB", 65535, 65535, 0xF7, 0, 0)
+    rows += [(300, good[:6] + wide + good[13:]), (301, good[:20]), (302, b""), (303, None), (304, good)]
+    got = {r.doc_id: r for r in gif_media.frames(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert set(got) == {k for k, v in rows if v is not None}
+    assert all((r.error is None) == (k == 304) for k, r in got.items())
+    # codes that would make gigabytes
+    codes = np.concatenate([[256, 0], np.arange(258, 4096), np.full(200_000, 4095)])
+    widths = np.concatenate([[9], gif_media.code_widths(0, len(codes) - 1, 8)])
+    bits = np.concatenate([(c >> np.arange(w)) & 1 for c, w in zip(codes, widths)]).astype(np.uint8)
+    assert len(gif_media.lzw_decode(np.packbits(bits, bitorder="little").tobytes(), 8, 100)) == 100
+
+
 def test_gif_storage(spark):
     got = gif_media.store_and_read(docs_of(spark, EDGE_DOCS)).collect()
     for text in {t for _, t in EDGE_DOCS}:
@@ -192,92 +417,12 @@ def test_gif_storage(spark):
     assert set(rows) == {1, 3} and rows[1].histogram == "0:128" and rows[3].error and rows[3].frame is None
 
 
-def brute_classes(fps, ids, distance):
-    out = list(range(len(fps)))
-    for _ in range(len(fps)):
-        before = list(out)
-        for i in range(len(fps)):
-            for j in range(i):
-                if bin(fps[i] ^ fps[j]).count("1") <= distance:
-                    out[i] = out[j] = min(out[i], out[j])
-        if before == out:
-            break
-    return [min((ids[k] for k in range(len(ids)) if out[k] == o and ids[k] is not None), default=None) for o in out]
-
-
-@pytest.mark.parametrize("distance", [4, 12])
-def test_simhash_classes(spark, corpus, distance):
-    rows = corpus + EDGE_DOCS
-    own = simhash.Params(distance=distance)
-    fps = [simhash.fingerprint((t or "").encode().lower().split(), 4) for _, t in rows]
-    got = sorted((str(r.doc_id), r.fp % 2**64, r.component_id) for r in simhash.classes(docs_of(spark, rows), own).collect())
-    assert got == sorted((str(i), f, c) for (i, _), f, c in zip(rows, fps, brute_classes(fps, [i for i, _ in rows], distance)))
-
-
-def test_simhash_splits_large_values_without_losing_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 8)
-    rng = np.random.default_rng(2)
-    base = int(rng.integers(0, 2**62))
-    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(60)})
-    frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    edges = [(a % 2**64, b % 2**64) for a, b in simhash.links(frame).collect()]
-    assert all(bin(a ^ b).count("1") <= 4 for a, b in edges)
-    want = brute_classes(fps, fps, 4)
-    up = {f: f for f in fps}
-    for _ in fps:
-        for a, b in edges:
-            up[a] = up[b] = min(up[a], up[b])
-    assert [up[f] for f in fps] == want
-
-
-@pytest.mark.parametrize("block", [1024, 7])
-def test_simhash_links_are_verified_by_similarity(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
-    rng, rows = np.random.default_rng(9), [(9000, None), (9001, ""), (9002, "one"), (9003, "ONE ")]
-    for i in range(25):
-        words = [f"w{k}" for k in rng.integers(0, 3000, 100)]
-        for j, changed in enumerate((0, 1, 2, 3, 3, 3)):
-            own = list(words)
-            for at in rng.choice(100, changed, replace=False):
-                own[at] = f"x{i}_{j}_{at}"
-            rows.append((10 * i + j, " ".join(own)))
-    texts = [(t or "").encode().lower().split() for _, t in rows]
-    fps, sets = [simhash.fingerprint(w, 5) for w in texts], [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in texts]
-    up, close = list(range(len(rows))), 0
-    for _ in rows:
-        for i in range(len(rows)):
-            for j in range(i):
-                if bin(fps[i] ^ fps[j]).count("1") <= 8:
-                    alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-                    close += not alike
-                    if alike:
-                        up[i] = up[j] = min(up[i], up[j])
-    assert close and len(set(up)) < len(rows) - 10
-    want = {i: min(rows[k][0] for k in range(len(rows)) if up[k] == up[n]) for n, (i, _) in enumerate(rows)}
-    own = simhash.Params(shingle=5, distance=8, similarity=0.8)
-    assert {r.doc_id: r.component_id for r in simhash.classes(docs_of(spark, rows), own).collect()} == want
-    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows), own).collect()} == set(want.values())
-
-
-def test_pigeonhole_allocation():
-    share, corr = np.full(64, 0.5), np.eye(64)
-    for distance in (4, 8):
-        for n in (1000, 10**7):
-            parts = simhash.plan(n, share, corr, distance)
-            assert sum(t + 1 for _, t in parts) == distance + 1
-    rng = np.random.default_rng(0)
-    parts = simhash.plan(50_000, share, corr, 4)
-    for _ in range(300):
-        x = int.from_bytes(rng.bytes(8), "little")
-        y = x ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-        assert any(sum((x ^ y) >> b & 1 for b in g) <= t for g, t in parts)
-
-
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("model_file", [None, PIECES_FILE])
+def test_chat_round_trip(spark, model_file):
     odd = "a <|im_end|>\n<\\|im_start|>x [INST] <\\\\/s></s> <<SYS>>"
     rows = [(1, 0, "system", "be brief"), *((1, i, "user" if i % 2 else "assistant", f"turn {i} " * 30) for i in range(1, 12)), (2, 0, "user", None), (2, 1, None, odd), (2, 1, None, odd), (2, None, "assistant", odd), (None, 0, "assistant", "x"), (3, 0, "us\\er\n", "long " * 900), (3, 1, "assistant", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(9))
-    windows = chat_format.format_windows(turns, chat_format.Params(budget=200, history_turns=2, history_tokens=100))
+    windows = chat_format.format_windows(turns, chat_format.Params(budget=400, history_turns=2, history_tokens=150), model_file)
     got = {r.conv_id: r for r in chat_format.read_back(windows).collect()}
     for conv in (1, 2, 3, None):
         own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
@@ -289,6 +434,42 @@ def test_chat_round_trip(spark):
     assert all(r.n_repeated > 1 for r in cut[1:]) and chat_format.read_back(chat_format.format_windows(turns.limit(0))).count() == 0
 
 
+def test_chat_windows_equal_brute_force(spark):
+    """Turn-aligned spans from prefix sums, and what each window repeats and masks."""
+    rng = np.random.default_rng(12)
+    p, rows = chat_format.Params(budget=60, history_turns=3, history_tokens=25), []
+    for conv in range(25):
+        for turn in range(rng.integers(1, 14)):
+            role = "system" if turn == 0 and conv % 2 else ("user", "assistant")[turn % 2]
+            rows.append((conv, turn, role, " ".join(f"t{conv}_{turn}_{k}" for k in range(rng.integers(0, 30 if conv % 7 else 80)))))
+    got = {(r.conv_id, r.window): r for r in chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), p).collect()}
+    want = {}
+    for conv in range(25):
+        turns = [(r, x, chat_format.MARKS + 1 + len(x.split())) for c, _, r, x in rows if c == conv]
+        head = turns[:1] if turns[0][0] == "system" else []
+        body, start, n = turns[len(head) :], 0, 0
+        fixed = sum(t for *_, t in head)
+        while start < len(body) or (head and not n):
+            room, repeated = min(p.history_tokens, p.budget - fixed - (body[start][2] if start < len(body) else 0)), []
+            for old in reversed(body[max(0, start - p.history_turns) : start]):
+                if old[2] > room:
+                    break
+                repeated.insert(0, old)
+                room -= old[2]
+            used, end = fixed + sum(t for *_, t in repeated), start
+            while end < len(body) and (end == start or used + body[end][2] <= p.budget):
+                used += body[end][2]
+                end += 1
+            want[conv, n] = ((head if n else []) + repeated, (head if not n else []) + body[start:end], used)
+            start, n = end, n + 1
+    assert set(got) == set(want) and max(n for _, n in want) > 3
+    for key, (again, fresh, used) in want.items():
+        r = got[key]
+        assert r.text == "".join(f"<|im_start|>{a}\n{x}<|im_end|>\n" for a, x, _ in again + fresh)
+        assert (r.n_repeated, r.n_tokens, r.over_budget) == (len(again), used, used > p.budget)
+        assert [r.text[s.start : s.end] for s in r.loss_spans] == [x for a, x, _ in fresh if a == "assistant"]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     plain, foul = [f"word{i}" for i in range(300)], ["vilething", "awfulthing", "nastything"]
@@ -338,6 +519,67 @@ def test_warc_derivatives(spark):
     assert text == "A & b\nOnetwo\nlink" and "outlink: http://h.test/c?d\r\n" in meta and "title: A & b\r\n" in meta
 
 
+def stored(head, body, kind="text/html"):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: " + kind.encode() + b"\r\n" + head + b"\r\n" + body
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", "http://h.test/a")], block)
+
+
+def test_warc_bodies_are_read_through_their_codings():
+    page = "<title>T é</title><p>Hello <a href=b>x</a>".encode()
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(page[i : i + 7]), page[i : i + 7]) for i in range(0, len(page), 7)) + b"0\r\n\r\n"
+    squeezed = zlib.compressobj(wbits=-15)
+    raw = squeezed.compress(page) + squeezed.flush()
+    cases = [(b"", page), (b"Transfer-Encoding: chunked\r\n", chunked), (b"Content-Encoding: gzip\r\n", gzip.compress(page)), (b"Content-Encoding: gzip\r\n", gzip.compress(page[:9]) + gzip.compress(page[9:])), (b"Content-Encoding: deflate\r\n", zlib.compress(page)), (b"Content-Encoding: deflate\r\n", raw), (b"Content-Encoding: zstd\r\n", zstandard.compress(page)), (b"Content-Encoding: gzip, deflate\r\n", zlib.compress(gzip.compress(page)))]
+    for head, body in cases:
+        meta, text = warc.derive(stored(head, body))
+        assert warc.read_record(text["record"])[1].decode() == "T é\nHello x" and meta["n_links"] == 1
+        assert b"title: T \xc3\xa9\r\n" in meta["record"] and b"WARC-Refers-To-Target-URI: http://h.test/a\r\nWARC-Refers-To-Date: 2024" in text["record"]
+    for head, body in [(b"Transfer-Encoding: chunked\r\n", b"5\r\nhel"), (b"Content-Encoding: gzip\r\n", gzip.compress(page)[:-9]), (b"Content-Encoding: gzip\r\n", b"plain"), (b"Content-Encoding: br\r\n", b"x"), (b"Content-Encoding: gzip\r\n", gzip.compress(bytes(5000)))]:
+        with pytest.raises(ValueError):
+            warc.derive(stored(head, body), max_body=1000)
+    assert [x["error"] for x in warc.derive(stored(b"", page, "text/html; charset=nonsense"))] == [None, None]
+
+
+def test_page_scan():
+    text, title, links = warc.scan("a<b>c</b>d<script>if (a</b>) x</script>e<!-- <p> -->f<TITLE>one &amp; <i>two</i></Title><a data-href=no HREF='/x&amp;y'>l</a><a>1 < 2 &lt;p&gt;<br>z<style>q")
+    assert (text, title, links) == ("acd e f\none & two\nl1 < 2 <p>\nz", "one & two", ["/x&y"])
+    assert warc.scan("") == ("", "", []) and warc.scan("<p")[0] == "" and warc.scan("İ<script>x</SCRIPT>y")[0] == "İ y"
+
+
+def test_license_phrases_equal_brute_force():
+    rng = np.random.default_rng(3)
+    keys = [(b"mit license", "mit"), (b"general public license", "gpl"), (b"a a", "aa")]
+    for _ in range(200):
+        words = [str(w).encode() for w in rng.choice(["mit", "license", "general", "public", "a", "mitx"], rng.integers(0, 40))]
+        want: dict[str, list[int]] = {}
+        for phrase, label in keys:
+            own = phrase.split()
+            found = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+            if found:
+                want[label] = found
+        assert license_scan.phrase_places(words, keys) == want
+
+
+def test_long_and_hostile_texts_take_linear_time():
+    began = time.time()
+    words = license_scan.words_of(b"mit license " * 100_000)
+    assert len(license_scan.phrase_places(words, [(b"mit license", "mit")])["mit"]) == 100_000
+    index = license_scan.Index(license_scan.TEMPLATES, {}, license_scan.Params())
+    index.matches(license_scan.words_of(b"permission the software copyright " * 30_000))
+    for page in ("<a ", "<title>", "<script>", "<!--", "<", "<a href=", "</p", "<!", "<a href='", "&", "&#"):
+        warc.scan(page * (1_000_000 // len(page)))
+        warc.scan("<p>" + page * (1_000_000 // len(page)) + ">")
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("shift", [0, 24, 31, 100])
+def test_whole_license_texts_are_found_at_any_place(spark, shift):
+    text = next(t for k, t in license_scan.TEMPLATES if k == "bsd" and len(t) > 500)
+    rows = [(1, " ".join(f"w{i}" for i in range(shift)) + " " + text.upper() + " after it"), (2, " ".join(text.split()[::3])), (3, text.replace("SOFTWARE", "PROGRAM"))]
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert "bsd" in got[1].labels and got[1].score == 1.0 and got[2].labels == "" and "bsd" in got[3].labels
+
+
 def test_license_scan(spark):
     long = "x " * 100
     rows = [(1, "Released under the MIT-License. mit license mit license"), (2, long + dict(license_scan.TEMPLATES)["bsd"].upper() + " " + long), (3, "apache licenses"), *EDGE_DOCS]
@@ -350,21 +592,24 @@ def test_license_scan(spark):
 
 def test_license_join_equals_brute_force():
     rng = np.random.default_rng(6)
-    p = license_scan.Params(block_words=12, stride=5, containment=0.7)
+    p = license_scan.Params(least_words=4, containment=0.7)
     vocab = [f"t{i}" for i in range(14)]
-    templates = [(str(k), " ".join(rng.choice(vocab, rng.integers(3, 9)))) for k in range(6)]
+    templates = [(str(k), " ".join(rng.choice(vocab, rng.integers(3, 20)))) for k in range(8)]
     index = license_scan.Index(templates, {w.encode(): int(rng.integers(0, 9)) for w in vocab}, p)
-    for _ in range(60):
-        words = [w.encode() for w in rng.choice(vocab + ["z"] * 8, rng.integers(0, 60))]
-        last = max(0, math.ceil((len(words) - p.block_words) / p.stride))
+    n = 0
+    for _ in range(80):
+        words = [w.encode() for w in rng.choice(vocab + ["z"] * 8, rng.integers(0, 90))]
         want = {}
-        for b in range(last + 1):
-            own = set(words[b * p.stride : b * p.stride + p.block_words])
-            for t, (_, text) in enumerate(templates):
-                whole = set(text.encode().split())
+        for t, (_, text) in enumerate(templates):
+            size = next(k for k in (4, 8, 16, 32) if k >= len(text.split()))
+            whole = set(text.encode().split())
+            for b in range(max(0, math.ceil((len(words) - 2 * size) / (size // 2))) + 1):
+                own = set(words[b * size // 2 : b * size // 2 + 2 * size])
                 if len(own & whole) >= math.ceil(p.containment * len(whole) - 1e-9):
-                    want[b, t] = len(own & whole) / len(whole)
+                    want[size, b, t] = len(own & whole) / len(whole)
         assert index.matches(words) == want
+        n += len(want)
+    assert n > 50
 
 
 def test_crc_and_regex_are_what_the_contract_says():
