@@ -5,28 +5,36 @@ it.  Two fingerprints link at ``distance`` or fewer differing bits, and componen
 links are classes.  Equal fingerprints are one class member from the start, so copies
 are never paired.
 
-Candidates: the 64 bits are grouped into partitions of correlated bits, and partition
+Candidates: the bits are grouped into partitions of correlated bits, and partition
 i gets a threshold t_i >= -1 with sum(t_i + 1) = distance + 1; then any two linked
 fingerprints are within t_i on some partition i (else they would differ in more than
 ``distance`` bits).  Thresholds, and the number of partitions, come from a dynamic
-programme over the costs that are expected of them: probes are exactly counted,
+programme over the costs that are expected of them: lookups are exactly counted,
 candidates are estimated from the bits' frequencies and from how often partitions'
 values repeat over all fingerprints.  Each fingerprint is then indexed under its value
-in every partition with t_i >= 0 and probes those values within t_i that a bitmap of
-fixed size says some fingerprint has.
+in every partition with t_i >= 0 and probes those values within t_i that a Bloom filter
+of bounded size says some fingerprint has.
 
-Probing groups by (partition, value).  Members and probes of a value are compared in
-vectorised blocks of up to ``BLOCK`` x ``BLOCK``; a value with more of either is split
-into blocks that go to different tasks.  A block puts out a spanning forest of the
-verified links between its fingerprints, never all pairs, and no link between
-components is lost by that.
+Dense groups are joined before that: every fingerprint is compared with the least one
+that has the same value in each of ``SAMPLES`` samples of bits, which is linear and finds
+valid links only.  A fingerprint then probes only values that a member of a class of
+its own rank or above has, where the largest classes have ranks of their own: of two
+linked fingerprints of different classes one always probes the other, and a large class
+never probes itself.
+
+Probing groups by (partition, value).  A value with more than ``BLOCK`` rows is split into
+blocks that go to different tasks, without comparing its largest class with itself.  A
+block puts out a spanning forest of the verified links between its fingerprints, never
+all pairs, and no link between components is lost by that.
 
 Components come from the core library's large-star and small-star steps.
 
 With ``similarity``, members are distinct texts (words lower-cased) instead of
-fingerprints, and a link also needs that Jaccard similarity of the two texts' sets of
-shingles (by their 64-bit hashes).  Only pairs in one component of fingerprint links can
-have a link, so all pairs of a component are looked at, in blocks as above.
+fingerprints, and two texts of a class by bits link if the sets of their shingles of
+``compared`` words (by 64-bit hashes) have that Jaccard similarity; components of these
+links are the classes.  All pairs of a class by bits count: first each text against the
+least one with an equal minimum hash (linear again), then what is outside the largest
+class found so against everything, in blocks.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts
 shorter than the shingle are one shingle.  Rows without an id get the class of their
@@ -42,23 +50,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.text import U64, mix, pieces, signed, text_column
+from lattica.llm.text import U64, Words, mix, pieces, signed, text_column
 from lattica.operators.components import components
 from lattica.session import cut, prepare, shuffle_partitions
 
-BITS, SEED, BLOCK = 64, 42, 2048
+SEED, BLOCK = 42, 2048
 TEXT_BLOCK = 1024  # texts whose sets of shingles are compared with as many others in one task
+SAMPLES, MINIMA = 8, 4  # of bits, and of minimum hashes, by which dense groups are joined first
+HOT_SHARE = 1024  # keys with more than one in so many rows are broadcast, at most as many
 
 
 @dataclass(frozen=True)
 class Params:
     shingle: int = 4
     distance: int = 4
+    bits: int = 64  # a multiple of 64
+    distinct: bool = False  # a repeated shingle votes once
     similarity: float = 0.0  # of the sets of shingles; 0: bits alone
-    hot_rows: int = 1 << 16  # of split values that are broadcast; more are joined by a shuffle
+    compared: int = 5  # words of the shingles in those sets
+
+    @property
+    def words(self) -> list[str]:
+        return [f"w{i}" for i in range(self.bits // 64)]
 
 
 # -- fingerprints ----------------------------------------------------------------------
@@ -78,15 +94,25 @@ def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist())], dtype=U64)
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """Fingerprint of one text's words."""
-    return vote(shingles(words, shingle)) if words else 0
+def unpacked(hashes: np.ndarray) -> np.ndarray:
+    """Bits of each hash, or of each row of hashes, lowest first."""
+    return np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), 8 * (hashes.shape[1] if hashes.ndim > 1 else 1)), axis=1, bitorder="little")
+
+
+def vote(bits: np.ndarray) -> np.ndarray:
+    """64-bit words of the majority of rows of bits; no rows give zero."""
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits), bitorder="little").view(U64)
+
+
+def widened(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n words of hash for each hash, the first being itself."""
+    return np.stack([hashes, *(mix(hashes + U64(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, n))], axis=1)
 
 
-def vote(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
-    counts = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+def fingerprint(words: list[bytes], params: Params) -> np.ndarray:
+    """The fingerprint's 64-bit words."""
+    own = shingles(words, params.shingle)
+    return vote(unpacked(widened(np.unique(own) if params.distinct else own, len(params.words))))
 
 
 def text_key(words: list[bytes]) -> int:
@@ -94,40 +120,57 @@ def text_key(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and key (a hash of the words) of every row."""
+    """doc_id, w0 .. (the fingerprint's words as signed longs), key (a hash of the text's words) and row (of all columns)."""
     p = params or Params()
     prepare(docs.sparkSession)
+    n = len(p.words)
+
+    def by_words(batch):
+        """The same for shingles of one word that vote once each, a word's bits being looked up."""
+        own = Words(text_column(batch))
+        table = unpacked(widened(np.array([xxhash.xxh64_intdigest(w, SEED) for w in own.vocab], dtype=U64), n)) if own.vocab else np.zeros((0, 64 * n), np.uint8)
+        return np.array([vote(table[np.unique(own.ids[a:b])]) for a, b in zip(own.offsets[:-1], own.offsets[1:])], dtype=U64)
 
     def run(batches):
         for batch in pieces(batches):
             words = [t.lower().split() for t in text_column(batch).cast(pa.binary()).to_pylist()]
-            fps = np.array([fingerprint(w, p.shingle) for w in words], dtype=U64)
+            fps = by_words(batch) if p.shingle == 1 and p.distinct else np.array([fingerprint(w, p) for w in words], dtype=U64)
             keys = np.array([text_key(w) for w in words], dtype=U64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(signed(fps)), "key": pa.array(signed(keys))})
+            fps = fps.reshape(len(words), n)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), **{c: pa.array(signed(fps[:, i])) for i, c in enumerate(p.words)}, "key": pa.array(signed(keys)), "row": batch.column("row")})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash(docs).alias("row"))
+    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in p.words)}, key long, row long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, key long")
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+
+
+def _fps(batch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy().view(U64) for c in names], axis=1)
 
 
 # -- partitions and thresholds ---------------------------------------------------------
 
 
-def correlation(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def correlation(fps: DataFrame, words: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of fingerprints, frequencies of the bits and their correlation matrix, over all of them."""
+    size = 64 * len(words)
 
     def run(batches):
-        total, n = np.zeros((BITS, BITS)), 0
+        total, n = np.zeros((size, size)), 0
         for batch in batches:
-            own = batch.column("fp").to_numpy()
-            bits = np.unpackbits(own.view(np.uint8).reshape(len(own), 8), axis=1, bitorder="little").astype(np.float32)
+            bits = unpacked(_fps(batch, words)).astype(np.float32)
             for at in range(0, len(bits), 1 << 16):
                 part = bits[at : at + (1 << 16)]
                 total += part.T @ part
-            n += len(own)
-        i, j = np.divmod(np.arange(BITS * BITS), BITS)
-        yield pa.record_batch({"i": pa.array(i), "j": pa.array(j), "both": pa.array(total.reshape(-1).astype(np.int64)), "n": pa.array(np.full(BITS * BITS, n))})
+            n += len(bits)
+        i, j = np.divmod(np.arange(size * size), size)
+        yield pa.record_batch({"i": pa.array(i), "j": pa.array(j), "both": pa.array(total.reshape(-1).astype(np.int64)), "n": pa.array(np.full(size * size, n))})
 
     rows = fps.mapInArrow(run, "i long, j long, both long, n long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).toArrow()
-    both, n = np.zeros((BITS, BITS)), 0
+    both, n = np.zeros((size, size)), 0
     if rows.num_rows:
         both[rows.column("i").to_numpy(), rows.column("j").to_numpy()] = rows.column("both").to_numpy()
         n = int(rows.column("n")[0].as_py())
@@ -138,14 +181,17 @@ def correlation(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def partition_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     """m groups of nearly equal size, each grown from a free bit by its strongest correlations."""
-    strength, free, groups = np.abs(corr), set(range(BITS)), []
+    bits = len(corr)
+    strength, free, groups = np.abs(corr), set(range(bits)), []
     for i in range(m):
-        size = BITS // m + (i < BITS % m)
-        seed = max(sorted(free), key=lambda b: sum(strength[b, c] for c in free if c != b))
+        size = bits // m + (i < bits % m)
+        left = sorted(free)
+        seed = left[int(np.argmax(strength[np.ix_(left, left)].sum(axis=1) - strength[left, left]))]
         group = [seed]
         free.discard(seed)
         while len(group) < size:
-            best = max(sorted(free), key=lambda b: strength[b, group].sum())
+            left = sorted(free)
+            best = left[int(np.argmax(strength[np.ix_(left, group)].sum(axis=1)))]
             group.append(best)
             free.discard(best)
         groups.append(sorted(group))
@@ -176,14 +222,15 @@ def allocate(cost: np.ndarray, total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-#: In verified candidates: of a probe that is only looked up, and of one that is shuffled.
-LOOKUP_COST, PROBE_COST = 0.1, 8.0
+#: In lookups: of a row that is shuffled, and of a pair that is compared.
+ROW_COST, PAIR_COST = 1000.0, 10.0
+WIDEST = 48  # bits of a partition
 
 
 def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, those that are skipped left out."""
     found = (math.inf, [])
-    for m in range(1, min(distance, 15) + 2):
+    for m in range(-(-len(share) // WIDEST), max(distance, 2) + 2):
         groups = partition_bits(corr, m)
         rows = []
         for g in groups:
@@ -192,9 +239,9 @@ def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tup
             tied = 1 + np.abs(corr[np.ix_(g, g)]).sum() / len(g)
             row = [0.0]
             for t in range(distance + 1):
-                probes = sum(math.comb(len(g), k) for k in range(t + 1))
+                lookups = sum(math.comb(len(g), k) for k in range(t + 1))
                 hits = n * min(1.0, near[t] * tied)
-                row.append(n * (probes * LOOKUP_COST + (1 + min(probes, hits)) * PROBE_COST + hits))
+                row.append(n * (lookups + (1 + min(lookups, hits)) * ROW_COST + hits * PAIR_COST))
             rows.append(row)
         value, thresholds = allocate(np.array(rows), distance + 1)
         if value < found[0]:
@@ -206,9 +253,10 @@ def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tup
 
 
 def project(fps: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Values of up to 64 bits of fingerprints, which come as rows of 64-bit words."""
     out = np.zeros(len(fps), U64)
     for k, b in enumerate(bits):
-        out |= ((fps >> U64(b)) & U64(1)) << U64(k)
+        out |= ((fps[:, b // 64] >> U64(b % 64)) & U64(1)) << U64(k)
     return out
 
 
@@ -217,54 +265,114 @@ def masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(width), k)], dtype=U64)
 
 
-FILTER_BITS = 27
-
+MOST_SLOTS = 21  # log2 of the 64-bit words of a Bloom filter, and of ranks, for each partition
+_RANDOM = mix(np.arange(1, 1 + 2 * 64, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(2, 64)
 
-def _place(values: np.ndarray, width: int) -> np.ndarray:
-    """Where a value stands in its partition's bitmap: itself, or a hash where values have more bits."""
-    return values if width <= FILTER_BITS else mix(values) >> U64(64 - FILTER_BITS)
 
+def linear_hash(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash with h(a ^ b) = h(a) ^ h(b), so that all flips of a value are looked up by one step each."""
+    out = np.zeros(values.shape, U64)
+    for b in range(64):
+        here = (values >> U64(b)) & U64(1)
+        if not here.any():
+            continue
+        out ^= here * _RANDOM[which, b]
+    return out
 
-def _occupied(fps: DataFrame, parts: list[tuple[list[int], int]]) -> np.ndarray:
-    """A bitmap of fixed size for each partition, of the values that some fingerprint has."""
 
-    def run(batches):
-        for batch in batches:
-            own = batch.column("fp").to_numpy().view(U64)
-            for i, (g, _) in enumerate(parts):
-                at = np.unique(_place(project(own, g), len(g)))
-                word, first = np.unique(at >> U64(6), return_index=True)
-                bits = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else at
-                yield pa.record_batch({"part": pa.array(np.full(len(word), i, np.int32)), "word": pa.array(word.astype(np.int64)), "bits": pa.array(signed(bits))})
-
-    rows = fps.mapInArrow(run, "part int, word long, bits long").groupBy("part", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros((len(parts), 1 << FILTER_BITS - 6), U64)
-    out[rows.column("part").to_numpy(), rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+def _marks(h: np.ndarray) -> np.ndarray:
+    """Three bits of a word of the filter."""
+    one = U64(1)
+    return (one << (h & U64(63))) | (one << (h >> U64(6) & U64(63))) | (one << (h >> U64(12) & U64(63)))
+
+
+@dataclass
+class Held:
+    """Bloom filter of the values that some fingerprint has in a partition, and the greatest rank of their holders."""
+
+    log: int
+    bits: np.ndarray
+    ranks: np.ndarray
+
+    def has(self, values: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) for which values[i] ^ (flip j) may be held; ``flips``: both hashes of each.
+
+        One bit of the filter is looked up for all pairs, both words of those that have it.
+        """
+        down, own = U64(64 - self.log), (linear_hash(values), linear_hash(values, 1))
+        h = own[0][:, None] ^ flips[0][None, :]
+        i, j = np.nonzero((self.bits[(h >> down).view(np.int64)] >> (h & U64(63)) & U64(1)) != 0)
+        for which in (0, 1):
+            h = own[which][i] ^ flips[which][j]
+            m = _marks(h)
+            ok = self.bits[(h >> down).view(np.int64)] & m == m
+            i, j = i[ok], j[ok]
+        return i, j
+
+    def rank(self, values: np.ndarray) -> np.ndarray:
+        return self.ranks[(linear_hash(values) >> U64(64 - self.log)).view(np.int64)]
+
+
+def held(rows: DataFrame, parts: list[list[int]], words: list[str], n: int) -> list[Held]:
+    """A filter for each partition, of bounded size; ``rows``: the fingerprint's words and rank.
+
+    What reaches the driver is one partition's words of the filter at a time.
+    """
+    log = min(MOST_SLOTS, max(8, math.ceil(math.log2(n + 1))))
+    out = []
+    for g in parts:
+
+        def run(batches, g=g):
+            for batch in batches:
+                values, rank = project(_fps(batch, words), g), batch.column("rank").to_numpy()
+                h = [linear_hash(values, w) for w in (0, 1)]
+                at, marks = np.concatenate([x >> U64(64 - log) for x in h]), np.concatenate([_marks(x) for x in h])
+                order = np.argsort(at, kind="stable")
+                at, marks, ranks = at[order], marks[order], np.concatenate([rank, np.zeros_like(rank)])[order]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                none = np.zeros(0, U64)
+                yield pa.record_batch({"word": pa.array(at[first].astype(np.int64)), "bits": pa.array(signed(np.bitwise_or.reduceat(marks, first) if len(first) else none)), "rank": pa.array((np.maximum.reduceat(ranks, first) if len(first) else none).astype(np.int32))})
+
+        got = rows.select(*words, "rank").mapInArrow(run, "word long, bits long, rank int").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.max("rank").alias("rank")).toArrow()
+        one = Held(log, np.zeros(1 << log, U64), np.zeros(1 << log, np.uint8))
+        at = got.column("word").to_numpy()
+        one.bits[at] = got.column("bits").to_numpy().view(U64)
+        one.ranks[at] = got.column("rank").to_numpy()
+        out.append(one)
     return out
 
 
-def _entries(parts: list[tuple[list[int], int]], shared):
-    """Index rows of each fingerprint, and its probes of values that some fingerprint has."""
+#: Ranks: 0 for classes of one, then by size, and the largest classes each have one of their own.
+OWN_RANKS, FIRST_OWN = 150, 100
+
+
+def _entries(parts: list[tuple[list[int], int]], shared, words: list[str]):
+    """Index rows of each fingerprint, and its probes of values that some fingerprint of its rank or above has."""
 
     def run(batches):
         maps = shared.value
-        flips = [masks(len(g), t) for g, t in parts]
+        flips = [masks(len(g), t)[1:] for g, t in parts]
+        hashes = [np.stack([linear_hash(x), linear_hash(x, 1)]) for x in flips]
         for batch in batches:
-            fps = batch.column("fp").to_numpy().view(U64)
+            fps, ids, comp, rank = _fps(batch, words), *(batch.column(c).to_numpy() for c in ("id", "comp", "rank"))
+            above = rank + (rank >= FIRST_OWN)
             for i, (g, _) in enumerate(parts):
-                step = max(1, (1 << 20) // len(flips[i]))
-                for at in range(0, len(fps), step):
-                    own = fps[at : at + step]
-                    value = project(own, g)
-                    probed = (value[:, None] ^ flips[i][None, 1:]).reshape(-1)
-                    place = _place(probed, len(g))
-                    there = (maps[i][(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
-                    probed, source = probed[there], np.repeat(own, len(flips[i]) - 1)[there]
-                    n = len(own) + len(probed)
-                    yield pa.record_batch({
-                        "part": pa.array(np.full(n, i, np.int32)), "value": pa.array(signed(np.concatenate([value, probed]))),
-                        "fp": pa.array(signed(np.concatenate([own, source]))), "own": pa.array(np.arange(n) < len(own)),
-                    })
+                value = project(fps, g)
+                sources, values = [np.arange(len(fps))], [value]
+                step = max(1, (1 << 18) // max(1, len(flips[i])))
+                for at in range(0, len(fps) if len(flips[i]) else 0, step):
+                    source, flip = maps[i].has(value[at : at + step], hashes[i])
+                    source += at
+                    probed = value[source] ^ flips[i][flip]
+                    ok = maps[i].rank(probed) >= above[source]
+                    sources.append(source[ok])
+                    values.append(probed[ok])
+                rows = np.concatenate(sources)
+                yield pa.record_batch({
+                    "part": pa.array(np.full(len(rows), i, np.int32)), "value": pa.array(signed(np.concatenate(values))),
+                    "id": pa.array(ids[rows]), "comp": pa.array(comp[rows]), "rank": pa.array(rank[rows]), "own": pa.array(np.arange(len(rows)) < len(fps)),
+                    **{c: pa.array(signed(fps[rows, k])) for k, c in enumerate(words)},
+                })
 
     return run
 
@@ -273,6 +381,11 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints that come as rows of words."""
+    return popcount(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -292,27 +405,34 @@ class _Union:
         return True
 
 
-def forest(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between ``left`` and ``right`` fingerprints."""
-    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = at[: len(left)], at[len(left) :]
-    union, out = _Union(len(names)), []
-    for k, fp in enumerate(left):
-        near = b[popcount(right ^ fp) <= distance]
+def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two values of ``side``, of which the second may be absent; the fewer first."""
+    one, two = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+    return (one, two) if len(one) <= len(two) else (two, one)
+
+
+def forest(fps: np.ndarray, comp: np.ndarray, side: np.ndarray, cross: bool, distance: int) -> list[tuple[int, int]]:
+    """Positions of a spanning forest of the links that join classes ``comp``; with ``cross``, of those between sides."""
+    _, at = np.unique(comp, return_inverse=True)
+    union, out = _Union(int(at.max()) + 1 if len(at) else 0), []
+    left, right = sides(side) if cross else (np.arange(len(fps)),) * 2
+    for k in left.tolist():
+        others = right if cross else right[k + 1 :]
+        near = others[(apart(fps[others], fps[k]) <= distance) & (at[others] != at[k])]
         for j in near.tolist():
-            if union.join(int(a[k]), j):
-                out.append((int(names[a[k]]), int(names[j])))
+            if union.join(int(at[k]), int(at[j])):
+                out.append((k, j))
     return out
 
 
-def compare(fps: np.ndarray, own: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(fps: np.ndarray, ids: np.ndarray, comp: np.ndarray, own: np.ndarray, side: np.ndarray, cross: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the groups that begin at ``starts``: small ones all at once, others as forests."""
     ends = np.append(starts[1:], len(fps))
     index = np.concatenate([[0], np.cumsum(own)])
     n_own = index[ends] - index[starts]
     size = ends - starts
     out_a, out_b = [], []
-    small = (n_own > 0) & (size > 1) & (n_own * size <= 64)
+    small = (n_own > 0) & (size > 1) & (n_own * size <= 64) & ~cross[starts]
     if small.any():
         # rows of a group begin with its index rows: pair each row with each of them
         s, e, k = starts[small], ends[small], n_own[small]
@@ -321,172 +441,269 @@ def compare(fps: np.ndarray, own: np.ndarray, starts: np.ndarray, distance: int)
         base = np.repeat(s, e - s)
         first = np.repeat(rows, per)
         second = np.repeat(base, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        a, b = fps[first], fps[second]
-        ok = (a != b) & (popcount(a ^ b) <= distance)
-        out_a.append(a[ok])
-        out_b.append(b[ok])
-    for g in np.flatnonzero((n_own > 0) & (size > 1) & ~small):
-        mine, probes = fps[starts[g] : starts[g] + n_own[g]], fps[starts[g] : ends[g]]
-        edges = forest(mine, np.unique(probes), distance)
+        ok = (comp[first] != comp[second]) & (apart(fps[first], fps[second]) <= distance)
+        out_a.append(ids[first[ok]])
+        out_b.append(ids[second[ok]])
+    # a split value's blocks hold its index rows and probes in any shares
+    for g in np.flatnonzero(((n_own > 0) | cross[starts]) & (size > 1) & ~small):
+        part = slice(starts[g], ends[g])
+        edges = forest(fps[part], comp[part], side[part], bool(cross[starts[g]]), distance)
         if edges:
-            x, y = np.array(edges, dtype=U64).T
-            out_a.append(x)
-            out_b.append(y)
-    none = np.zeros(0, U64)
+            x, y = np.array(edges).T
+            out_a.append(ids[part][x])
+            out_b.append(ids[part][y])
+    none = np.zeros(0, np.int64)
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def _matching(distance: int):
+def _matching(words: list[str], distance: int):
     """Rows come sorted by (part, value, bi, bj) and index rows first; a group may go over batches."""
+    names = ("part", "value", "bi", "bj", "own", "side", "id", "comp")
 
     def run(batches):
-        held = None
-
-        def read(batch):
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "bi", "bj", "own", "fp")]
-            return [*cols[:4], cols[4].astype(bool), cols[5].view(U64)]
+        kept = None
 
-        def done(cols):
+        def heads(cols):
             key = np.zeros(len(cols[0]), bool)
             key[:1] = True
             for c in cols[:4]:
                 key[1:] |= c[1:] != c[:-1]
-            starts = np.flatnonzero(key)
-            return starts
+            return np.flatnonzero(key)
 
         def put(cols, starts):
-            a, b = compare(cols[5], cols[4], starts, distance)
-            swap = a > b
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), U64)
-            return pa.record_batch({"a": pa.array(signed(both[:, 0].copy())), "b": pa.array(signed(both[:, 1].copy()))})
+            a, b = compare(cols[8], cols[6], cols[7], cols[4], cols[5], cols[2] != cols[3], starts, distance)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            return pa.record_batch({"a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = read(batch)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            starts = done(cols)
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [_fps(batch, words)]
+            cols[4] = cols[4].astype(bool)
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            starts = heads(cols)
             last = starts[-1]
             if last:
                 yield put([c[:last] for c in cols], starts[:-1])
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield put(held, done(held))
+            kept = [c[last:] for c in cols]
+        if kept is not None:
+            yield put(kept, heads(kept))
 
     return run
 
 
-def links(fps: DataFrame, params: Params | None = None) -> DataFrame:
-    """A spanning forest's worth of links (a, b) between distinct fingerprints: columns fp in, a and b out."""
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row of ``table`` for each key: keys with many rows are broadcast, others are shuffled.
+
+    ``weight`` says how many of ``total`` rows a key has, so at most ``HOT_SHARE`` of them are broadcast.
+    """
+    hot = F.broadcast(table.where(F.col(weight) > total / HOT_SHARE))
+    cold = table.where(F.col(weight) <= total / HOT_SHARE)
+    rest = rows.join(hot.select(*on), on, "left_anti").join(cold, on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def grid(side: Column, block: Column, rest: Column, main: Column) -> Column:
+    """Pairs (bi, bj) of blocks that a row goes to: the rest meets everything, the main class only the rest.
+
+    ``side``: whether the row is of the main class; ``block``: its block, those of the main class after the others'.
+    """
+    pair = lambda j: F.struct(F.least(block, j).cast("int").alias("bi"), F.greatest(block, j).cast("int").alias("bj"))
+    some = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.when(side, some(rest)).otherwise(some(rest + main)), pair)
+
+
+def stars(texts: DataFrame, p: Params, n: int) -> DataFrame:
+    """Links (a, b) of each fingerprint with the least one that has the same value in a sample of the bits."""
+    words, width = p.words, min(WIDEST, max(8, math.ceil(math.log2(n + 1)) + 2))
+    rng = np.random.default_rng(SEED)
+    samples = [sorted(rng.choice(p.bits, width, replace=False).tolist()) for _ in range(SAMPLES)]
+
+    def run(batches):
+        for batch in batches:
+            fps = _fps(batch, words)
+            for i, g in enumerate(samples):
+                yield pa.record_batch({"part": pa.array(np.full(len(fps), i, np.int32)), "value": pa.array(signed(project(fps, g))), "id": batch.column("id"), **{c: batch.column(c) for c in words}})
+
+    entries = texts.select("id", *words).mapInArrow(run, f"part int, value long, id long, {', '.join(f'{c} long' for c in words)}")
+    least = entries.groupBy("part", "value").agg(F.count("*").alias("rows"), F.min(F.struct("id", *words)).alias("least")).where("rows > 1")
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"least.{c}"))) for c in words), F.lit(0))
+    both = hot_join(entries, cut(least), ["part", "value"], "rows", n * SAMPLES)
+    return both.where((F.col("id") != F.col("least.id")) & (differing <= p.distance)).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def ranked(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """``texts`` (id, ...) with comp, its class by the links so far, and rank, which grows with the class's size."""
+    roots = cut(components(links))
+    sizes = cut(roots.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size")))
+    top = [r.comp for r in sizes.orderBy(F.desc("size"), "comp").limit(OWN_RANKS).collect()]
+    own = F.lit(None).cast("int")
+    if top:
+        named = sizes.sparkSession.createDataFrame([(c, FIRST_OWN + OWN_RANKS - i) for i, c in enumerate(top)], "comp long, own int")
+        sizes = sizes.join(F.broadcast(named), "comp", "left")
+        own = F.col("own")
+    by_size = F.least(F.floor(F.log2("size")), F.lit(FIRST_OWN - 1)).cast("int")
+    classed = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
+    total = roots.count()
+    with_rank = hot_join(classed, cut(sizes.withColumn("rank", F.coalesce(own, by_size)).select("comp", "size", "rank")), ["comp"], "size", total).select("id", "comp", "rank")
+    return cut(texts.join(with_rank, "id", "left").withColumns({"comp": F.coalesce("comp", "id"), "rank": F.coalesce("rank", F.lit(0))}))
+
+
+def links(texts: DataFrame, params: Params | None = None) -> DataFrame:
+    """Links (a, b) between ids whose components are those of all links; ``texts``: id and the fingerprint's words, distinct."""
     p = params or Params()
-    n, share, corr = correlation(fps)
+    words = p.words
+    n, share, corr = correlation(texts, words)
+    first = cut(stars(texts, p, n))
+    classed = ranked(texts, first)
     parts = plan(n, share, corr, p.distance)
-    maps = fps.sparkSession.sparkContext.broadcast(_occupied(fps, parts))
-    entries = fps.select("fp").mapInArrow(_entries(parts, maps), "part int, value long, fp long, own boolean")
-    # values whose rows are more than one block
-    many = entries.groupBy("part", "value").agg(F.sum(F.col("own").cast("long")).alias("members"), F.count("*").alias("rows"))
-    hot = cut(many.where((F.col("members") > 0) & (F.col("rows") > BLOCK)))
-    if hot.count() <= p.hot_rows:
-        hot = F.broadcast(hot)
-    blocks = lambda c: F.ceil(F.coalesce(c, F.lit(1)) / BLOCK).cast("int")
-    rows = entries.join(hot, ["part", "value"], "left").withColumns({"na": blocks(F.col("members")), "nb": blocks(F.col("rows"))})
-    mine = F.pmod(F.xxhash64("fp"), F.col("na")).cast("int")
-    other = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("nb")).cast("int")
-    place = lambda i, j, own: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"), own.alias("own"))
-    # a member stands in every block of its row, and every row of the value meets all members
-    stands = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: place(mine, j, F.lit(True)))
-    meets = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: place(i, other, F.lit(False)))
-    places = F.when(F.col("rows").isNull(), F.array(place(F.lit(0), F.lit(0), F.col("own")))).when(F.col("own"), F.concat(stands, meets)).otherwise(meets)
-    dealt = rows.select("part", "value", "fp", F.explode(places).alias("at")).select("part", "value", "at.bi", "at.bj", "at.own", "fp")
-    dealt = dealt.repartition(shuffle_partitions(fps.sparkSession), "part", "value", "bi", "bj").sortWithinPartitions("part", "value", "bi", "bj", F.desc("own"))
-    return dealt.mapInArrow(_matching(p.distance), "a long, b long").distinct()
+    maps = texts.sparkSession.sparkContext.broadcast(held(classed, [g for g, _ in parts], words, n))
+    kinds = f"part int, value long, id long, comp long, rank int, own boolean, {', '.join(f'{c} long' for c in words)}"
+    spread = classed.select("id", "comp", "rank", *words).repartition(shuffle_partitions(texts.sparkSession), "id")  # few rows, much to do for each
+    entries = cut(spread.mapInArrow(_entries(parts, maps, words), kinds))
+    maps.unpersist()
+    key, alone = ["part", "value"], F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj")))
+    rows, side, places = entries, F.lit(0), alone
+    # values that more than a block of rows have are split; their class of the highest rank is not compared with itself
+    hot = cut(entries.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.struct("rank", "comp")).alias("top")).where(F.col("rows") > BLOCK).select(*key, "rows", F.col("top.comp").alias("main")))
+    if not hot.isEmpty():
+        total = entries.count()
+        blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+        in_main = F.col("comp") == F.col("main")
+        shares = hot_join(entries.select(*key, "comp"), hot, key, "rows", total).groupBy(key).agg(blocks(~in_main).alias("rest"), blocks(in_main).alias("mains"))
+        rows = hot_join(entries, cut(hot.join(shares, key)), key, "rows", total, "left")
+        spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+        side = F.when(in_main, F.col("rest") + spread(F.col("mains"))).when(F.col("rows").isNotNull(), spread(F.col("rest"))).otherwise(0)
+        places = F.when(F.col("rows").isNull(), alone).otherwise(grid(in_main, F.col("side"), F.col("rest"), F.col("mains")))
+    dealt = rows.withColumn("side", side).withColumn("at", F.explode(places)).select(*key, "at.bi", "at.bj", "own", "side", "id", "comp", *words)
+    dealt = dealt.repartition(shuffle_partitions(texts.sparkSession), "part", "value", "bi", "bj").sortWithinPartitions("part", "value", "bi", "bj", F.desc("own"))
+    return first.unionByName(dealt.mapInArrow(_matching(words, p.distance), "a long, b long")).distinct()
 
 
 # -- similarity -----------------------------------------------------------------------
 
 
-def similar(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, p: Params) -> list[tuple[int, int]]:
-    """Spanning forest of the verified links between texts; with ``side``, of those between its two values."""
+def alike(sets: list[np.ndarray], classes: np.ndarray, side: np.ndarray, cross: bool, least: float) -> list[tuple[int, int]]:
+    """Positions of a spanning forest of links that join ``classes``; with ``cross``, of those between sides."""
     sizes = np.array([len(x) for x in sets])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    union, out, mark = _Union(len(sets)), [], np.zeros(len(names), bool)
-    for i in range(len(sets) - 1):
-        near = popcount(fps[i + 1 :] ^ fps[i]) <= p.distance
-        if side is not None:
-            near &= side[i + 1 :] != side[i]
-        root = union.find(i)
-        others = np.array([j for j in (np.flatnonzero(near) + i + 1).tolist() if union.find(j) != root], dtype=np.int64)
+    _, at = np.unique(classes, return_inverse=True)
+    union, out, mark = _Union(int(at.max()) + 1), [], np.zeros(len(names), bool)
+    left, right = sides(side) if cross else (np.arange(len(sets)),) * 2
+    for i in left.tolist():
+        others = right if cross else right[i + 1 :]
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[low >= least * high - 1e-9]
+        root = union.find(int(at[i]))
+        others = np.array([j for j in others.tolist() if union.find(int(at[j])) != root], dtype=np.int64)
         if not len(others):
             continue
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = True
         ends = np.cumsum(sizes[others])
-        at = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
-        shared = np.diff(np.concatenate([[0], np.cumsum(mark[flat[at]])])[np.concatenate([[0], ends])])
+        where = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
+        shared = np.diff(np.concatenate([[0], np.cumsum(mark[flat[where]])])[np.concatenate([[0], ends])])
         mark[own] = False
-        for j in others[shared >= p.similarity * (sizes[i] + sizes[others] - shared) - 1e-9].tolist():
-            if union.join(i, j):
+        for j in others[shared >= least * (sizes[i] + sizes[others] - shared) - 1e-9].tolist():
+            if union.join(int(at[i]), int(at[j])):
                 out.append((i, j))
     return out
 
 
-def verified(docs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) between keys; ``texts``: key, fp and root (of its fingerprint's component) of distinct texts."""
-    many = texts.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / TEXT_BLOCK).cast("int").alias("blocks"))
-    crowded = cut(texts.join(many, "root"))
-    whole = [(list(range(BITS)), 0)]
-    maps = docs.sparkSession.sparkContext.broadcast(_occupied(crowded.select(F.col("key").alias("fp")), whole))
+def _linking(least: float):
+    """Links inside one dealt block; its key's last two columns are the blocks."""
 
-    def read(batches):
-        for batch in pieces(batches):
-            own = {text_key(w): w for w in (t.lower().split() for t in text_column(batch).cast(pa.binary()).to_pylist())}
-            keys = np.array(list(own), dtype=U64)
-            place = _place(keys, BITS)
-            keys = keys[(maps.value[0][(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1]
-            yield pa.record_batch({"key": pa.array(signed(keys)), "shingles": pa.array([np.unique(shingles(own[k], p.shingle)).tobytes() for k in keys.tolist()], pa.binary())})
+    def run(key, group):
+        col = lambda c: group.column(c).to_numpy(zero_copy_only=False)
+        ids, cross = col("id"), key[-2].as_py() != key[-1].as_py()
+        sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
+        pairs = np.array(alike(sets, col("class"), col("side"), cross, least), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
-    sets = docs.select("text").mapInArrow(read, "key long, shingles binary").dropDuplicates(["key"])
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))).alias("at")
-    dealt = crowded.join(sets, "key").withColumn("block", block).select("root", "key", "fp", "shingles", "block", place).select("root", "at.bi", "at.bj", "key", "fp", "block", "shingles")
+    return run
 
-    def run(key, group):
-        col = lambda c: group.column(c).to_numpy()
-        keys, side = col("key"), col("block") if key[1].as_py() != key[2].as_py() else None
-        pairs = np.array(similar(col("fp").view(U64), [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()], side, p), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(keys[pairs[:, 0]]), "b": pa.array(keys[pairs[:, 1]])})
 
-    return dealt.groupBy("root", "bi", "bj").applyInArrow(run, "a long, b long")
+def verified(docs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between texts' keys whose components are those of all links; ``texts``: id and root (its class by bits)."""
+    spark = docs.sparkSession
+    sizes = cut(texts.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    crowded = cut(hot_join(texts.select("id", "root"), sizes, ["root"], "size", total).select("id", "root", "size"))
+    own = crowded.select(F.col("id").alias("w0"), F.lit(0).alias("rank"))
+    known = spark.sparkContext.broadcast(held(own, [list(range(64))], ["w0"], total)[0])
+    itself = np.zeros((2, 1), U64)
+
+    def read(batches):
+        for batch in pieces(batches):
+            words = {text_key(w): w for w in (t.lower().split() for t in text_column(batch).cast(pa.binary()).to_pylist())}
+            keys = np.array(list(words), dtype=U64)
+            keys = keys[known.value.has(keys, itself)[0]] if len(keys) else keys
+            sets = [np.unique(shingles(words[k], p.compared)) for k in keys.tolist()]
+            least = [[int(signed(mix(s ^ U64(SEED + i)).min(keepdims=True))[0]) if len(s) else 0 for i in range(MINIMA)] for s in sets]
+            yield pa.record_batch({"id": pa.array(signed(keys)), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "least": pa.array(least, pa.list_(pa.int64()))})
+
+    sets = docs.select("text").mapInArrow(read, "id long, shingles binary, least array<long>").dropDuplicates(["id"])
+    sets = cut(crowded.join(sets, "id"))
+    # each text with the least one of its class by bits that has the same minimum hash
+    minima = sets.select("id", "root", F.posexplode("least").alias("i", "value"))
+    heads = cut(minima.groupBy("root", "i", "value").agg(F.count("*").alias("rows"), F.min("id").alias("head")).where("rows > 1"))
+    pairs = cut(hot_join(minima, heads, ["root", "i", "value"], "rows", MINIMA * total).where("id <> head").select("id", "head").distinct())
+    salts = cut(pairs.groupBy("head").agg(F.count("*").alias("rows")).withColumn("salts", F.ceil(F.col("rows") / TEXT_BLOCK).cast("int")))
+    members = hot_join(pairs, salts, ["head"], "rows", MINIMA * total).select("id", "head", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    leaders = salts.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    dealt = members.unionByName(leaders).join(sets.select("id", "shingles"), "id").withColumns({"class": F.col("id"), "bj": F.lit(1), "bi": F.lit(0)})
+    first = cut(dealt.groupBy("head", "salt", "bi", "bj").applyInArrow(_linking(p.similarity), "a long, b long"))
+    # what is left: of every class by bits with several classes so far, all but the largest against everything
+    roots = components(first).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    so_far = cut(crowded.join(roots, "id", "left").select("id", "root", "size", F.coalesce("class", "id").alias("class")))
+    shares = so_far.groupBy("root", "class").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    mains = cut(shares.groupBy("root").agg(F.max(F.struct("n", "class")).alias("main"), F.first("size").alias("size")).where("main.n < size"))
+    blocks = lambda c: F.ceil(c / TEXT_BLOCK).cast("int")
+    left = hot_join(so_far.drop("size"), mains, ["root"], "size", total)
+    in_main, rest, main = F.col("class") == F.col("main.class"), blocks(F.col("size") - F.col("main.n")), blocks(F.col("main.n"))
+    side = F.when(in_main, rest + F.pmod(F.xxhash64("id"), main)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
+    # a class by bits of few texts is one block
+    one = F.col("size") <= TEXT_BLOCK
+    places = F.when(one, F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj")))).otherwise(grid(in_main, side, rest, main))
+    placed = left.select("id", "root", "class", side.alias("side"), F.explode(places).alias("at")).select("id", "root", "class", "side", "at.bi", "at.bj")
+    second = placed.join(sets.select("id", "shingles"), "id").groupBy("root", "bi", "bj").applyInArrow(_linking(p.similarity), "a long, b long")
+    return first.unionByName(second)
 
 
 # -- classes --------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id of the class) and copies (rows of this fingerprint, or text) of every row."""
-    p = params or Params()
-    member = "key" if p.similarity else "fp"
-    rows = cut(fingerprints(docs, p))
-    roots = components(links(cut(rows.select("fp").distinct()), p))
+def _classed(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, row, fp, member (text or fingerprint), the root of its class and copies (rows of this member) of every row."""
+    words = p.words
+    rows = cut(fingerprints(docs, p).withColumn("id", F.col("key") if p.similarity else F.xxhash64(*words) if len(words) > 1 else F.col("w0")))
+    texts = cut(rows.groupBy("id", *words).agg(F.count("*").alias("copies")))
+    roots = components(links(texts.select("id", *words), p))
+    placed = lambda roots: texts.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "copies", F.coalesce("root", "id").alias("root"))
     if p.similarity:
-        placed = rows.select("key", "fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        roots = components(verified(docs, cut(placed), p))
-    distinct = rows.groupBy(member).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    rooted = cut(distinct.join(roots, distinct[member] == roots["node"], "left").select(member, "first_id", "copies", F.coalesce("root", member).alias("root")))
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classed = cut(rooted.join(first, "root").select(member, "component_id", "copies"))
-    # at most 1024 members hold more than a 1024th of the rows each
+        roots = components(verified(docs, cut(placed(roots)), p))
     total = rows.count()
-    hot = F.broadcast(classed.where(F.col("copies") > total / 1024))
-    rest = rows.join(hot.select(member), member, "left_anti").join(classed.where(F.col("copies") <= total / 1024), member)
-    return rows.join(hot, member).unionByName(rest).select("doc_id", "fp", "component_id", "copies")
+    return hot_join(rows.withColumnRenamed("w0", "fp"), cut(placed(roots)), ["id"], "copies", total).select("doc_id", "row", "fp", "id", "root", "copies")
+
+
+def classes(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """doc_id, fp (its first word), component_id (the smallest id of the class) and copies (rows of this fingerprint, or text) of every row."""
+    rows = cut(_classed(docs, params or Params()))
+    first = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")))
+    return hot_join(rows, first, ["root"], "rows", rows.count()).select("doc_id", "fp", "component_id", "copies")
 
 
 def keep_first(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """One row of each class, that of the smallest id, with all columns; rows without an id stay."""
-    firsts = cut(classes(docs, params).where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class with all columns: that of the smallest id, rows without an id last, ties by a hash of the row."""
+    rows = cut(_classed(docs, params or Params()))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    chosen = cut(first.select(F.col("first.row").alias("__row")).distinct())
+    repeated = cut(rows.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").join(chosen, "__row", "left_semi").select("__row"))
+    named = docs.withColumn("__row", row_hash(docs))
+    kept = named.join(chosen, "__row", "left_semi")
+    if not repeated.isEmpty():  # wholly equal rows
+        one = named.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+        kept = kept.join(repeated, "__row", "left_anti").unionByName(one)
+    return kept.drop("__row")
