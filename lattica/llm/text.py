@@ -25,6 +25,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = P
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
