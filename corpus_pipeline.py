@@ -2,8 +2,9 @@
 
 Every stage takes the documents that the stage before kept, whole, and its decisions
 take effect: all but the last return the columns of documents, the last one encodes.
-The near-duplicate stage takes shingles of five words and links texts whose fingerprints
-differ in up to ``NEAR_BITS`` bits and whose shingles have a similarity of ``SIMILARITY``.
+Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more.  Their candidates are found by fingerprints of 128 bits over single distinct
+words, where such texts differ in fewer bits than by five-word shingles: up to 15.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from lattica.llm import decontaminate, sentencepieces, simhash, toxicity
 from lattica.llm.queries import PIECES_FILE
 from lattica.session import cut, table
 
-NEAR_BITS = 8
-SIMILARITY = 0.8
+NEAR = simhash.Params(shingle=1, distance=15, bits=128, distinct=True, similarity=0.8, compared=5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return simhash.keep_first(docs, simhash.Params(shingle=5, distance=NEAR_BITS, similarity=SIMILARITY))
+    return simhash.keep_first(docs, NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
