@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2048  # rows that go to a Python worker at once, at most
+LOCAL = re.compile(r"local(\[[^\]]*\])?")
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and make sure that checkpoints have a folder.
+    """Let Python workers import this package, bound their batches, and see that checkpoints have a folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is
-    unset (a bare local session, as in tests) a temporary one is chosen.
+    The folder is the one that ``spark.checkpoint.dir`` names.  Where that is unset, a local
+    session (as in tests) gets a temporary one; on a cluster executors couldn't share it, so
+    there it is an error.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
+    # batches of whole texts stand in both processes' memory at once
+    if int(spark.conf.get(_BATCH)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lattica-ckpt-")
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not LOCAL.fullmatch(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="lattica-ckpt-")
         sc.setCheckpointDir(folder)
     return spark
 
