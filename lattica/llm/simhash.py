@@ -229,7 +229,7 @@ WIDEST = 48  # bits of a partition
 
 def plan(n: int, share: np.ndarray, corr: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, those that are skipped left out."""
-    found = (math.inf, [])
+    found, n = (math.inf, []), max(n, 1)
     for m in range(-(-len(share) // WIDEST), max(distance, 2) + 2):
         groups = partition_bits(corr, m)
         rows = []

@@ -154,7 +154,7 @@ def test_pigeonhole_allocation():
     rng = np.random.default_rng(0)
     for bits, distance in ((64, 4), (64, 8), (128, 15)):
         share, corr = np.full(bits, 0.5), np.eye(bits)
-        for n in (1000, 10**5, 10**7):
+        for n in (0, 1, 1000, 10**5, 10**7):
             parts = simhash.plan(n, share, corr, distance)
             assert sum(t + 1 for _, t in parts) == distance + 1
             lookups = sum(math.comb(len(g), k) for g, t in parts for k in range(t + 1))
