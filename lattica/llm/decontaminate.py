@@ -35,11 +35,11 @@ equal.  Repeated rows and items count once.  An empty benchmark finds nothing.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,7 +57,8 @@ COMMON = frozenset(
     b"consider assume calculate compute determine solve show prove write explain describe list choose select use using is are was were do does did has have had can "
     b"could will would should may might must then now today next first finally however therefore thus because although also only my your his her its our their".split()
 )
-NUMBER = re.compile(rb"[+$-]?\d[\d.,:/]*(?:%|[a-z]{1,3})?")
+NUMBER = r"^[+$-]?\d[\d.,:/]*(?:%|[a-z]{1,3})?$"
+_NUMBER_WORDS, _UNITS, _COMMON = (pa.array(sorted(w.decode() for w in own)) for own in (NUMBER_WORDS, UNITS, COMMON))
 SLOT_NUMBER, SLOT_NAME, SLOT_UNIT = hash_words([b" number", b" name", b" unit"])
 IS_NUMBER, IS_UNIT = 1, 2
 A_NAME, A_NUMBER, A_UNIT = 1, 2, 3  # the last two bits of a slot's value
@@ -95,27 +96,14 @@ class Canonical:
 
 def canonical(texts: pa.Array, known: Lexicon | None = None, item: bool = True) -> Canonical:
     words = Words(texts, lower=False)
-    n = len(words.vocab)
-    value, kind = np.zeros(n, U64), np.zeros(n, np.int8)
-    capital, small, ends, held, common = (np.zeros(n, bool) for _ in range(5))
-    bare = []
-    for i, raw in enumerate(words.vocab):
-        word = raw.strip(EDGES)
-        ends[i] = raw[-1:] in b".?!:"
-        text = word.decode()
-        low = word.lower() if word.isascii() else text.lower().encode()
-        bare.append(low)
-        if word:
-            held[i] = True
-            if word[0] < 58 and NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-                kind[i] = IS_NUMBER
-            elif low in UNITS:
-                kind[i] = IS_UNIT
-            capital[i] = text[0].isupper()
-            small[i] = text[0].islower()
-            common[i] = low in COMMON
-    if n:
-        value = hash_words(bare)
+    bare = pc.utf8_trim(words.strings, characters=EDGES.decode())
+    low = pc.utf8_lower(bare)
+    first_letter = pc.utf8_slice_codeunits(bare, 0, 1)
+    flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    capital, small, held = flag(pc.utf8_is_upper(first_letter)), flag(pc.utf8_is_lower(first_letter)), flag(pc.not_equal(bare, ""))
+    ends, common = flag(pc.match_substring_regex(words.strings, "[.?!:]$")), flag(pc.is_in(low, _COMMON))
+    kind = np.where(flag(pc.or_(pc.match_substring_regex(low, NUMBER), pc.is_in(low, _NUMBER_WORDS))), IS_NUMBER, np.where(flag(pc.is_in(low, _UNITS)), IS_UNIT, 0))
+    value = hash_words(low.cast(pa.binary()).to_pylist())
     ids = words.ids
     if not len(ids):
         none = np.zeros(0, U64)

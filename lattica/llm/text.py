@@ -49,7 +49,8 @@ class Words:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocab: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.strings: pa.Array = coded.dictionary
+        self.vocab: list[bytes] = self.strings.cast(pa.binary()).to_pylist()
         self.offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
 
     def hashes(self) -> np.ndarray:
