@@ -63,7 +63,7 @@ SUFFIXES = (
 
 @dataclass(frozen=True)
 class Params:
-    z: float = 1.2816  # the lower bound is passed with a probability of 0.9
+    z: float = 0.6745  # the lower bound is passed with a probability of 0.75
     lift: float = 1.0
     limit: float = 0.5
     least_strength: float = 2.0
