@@ -243,10 +243,15 @@ def frozen(edges: DataFrame, threshold_bytes: float) -> DataFrame:
 
 
 def mutual_best(edges: DataFrame, threshold_bytes: float, most_rounds: int = 10_000) -> tuple[DataFrame, int]:
-    """frag and root by rounds in which pairs merge that are each other's best (live contact means)."""
+    """frag and root by rounds in which pairs merge that are each other's best (live contact means).
+
+    The best edge of all is each other's best, so every round merges; more than ``most_rounds`` are an error.
+    """
     edges = cut(edges.select("u", "v", "sum_bytes", "cnt"))
     up, rounds = None, 0
-    while rounds < most_rounds:
+    while True:
+        if rounds >= most_rounds:
+            raise RuntimeError(f"edges above the threshold are left after {most_rounds} rounds")
         live = edges.withColumn("m", F.col("sum_bytes") / F.col("cnt")).where(F.col("m") > threshold_bytes)
         ends = live.select(F.explode(F.array("u", "v")).alias("n"), F.struct((-F.col("m")).alias("s"), "u", "v").alias("e"))
         best = ends.groupBy("n").agg(F.min("e").alias("e"))
@@ -313,6 +318,9 @@ def mutual_best_by_component(edges: DataFrame, threshold_bytes: float) -> DataFr
 # -- (1 + eps) rounds ------------------------------------------------------------------
 
 
+MOST_LAYERS = 100_000
+
+
 def hashed_colour(seed: int):
     return lambda node: F.xxhash64(node, F.lit(seed)).bitwiseAND(1)
 
@@ -367,28 +375,31 @@ def largest_mean(edges: DataFrame) -> DataFrame:
     return edges.agg(F.max(F.col("sum_bytes") / F.col("cnt")).alias("largest_mean"))
 
 
-def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float], eps: float, most_layers: int = 10_000, most_outer: int = 64, most_inner: int = 64) -> dict[float, DataFrame]:
+def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float], eps: float, most_layers: int = MOST_LAYERS, most_outer: int = 64, most_inner: int = 64) -> dict[float, DataFrame]:
     """Parents (frag, root) by threshold from rounds over DataFrames, thresholds falling.
 
     Layers lower the level from the largest mean by 1 + eps down to the threshold; outer
     rounds draw colours and thaw nodes; inner rounds propose, accept and contract.  State
     is written every inner round; what the driver sees are counts and the largest mean.
+    A layer without a merge is tried again with other colours; edges above the threshold
+    after ``most_layers`` are an error, so a run never ends with any.
     """
     edges = cut(edges.select("u", "v", "sum_bytes", "cnt"))
     sizes = cut(nodes.select("id", F.lit(1).cast("long").alias("size")))
     up, out, layer = None, {}, 0
     mean = F.col("sum_bytes") / F.col("cnt")
     for t in sorted(thresholds_bytes, reverse=True):
-        while layer < most_layers:
+        while True:
+            if layer >= most_layers:
+                raise RuntimeError(f"edges above the threshold are left after {most_layers} layers")
             most = largest_mean(edges).first()[0]
             if most is None or most <= t:
                 break
-            level, merged_in_layer, done = max(most / (1 + eps), t), 0, False
+            level, done = max(most / (1 + eps), t), False
             above = (mean >= level) if level > t else (mean > t)
             for outer in range(most_outer):
                 start = sizes
                 frozen_ids = None
-                merged_in_outer = 0
                 for inner in range(most_inner):
                     live = edges.where(above)
                     if live.isEmpty():
@@ -396,20 +407,15 @@ def rounds(edges: DataFrame, nodes: DataFrame, thresholds_bytes: Sequence[float]
                         break
                     marked = sizes.withColumn("frozen", F.lit(False)) if frozen_ids is None else sizes.join(frozen_ids, "id", "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))
                     taken = cut(accept(propose(live, marked, level, hashed_colour(1 + layer * 1000 + outer), hashed_priority(1 + inner * 100 + outer)), eps))
-                    n = taken.count()
-                    if not n:
+                    if taken.isEmpty():
                         break
-                    merged_in_outer += n
                     up = cut(taken if up is None else up.unionByName(taken))
                     edges = cut(contract(edges, taken))
                     sizes = cut(grown(sizes, taken))
                     frozen_ids = cut(overgrown(sizes, start, eps).withColumn("frozen", F.lit(True)))
-                merged_in_layer += merged_in_outer
                 if done:
                     break
             layer += 1
-            if not merged_in_layer:
-                break
         if up is None:
             out[t] = nodes.select(F.col("id").alias("frag"), F.col("id").alias("root"))
         else:
@@ -438,7 +444,9 @@ def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndar
             most = mean.max()
             if most <= t:
                 break
-            level, merged = max(most / (1 + eps), t), 0
+            if layer >= MOST_LAYERS:
+                raise RuntimeError(f"edges above the threshold are left after {MOST_LAYERS} layers")
+            level = max(most / (1 + eps), t)
             for outer in range(64):
                 colour = _mix(ids.astype(np.uint64) * np.uint64(2654435761) + np.uint64(layer * 1000 + outer)) & np.uint64(1)
                 frozen, start, live = np.zeros(n, bool), size.copy(), True
@@ -467,7 +475,6 @@ def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndar
                     red, blue = red[take], blue[take]
                     parent[blue] = red
                     np.add.at(size, red, size[blue])
-                    merged += len(red)
                     frozen |= size > (1 + eps) * start
                     step = np.arange(n)
                     step[blue] = red
@@ -484,8 +491,6 @@ def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndar
                 if not live:
                     break
             layer += 1
-            if not merged:
-                break
         root = parent.copy()
         while (root[root] != root).any():
             root = root[root]

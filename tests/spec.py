@@ -1,7 +1,5 @@
 """A plain sequential specification in NumPy, for comparison only."""
 
-from collections import deque
-
 import numpy as np
 
 
@@ -25,44 +23,44 @@ def flow(aff, low, high):
 
 
 def watershed(aff, low, high):
-    """Labels by flow, one global first-in-first-out division, and components."""
+    """Labels by rule: ranks of all cells by their distance from the outlets, then what each cell keeps, then components.
+
+    Cells are ranked in waves: the outlets by number, then those that a wave's cells exchange
+    with, by the rank of the first such cell and the direction from there.  A ranked cell keeps
+    the last direction towards a cell that doesn't answer or has a lower rank; others keep all.
+    """
     _, Z, Y, X = aff.shape
     step = [-Y * X, -X, -1, Y * X, X, 1]
-    b = flow(aff, low, high).reshape(-1).tolist()
-    back = [3, 4, 5, 0, 1, 2]
-    queue, seen = deque(), set()
-    for i, v in enumerate(b):
-        if any(v >> d & 1 and not b[i + step[d]] >> back[d] & 1 for d in range(6)):
-            queue.append(i)
-            seen.add(i)
-    while queue:
-        i = queue.popleft()
-        keep = 0
-        for d in range(6):
-            if b[i] >> d & 1:
-                j = i + step[d]
-                if not b[j] >> back[d] & 1:
-                    keep = 1 << d
-                elif j not in seen:
-                    seen.add(j)
-                    queue.append(j)
-        b[i] = keep
-    up = list(range(len(b)))
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    touched = set()
-    for i, v in enumerate(b):
-        for d in range(6):
-            if v >> d & 1:
-                touched |= {i, i + step[d]}
-                a, c = find(i), find(i + step[d])
-                up[max(a, c)] = min(a, c)
-    ids = {r: n + 1 for n, r in enumerate(sorted({find(i) for i in touched}))}
-    return np.array([ids[find(i)] if i in touched else 0 for i in range(len(b))]).reshape(Z, Y, X)
+    first = flow(aff, low, high).reshape(-1).tolist()
+    out = [[(d, i + step[d]) for d in range(6) if v >> d & 1] for i, v in enumerate(first)]
+    answers = lambda i, j: any(k == i for _, k in out[j])
+    wave = [i for i in range(len(first)) if any(not answers(i, j) for _, j in out[i])]
+    rank = {}
+    while wave:
+        rank.update({i: len(rank) + n for n, i in enumerate(wave)})
+        reached = {}
+        for i in wave:
+            for d, j in out[i]:
+                if answers(i, j) and j not in rank:
+                    reached[j] = min(reached.get(j, (rank[i], d)), (rank[i], d))
+        wave = sorted(reached, key=reached.get)
+    kept = [[j for _, j in o] if i not in rank else [j for _, j in o if not answers(i, j) or rank[j] < rank[i]][-1:] for i, o in enumerate(out)]
+    touched = {i for i, o in enumerate(kept) if o} | {j for o in kept for j in o}
+    near = {i: set() for i in touched}
+    for i, o in enumerate(kept):
+        for j in o:
+            near[i].add(j)
+            near[j].add(i)
+    labels, n = [0] * len(first), 0
+    for i in sorted(touched):
+        if not labels[i]:
+            n, stack = n + 1, [i]
+            while stack:
+                k = stack.pop()
+                if not labels[k]:
+                    labels[k] = n
+                    stack.extend(near[k])
+    return np.array(labels).reshape(Z, Y, X)
 
 
 def graph(aff, frag):
