@@ -65,6 +65,31 @@ def test_lm_score_has_exact_counts_of_all_words(spark, corpus):
     assert whole == few == none
 
 
+@pytest.mark.parametrize("top_words,filter_bytes", [(1 << 20, 1 << 28), (3, 2048)])
+def test_lm_score_equals_brute_force(spark, corpus, top_words, filter_bytes):
+    """With a filter wide enough to have no false positives: quantised pair counts, exact word counts, one Dirichlet prior."""
+    rows = corpus + EDGE_DOCS + [(500 + i, "w1 w2 " * i + f"rare{i}") for i in range(20)]
+    p = lm_scoring.Params(top_words=top_words, max_filter_bytes=filter_bytes, bits_per_entry=60.0, probes=20)
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm_scoring.score_split(docs_of(spark, rows), p).collect())
+    texts = [((t or "").encode().lower().split() + [b" end"], zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2, i) for i, t in rows]
+    words, pairs = Counter(), Counter()
+    for own, held, _ in texts:
+        if not held:
+            words.update(own)
+            pairs.update(zip([b" begin", *own], own))
+    n, v = sum(words.values()), len(words)
+    want = []
+    for own, _, i in texts:
+        total = 0.0
+        for h, w in zip([b" end", *own], own):
+            pair = pairs[(b" begin" if h == b" end" else h, w)]
+            low = 2 ** int(math.log2(pair)) if pair else 0
+            seen = min((low + 2 * low - 1) / 2 if pair else 0, words[h])
+            total += math.log10((seen + p.mu * (words[w] + 1) / (n + v + 1)) / (words[h] + p.mu))
+        want.append((str(i), len(own), round(total, 6)))
+    assert got == sorted(want)
+
+
 def test_lm_filter_gives_exact_levels_but_for_false_positives():
     p = lm_scoring.Params()
     keys = lm_scoring.mix(np.arange(5000, dtype=np.uint64))
@@ -614,3 +639,34 @@ def test_license_join_equals_brute_force():
 
 def test_crc_and_regex_are_what_the_contract_says():
     assert re.findall(rb"[^\x20\x09-\x0D]+", b" a\x0bb ") == [b"a", b"b"]
+
+
+def test_empty_tables_give_no_rows(spark):
+    docs = docs_of(spark, [(1, "a")])
+    none = docs.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, grade int")
+    model = toxicity.train(none, labels)
+    for got in (
+        lm_scoring.score_split(none), sentencepieces.encode(none, PIECES_FILE), gif_media.store_and_read(none), toxicity.score(none, model), toxicity.keep_clean(none, model),
+        warc.derivatives(warc.responses(pages)), license_scan.scan(none), url_filter.judge(pages, spark.createDataFrame([], "page_id long, bad boolean")),
+    ):
+        assert got.count() == 0 and len(got.columns) > 1
+    assert toxicity.score(docs, model).first().toxic is False  # nothing is toxic without labels
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    """Each row has its own result, equal texts equal ones."""
+    long = "word" + " of a very long text mit license" * 20_000
+    rows = [(1, long), (1, long), (2, "short vilething"), (2, "short vilething"), (None, long)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, None)], "doc_id long, grade int")
+    model = toxicity.train(docs, labels, toxicity.Params(least_rows=1, least_z=0.1))
+    for got in (toxicity.score(docs, model).drop("doc_id"), license_scan.scan(docs).drop("doc_id"), gif_media.store_and_read(docs).drop("doc_id")):
+        found = Counter(map(tuple, got.collect()))
+        assert sorted(found.values()) == [2, 3]
+    assert {r.n_base for r in license_scan.scan(docs).collect()} == {20_000, 0}
+    pages = spark.createDataFrame([(1, "http://h.test/", f"<p>{long}"), (1, "http://h.test/", f"<p>{long}"), (2, None, None)], "page_id long, url string, html string")
+    derived = warc.derivatives(warc.responses(pages)).collect()
+    assert len(derived) == 6 and len({r.record_id for r in derived}) == 4 and all(r.error is None for r in derived)
+    assert {r.content_length for r in derived if r.record_type == "conversion" and r.page_id == 1} == {len(long)}
