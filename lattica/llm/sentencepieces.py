@@ -45,7 +45,7 @@ from lattica.session import prepare
 MARK = "▁"
 CHECK = 64
 CHUNK = 4096  # characters of a text that are read at once
-LONGEST_KEPT, KEPT_BYTES = 256, 48 << 20  # of the parts whose ids are kept
+LONGEST_KEPT, KEPT_BYTES = 256, 64 << 20  # of the parts whose ids are kept
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 BPE = 2  # a model type
@@ -115,23 +115,7 @@ class Search:
 
     def _advance(self, stop: int) -> None:
         """Relax all pieces that start before ``stop``."""
-        text, best, prev, ids = self.text, self.best, self.prev, self.ids
-        find, unknown, size = self.pieces.trie.get, self.pieces.unknown_score, len(self.text)
-        for at in range(self.at, stop):
-            here, end = best[at], at + 1
-            found = find(text[at])
-            piece, score = found or (-1, 0.0)
-            score = here + (score if piece >= 0 else unknown)
-            if score > best[end]:
-                best[end], prev[end], ids[end] = score, at, piece
-            while found is not None and end < size:
-                end += 1
-                found = find(text[at:end])
-                if found is None:
-                    break
-                piece, score = found
-                if piece >= 0 and here + score > best[end]:
-                    best[end], prev[end], ids[end] = here + score, at, piece
+        relax(self.pieces, self.text, self.at, stop, self.best, self.prev, self.ids)
         self.at = max(self.at, stop)
 
     def _commit(self) -> list[int]:
@@ -152,17 +136,44 @@ class Search:
         return out
 
     def _trace(self, end: int) -> list[int]:
-        own, out = self.pieces, []
-        while end:
-            start = self.prev[end]
-            if self.ids[end] >= 0:
-                out.append(self.ids[end])
-            elif own.bytes:
-                out.extend(own.bytes[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass")))
-            else:
-                out.append(own.unknown)
-            end = start
-        return out[::-1]
+        return traced(self.pieces, self.text, end, self.prev, self.ids)
+
+
+def relax(own: Pieces, text: str, start: int, stop: int, best: list[float], prev: list[int], ids: list[int]) -> None:
+    """Best scores and backpointers of the ends of all pieces that start from ``start`` on and before ``stop``."""
+    trie, unknown, size = own.trie, own.unknown_score, len(text)
+    for at in range(start, stop):
+        here, kids = best[at], trie
+        end = at
+        while end < size:
+            found = kids.get(text[end])
+            if found is None:
+                break
+            piece, score, kids = found
+            end += 1
+            if piece >= 0:
+                score += here
+                if score > best[end]:
+                    best[end], prev[end], ids[end] = score, at, piece
+        # a single character always goes, as an unknown one if need be
+        if here + unknown > best[at + 1]:
+            best[at + 1], prev[at + 1], ids[at + 1] = here + unknown, at, -1
+
+
+def traced(own: Pieces, text: str, end: int, prev: list[int], ids: list[int]) -> list[int]:
+    """Ids of the best path to ``end``."""
+    out = []
+    while end:
+        start, piece = prev[end], ids[end]
+        if piece >= 0:
+            out.append(piece)
+        elif own.bytes:
+            out.extend(own.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
+        else:
+            out.append(own.unknown)
+        end = start
+    out.reverse()
+    return out
 
 
 class Pieces:
@@ -190,11 +201,13 @@ class Pieces:
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self.longest = max((len(p) for _, p, _ in usable), default=1)
         self.unknown_score = min((s for _, _, s in usable), default=0.0) - UNKNOWN_PENALTY
-        self.trie: dict[str, tuple[int, float]] = {}
-        for i, p, s in usable:
-            for k in range(1, len(p)):
-                self.trie.setdefault(p[:k], (-1, 0.0))
-            self.trie[p] = (i, s)
+        #: By first letter, then by each next one: the piece that ends there (-1: none), its score, and what goes on.
+        self.trie: dict[str, tuple] = {}
+        whole = {p: (i, s) for i, p, s in usable}
+        begun: dict[str, dict] = {"": self.trie}
+        for p in sorted({p[:k] for p in whole for k in range(1, len(p) + 1)}):
+            begun[p] = {}
+            begun[p[:-1]][p[-1]] = (*whole.get(p, (-1, 0.0)), begun[p])
         joined = {c for _, p, _ in usable if len(p) > 1 for c in p}
         self.alone = re.compile(f"([^{re.escape(''.join(sorted(joined)))}])") if joined else re.compile("(.)", re.S)
         self.marks_lead = all(MARK not in p.lstrip(MARK) for _, p, _ in usable)
@@ -230,8 +243,11 @@ class Pieces:
         """Ids of a part that no piece reaches across the ends of."""
         found = self.kept.get(part)
         if found is None:
-            search = Search(self)
-            found = (*search.push(part), *search.finish())
+            n = len(part) + 1
+            best, prev, ids = [_NEVER] * n, [0] * n, [-1] * n
+            best[0] = 0.0
+            relax(self, part, 0, n - 1, best, prev, ids)
+            found = tuple(traced(self, part, n - 1, prev, ids))
             size = 200 + 4 * len(part) + 16 * len(found)
             if self.kept_bytes + size > KEPT_BYTES:
                 self.kept, self.kept_bytes = {}, 0
