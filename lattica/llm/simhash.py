@@ -535,8 +535,8 @@ def stars(texts: DataFrame, p: Params, n: int) -> DataFrame:
 
 def ranked(texts: DataFrame, links: DataFrame) -> DataFrame:
     """``texts`` (id, ...) with comp, its class by the links so far, and rank, which grows with the class's size."""
-    roots = cut(components(links))
-    sizes = cut(roots.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size")))
+    roots = components(links)
+    sizes = roots.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
     top = [r.comp for r in sizes.orderBy(F.desc("size"), "comp").limit(OWN_RANKS).collect()]
     own = F.lit(None).cast("int")
     if top:
@@ -566,9 +566,9 @@ def links(texts: DataFrame, params: Params | None = None) -> DataFrame:
     key, alone = ["part", "value"], F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj")))
     rows, side, places = entries, F.lit(0), alone
     # values that more than a block of rows have are split; their class of the highest rank is not compared with itself
-    hot = cut(entries.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.struct("rank", "comp")).alias("top")).where(F.col("rows") > BLOCK).select(*key, "rows", F.col("top.comp").alias("main")))
+    hot = entries.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.struct("rank", "comp")).alias("top")).where(F.col("rows") > BLOCK).select(*key, "rows", F.col("top.comp").alias("main"))
     if not hot.isEmpty():
-        total = entries.count()
+        hot, total = cut(hot), entries.count()
         blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
         in_main = F.col("comp") == F.col("main")
         shares = hot_join(entries.select(*key, "comp"), hot, key, "rows", total).groupBy(key).agg(blocks(~in_main).alias("rest"), blocks(in_main).alias("mains"))
