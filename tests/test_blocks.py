@@ -92,3 +92,20 @@ def test_contacts_of_any_fragments(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (1, 99), (None, 1)], "a long, b long")
     found = {(r["a"], r["b"]): r["cnt"] for r in graph.find_edge(graph.region_graph(own, L.labels_from_numpy(spark, frag), shape), pairs).collect()}
     assert found == {(2, 1): got[1, 2][1], (1, 2): got[1, 2][1], (1, 99): None, (None, 1): None}
+
+
+@pytest.mark.parametrize("kind", ["near", "any", "hub"])
+def test_components_of_many_pieces_equal_those_of_one(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 3000, 2600)
+    b = {"near": a + rng.integers(0, 3, len(a)), "any": rng.integers(0, 3000, len(a)), "hub": np.where(rng.random(len(a)) < 0.5, 1500, a + 1)}[kind]
+    edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    root = components.local_components(6000, a, b)
+    want = sorted((n, int(root[n])) for n in set(a[a != b].tolist()) | set(b[a != b].tolist()))
+    own = lambda: sorted((r["node"], r["root"]) for r in components.components(edges).collect())
+    assert own() == want
+    steps, stars = [], components._stars
+    monkeypatch.setattr(components, "PIECE", 100)
+    monkeypatch.setattr(components, "_stars", lambda *x: steps.append(1) or stars(*x))
+    assert own() == want
+    assert kind != "near" or not steps  # near numbers never need steps over the whole graph
