@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import affinity, scores, thresholds
-from lattica.operators import fragments, geometry, graph, merge, metrics
+from lattica.operators import fragments, geometry, graph, lazy, merge, metrics
 from lattica.plans import api
 from lattica.schemas import Shape, ShapeError
 from lattica.sources import lattice as L
@@ -282,3 +282,50 @@ def test_own_statistics_are_merged(spark):
     with pytest.raises(ValueError):
         scores.provide(scores.Provider("cnt", F.count, max))
     del scores.PROVIDERS["span"]
+
+
+def best_rounds(edges, threshold):
+    """Mutual-best rounds as they are defined, over all edges each time."""
+    edges, up = {k: list(x) for k, x in edges.items()}, {}
+    while True:
+        best = {}
+        for (u, v), (s, c) in edges.items():
+            if s / c > threshold:
+                for n in (u, v):
+                    best[n] = min(best.get(n, (0.0, 0, 0)), (-s / c, u, v))
+        pairs = {e[2]: e[1] for e in best.values() if best[e[1]] == best[e[2]] == e}
+        if not pairs:
+            return up
+        up |= pairs
+        moved = {}
+        for (u, v), (s, c) in edges.items():
+            a, b = sorted((pairs.get(u, u), pairs.get(v, v)))
+            if a != b:
+                s0, c0 = moved.get((a, b), (0, 0))
+                moved[a, b] = [s + s0, c + c0]
+        edges = moved
+
+
+@pytest.mark.parametrize("levels,few", [(2, 0.01), (3, 0.0), (4, 1.0), (16, 0.1)])
+def test_mutual_rounds_that_look_at_changes_only_equal_those_over_all_edges(levels, few):
+    rng = np.random.default_rng(levels)
+    u = np.repeat(np.arange(1, 301), 3)
+    v = u + rng.integers(1, 9, len(u))
+    edges = {(int(a), int(b)): [int(rng.integers(0, levels)) * 255 // (levels - 1), 1] for a, b in zip(u, v)}
+    up = best_rounds(edges, 127.5)
+    a, b, s, c = (np.array(x) for x in zip(*((a, b, s, c) for (a, b), (s, c) in edges.items())))
+    ids, x, y = lazy.coded(a, b)
+    root = ids[lazy.mutual_rounds(len(ids), x, y, s, c, 127.5, few)]
+    for n, r in zip(ids.tolist(), root.tolist()):
+        while n in up:
+            n = up[n]
+        assert n == r
+
+
+def test_rounds_of_a_long_chain_cost_what_changes(monkeypatch):
+    n = 4000  # a chain of rising means merges by one pair in each round
+    a, s = np.arange(n, dtype=np.int32), np.arange(n) + 1_000_000
+    passes, bests = [], lazy.bests
+    monkeypatch.setattr(lazy, "bests", lambda *x: passes.append(1) or bests(*x))
+    root = lazy.mutual_rounds(n + 1, a, a + 1, s, np.ones(n, np.int64), 0.0)
+    assert (root == 0).all() and len(passes) < 20
