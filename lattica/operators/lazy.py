@@ -153,7 +153,7 @@ def exact_mean(graph: Graph, threshold: float, window: int = 2_000_000) -> Itera
             first = own[at % step] if at < len(a) else None
             if heap and (first is None or heap[0][:3] < first):
                 s, u, v, changes = heapq.heappop(heap)
-                e = near.get(u, {}).get(v)
+                e = near[u].get(v) if u in near else near[v].get(u) if v in near else None
                 if e is None or e[2] != changes:
                     continue
             elif first is not None:
@@ -161,9 +161,8 @@ def exact_mean(graph: Graph, threshold: float, window: int = 2_000_000) -> Itera
                 at += 1
                 if parent[u] != u or parent[v] != v:
                     continue
-                known = near.get(u) or near.get(v)
-                if known is not None:
-                    e = known.get(v if u in near else u)
+                if u in near or v in near:
+                    e = near[u].get(v) if u in near else near[v].get(u)
                     if e is None or e[2]:
                         continue
             else:

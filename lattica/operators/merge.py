@@ -13,6 +13,7 @@ are nested.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -145,6 +146,7 @@ def _edge(row: dict) -> dict:
     return row
 
 
+ROWS = 1 << 16  # of a batch that a task gives
 _OUT = "kind string, component long, threshold double, step long, a long, b long, c long, score double, cnt long"
 _OUT_ARROW = pa.schema([("kind", pa.string()), ("component", pa.int64()), ("threshold", pa.float64()), ("step", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("score", pa.float64()), ("cnt", pa.int64())])
 
@@ -169,6 +171,8 @@ def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT,
     else:
         grouped = stats.withColumn("component", F.lit(0).cast("long"))
 
+    if type(score) is OneMinus and type(score.x) is MeanAffinity and not queue_bins and not events:
+        return cut(grouped.select("component", "u", "v", "sum", "cnt").groupBy("component").applyInArrow(_exact_mean(order), _OUT))
     own = {n: PROVIDERS[n] for n in score.needs if n in PROVIDERS}  # registered here, not in the workers
 
     def run(key, group):
@@ -194,6 +198,41 @@ def exact(stats: DataFrame, thresholds: Sequence[float], score: Score = DEFAULT,
     return cut(grouped.groupBy("component").applyInArrow(run, _OUT))
 
 
+def _exact_mean(order: list[float]):
+    """The rows of ``exact`` for a mean's component, from arrays and in batches."""
+
+    def rows(kind: str, comp: int, threshold: float, n: int, **own) -> Iterator[pa.RecordBatch]:
+        for i in range(0, n, ROWS):
+            at = slice(i, min(n, i + ROWS))
+            size = at.stop - i
+            known = {c: pa.array(f(at)) for c, f in own.items()}
+            known |= {"kind": pa.repeat(kind, size), "component": pa.repeat(pa.scalar(comp, pa.int64()), size), "threshold": pa.repeat(threshold, size)}
+            yield pa.record_batch([known[f.name] if f.name in known else pa.nulls(size, f.type) for f in _OUT_ARROW], schema=_OUT_ARROW)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp = key[0].as_py()
+        u, v, total, count = lazy.columns(batches, {"u": np.int64, "v": np.int64, "sum": np.float64, "cnt": np.int64})
+        ids, a, b = lazy.coded(u, v)
+        del u, v
+        graph = lazy.Graph(len(ids), a, b, total, _narrow(count))
+        del a, b, total, count
+        step = 0
+        for t in order:
+            merges = lazy.exact_mean(graph, t)
+            while part := list(itertools.islice(merges, ROWS)):
+                x, y, s = (np.array(c) for c in zip(*part))
+                first, step = step, step + len(part)
+                yield from rows("merge", comp, t, len(part), step=lambda at: np.arange(first + at.start, first + at.stop), a=lambda at: ids[x[at]], b=lambda at: ids[y[at]], c=lambda at: ids[x[at]], score=lambda at: s[at])  # noqa: B023
+            root = lazy.compressed(graph.parent)
+            yield from rows("parent", comp, t, len(ids), a=lambda at: ids[at], c=lambda at: ids[root[at]])  # noqa: B023
+            if graph.near:
+                graph.freeze()
+            a, b, s, n = graph.a, graph.b, graph.total, graph.count
+            yield from rows("edge", comp, t, len(a), a=lambda at: ids[a[at]], b=lambda at: ids[b[at]], score=lambda at: 1 - s[at] / n[at], cnt=lambda at: n[at].astype(np.int64))  # noqa: B023
+
+    return run
+
+
 def merge_history(merged: DataFrame) -> DataFrame:
     """Merges in an order that is valid for all components together."""
     return merged.where("kind = 'merge'").select("component", "threshold", "step", "a", "b", "c", "score")

@@ -329,3 +329,21 @@ def test_rounds_of_a_long_chain_cost_what_changes(monkeypatch):
     monkeypatch.setattr(lazy, "bests", lambda *x: passes.append(1) or bests(*x))
     root = lazy.mutual_rounds(n + 1, a, a + 1, s, np.ones(n, np.int64), 0.0)
     assert (root == 0).all() and len(passes) < 20
+
+
+@pytest.mark.parametrize("held,window", [(3_000_000, 2_000_000), (40, 30), (200, 1)])
+def test_exact_merging_by_arrays_equals_the_kernel_in_every_bit(monkeypatch, held, window):
+    monkeypatch.setattr(lazy, "HELD", held)
+    rng = np.random.default_rng(held)
+    u = np.repeat(np.arange(1, 301), 4)
+    edges = {(int(a), int(b)): (int(rng.integers(0, 7)) * 85 / 255.0, int(rng.integers(2, 4))) for a, b in zip(u, u + rng.integers(1, 12, len(u)))}
+    kernel = merge.Kernel([{"u": a, "v": b, "sum": s, "cnt": c} for (a, b), (s, c) in edges.items()], scores.DEFAULT)
+    a, b, s, c = (np.array(x) for x in zip(*((a, b, s, c) for (a, b), (s, c) in edges.items())))
+    ids, x, y = lazy.coded(b, a)  # either way round
+    g = lazy.Graph(len(ids), x, y, s, c)
+    for t in (0.3, 0.5):
+        want = [(a, b, s) for _, a, b, _, s in kernel.until(t)]
+        assert [(int(ids[a]), int(ids[b]), s) for a, b, s in lazy.exact_mean(g, t, window)] == want and want
+        assert g.held <= max(held, 0) + 200  # no more than a bound is held as dicts
+        g.freeze()
+        assert sorted(zip(ids[g.a].tolist(), ids[g.b].tolist(), g.total.tolist(), g.count.tolist())) == sorted((a, b, e["sum"], e["cnt"]) for a, b, e in kernel.live())
