@@ -166,7 +166,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first)
 
 
-def _counting(shift: int):
+def _counting(shift: int, pairs: bool = True):
     def run(batches):
         held = {0: ([], []), 1: ([], [])}
         size = 0
@@ -184,10 +184,12 @@ def _counting(shift: int):
             uni = np.bincount(words.ids, minlength=len(hashes))
             held[0][0].extend([hashes, np.array([END], dtype=U64)])
             held[0][1].extend([uni, np.array([batch.num_rows])])
-            keys, counts = np.unique(pair_keys(tokens, offsets)[0], return_counts=True)
-            held[1][0].append(keys)
-            held[1][1].append(counts)
-            size += len(keys) + len(hashes)
+            size += len(hashes)
+            if pairs:
+                keys, counts = np.unique(pair_keys(tokens, offsets)[0], return_counts=True)
+                held[1][0].append(keys)
+                held[1][1].append(counts)
+                size += len(keys)
             if size >= FLUSH:
                 yield from flush()
                 size = 0
@@ -232,13 +234,13 @@ def _words(batches):
             yield pa.record_batch({"hash": pa.array(np.frombuffer(keys, dtype=np.int64)), "c": pa.array(np.frombuffer(counts, dtype=np.int64))})
 
 
-def train(docs: DataFrame, params: Params | None = None, text: str = "text") -> Model:
-    """Count all words and pairs of ``docs`` and build the filter's segments."""
+def train(docs: DataFrame, params: Params | None = None, text: str = "text", pairs: bool = True) -> Model:
+    """Count all words and pairs of ``docs`` and build the filter's segments; without ``pairs`` a model of words only."""
     p = params or Params()
     prepare(docs.sparkSession)
     bits = int(np.clip(np.ceil(np.log2(max(1, plan_bytes(docs) / (4 << 20)))), 6, 20))
     shift = 64 - bits
-    blobs = docs.select(F.col(text).alias("text")).mapInArrow(_counting(shift), "kind int, seg long, keys binary, counts binary")
+    blobs = docs.select(F.col(text).alias("text")).mapInArrow(_counting(shift, pairs), "kind int, seg long, keys binary, counts binary")
     segments = cut(blobs.groupBy("kind", "seg").applyInArrow(_segments(p), _SEGMENT))
     total = segments.where("kind = 0").agg(F.sum("tokens"), F.sum("items")).first()
     words = segments.where("kind = 0").select("keys", "counts").mapInArrow(_words, "hash long, c long")
@@ -406,12 +408,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     whole, parts = cut(whole), [cut(x) for x in parts]
     for x in held:  # all that they were for is written
         x.destroy()
-    rare = whole.select("rid", F.explode("rare").alias("r")).select("rid", "r.hash", "r.tf")
-    seldom = model.words.where(F.floor(F.log2("c") * 8) < least)
-    c = F.coalesce("c", F.lit(0))
-    log = F.log10((c + 1).cast("double") / F.lit(float(n + v + 1)))
-    rest = rare.join(seldom, "hash", "left").groupBy("rid").agg(F.sum(F.col("tf") * log).alias("more_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.collect_list(F.struct("hash", c.alias("c"))).alias("found"))
-    out = whole.drop("rare").join(rest, "rid", "left")
+    out = _with_rare(whole, model, least, F.collect_list(F.struct("hash", F.coalesce("c", F.lit(0)).alias("c"))).alias("found"))
     score_col, opened = F.col("score"), F.array("open")
     if parts:
         more = parts[0]
@@ -429,6 +426,49 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return out.mapInArrow(_resolving(n, v, p), _RESULT)
 
 
+_BASE = "doc_id long, rid long, n_tokens long, n_known long, base double, rare array<struct<hash:long,tf:long>>"
+
+
+def _basing(frequent, n: int, v: int):
+    """Of each text what needs word counts only: tokens, known ones, base score, and its rare words."""
+
+    def run(batches):
+        top, counts = frequent.value
+        for batch in pieces(batches):
+            words = Words(text_column(batch))
+            hashes = np.concatenate([words.hashes(), [END]])
+            c = _lookup(hashes, top, counts)
+            ids, offsets = with_end(words, np.arange(len(hashes)), len(hashes) - 1)
+            base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / (n + v + 1)), 0.0)[ids]
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            rare, tf = np.unique((of * len(hashes) + ids)[c[ids] < 0], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rare // len(hashes), minlength=batch.num_rows))])
+            found = lists(ends, pa.StructArray.from_arrays([pa.array(signed(hashes[rare % len(hashes)])), pa.array(tf.astype(np.int64))], ["hash", "tf"]))
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("rid"), pa.array(np.diff(offsets)), pa.array(sum_by((c > 0)[ids].astype(np.int64), offsets)), pa.array(sum_by(base, offsets)), found], names=["doc_id", "rid", "n_tokens", "n_known", "base", "rare"])
+
+    return run
+
+
+def _with_rare(whole: DataFrame, model: Model, least: int, *more) -> DataFrame:
+    """``whole`` with more_base, more_known and ``more`` of the rare words of each row."""
+    rare = whole.select("rid", F.explode("rare").alias("r")).select("rid", "r.hash", "r.tf")
+    seldom = model.words.where(F.floor(F.log2("c") * 8) < least)
+    c = F.coalesce("c", F.lit(0))
+    log = F.log10((c + 1).cast("double") / F.lit(float(model.tokens + model.vocabulary + 1)))
+    rest = rare.join(seldom, "hash", "left").groupBy("rid").agg(F.sum(F.col("tf") * log).alias("more_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), *more)
+    return whole.drop("rare").join(rest, "rid", "left")
+
+
+def base_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known and base_score like ``score``, in one pass: no pairs, so no filter and no shards."""
+    top, counts, least = _frequent(model)
+    table = docs.sparkSession.sparkContext.broadcast((top, counts))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    whole = cut(rows.mapInArrow(_basing(table, model.tokens, model.vocabulary), _BASE))
+    table.destroy()
+    return _with_rare(whole, model, least).select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"))
+
+
 def _keeping(run):
     def both(batches):
         for batch in pieces(batches):
@@ -444,3 +484,10 @@ def score_split(docs: DataFrame, params: Params | None = None, modulus: int = 7,
     model = train(docs.where(fold != held), params)
     scored = score(docs, model)
     return scored.select("doc_id", (fold == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def base_split(docs: DataFrame, params: Params | None = None, modulus: int = 7, held: int = 2) -> DataFrame:
+    """The columns of ``score_split`` that need no pairs: all but score."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+    model = train(docs.where(fold != held), params, pairs=False)
+    return base_scores(docs, model).select("doc_id", (fold == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score")

@@ -90,7 +90,8 @@ FROM t LEFT JOIN c USING (t), total GROUP BY r, doc_id, held_out"""
 
 
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    prepare(spark)
+    return lm_scoring.base_split(table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 4))
 
 
 PIECE_ROUND_TRIP = "SELECT doc_id, sha256(replace(coalesce(text, ''), '\u2581', ' ')) AS decoded_sha256 FROM documents"

@@ -669,3 +669,18 @@ def test_repeated_rows_and_very_long_texts(spark):
     derived = warc.derivatives(warc.responses(pages)).collect()
     assert len(derived) == 6 and len({r.record_id for r in derived}) == 4 and all(r.error is None for r in derived)
     assert {r.content_length for r in derived if r.record_type == "conversion" and r.page_id == 1} == {len(long)}
+
+
+@pytest.mark.parametrize("top_words", [1 << 20, 2])
+def test_base_scores_need_no_pairs_and_equal_those_beside_them(spark, monkeypatch, top_words):
+    docs = docs_of(spark, [(1, "a b a c"), (2, None), (3, ""), (4, "B b zz a a"), (5, "c c c yy"), (9, "a"), (9, "a")])
+    params = lm_scoring.Params(top_words=top_words)
+    own = lambda f: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in f.collect())
+    want = own(lm_scoring.score_split(docs, params))
+
+    def none(*args):
+        raise AssertionError("a filter of pairs was built")
+
+    monkeypatch.setattr(lm_scoring, "_filter", none)
+    assert own(lm_scoring.base_split(docs, params)) == want
+    assert lm_scoring.base_split(docs.limit(0)).count() == 0
