@@ -192,6 +192,21 @@ def summed(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, n
     return (key // n).astype(np.int32), (key % n).astype(np.int32), total, count
 
 
+def contracted(step: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray):
+    """Edges between the nodes that ``step`` (a root for each node) leaves.
+
+    Edges that fall together each touch a node that has merged, so only such edges are sorted.
+    """
+    moved = np.flatnonzero(step != np.arange(len(step), dtype=step.dtype))
+    touched = np.zeros(len(step), bool)
+    touched[moved] = True
+    touched[step[moved]] = True
+    hit = touched[a] | touched[b]
+    at, rest = np.flatnonzero(hit), np.flatnonzero(~hit)
+    new = summed(step[a[at]], step[b[at]], total[at], count[at], len(step))
+    return tuple(np.concatenate([x[rest], y]) for x, y in zip((a, b, total, count), new))
+
+
 def bests(n: int, a: np.ndarray, b: np.ndarray, mean: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Each node's other end of its best live edge (largest mean, then least ends); -1 where it has none."""
     order = live[np.lexsort((-b[live], -a[live], mean[live]))]  # from worst to best: the last one written stays

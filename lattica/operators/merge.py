@@ -452,13 +452,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndarray, thresholds: Sequence[float], eps: float) -> dict[float, dict[int, int]]:
-    """The same rules inside one task, on arrays; thresholds in the units of total / count."""
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    total, count = total.astype(np.int64), count.astype(np.int64)
-    n = len(ids)
-    parent, size = np.arange(n), np.ones(n, np.int64)
-    out, layer = {}, 0
+    """The same rules inside one task; thresholds in the units of total / count."""
+    ids, a, b = lazy.coded(u, v)
+    return {t: dict(zip(ids.tolist(), ids[root].tolist())) for t, root in _layers(ids, a, b, _narrow(total), _narrow(count), thresholds, eps)}
+
+
+def _layers(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, thresholds: Sequence[float], eps: float) -> Iterator[tuple[float, np.ndarray]]:
+    """Each threshold, falling, and the nodes' roots there.  All edges are read and contracted once a layer."""
+    n, layer = len(ids), 0
+    root, size = np.arange(n, dtype=np.int32), np.ones(n, np.int64)
     for t in sorted(thresholds, reverse=True):
         while len(a):
             mean = total / count
@@ -468,55 +470,82 @@ def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndar
             if layer >= MOST_LAYERS:
                 raise RuntimeError(f"edges above the threshold are left after {MOST_LAYERS} layers")
             level = max(most / (1 + eps), t)
-            for outer in range(64):
-                colour = _mix(ids.astype(np.uint64) * np.uint64(2654435761) + np.uint64(layer * 1000 + outer)) & np.uint64(1)
-                frozen, start, live = np.zeros(n, bool), size.copy(), True
-                for inner in range(64):
-                    mean = total / count
-                    ok = (mean >= level) if level > t else (mean > t)
-                    if not ok.any():
-                        live = False
-                        break
-                    x, y = a[ok], b[ok]
-                    red, blue = np.where(colour[x] == 1, x, y), np.where(colour[x] == 1, y, x)
-                    ok = (colour[x] != colour[y]) & ~frozen[red] & (size[red] >= size[blue])
-                    red, blue = red[ok], blue[ok]
-                    if not len(red):
-                        break
-                    pri = _mix(ids[red].astype(np.uint64) * np.uint64(1_000_003) ^ _mix(ids[blue].astype(np.uint64) + np.uint64(inner * 100 + outer))) >> np.uint64(33)
-                    order = np.lexsort((red, pri, blue))
-                    last = np.append(blue[order][1:] != blue[order][:-1], True)
-                    red, blue, pri = red[order][last], blue[order][last], pri[order][last]
-                    order = np.lexsort((blue, -pri.astype(np.int64), red))
-                    red, blue = red[order], blue[order]
-                    first = np.append(True, red[1:] != red[:-1])
-                    run = np.cumsum(size[blue]) - size[blue]
-                    run -= np.repeat(run[first], np.diff(np.append(np.flatnonzero(first), len(red))))
-                    take = run <= np.maximum(np.floor(size[red] * eps + 0.5), 1 if eps > 0 else 0)
-                    red, blue = red[take], blue[take]
-                    parent[blue] = red
-                    np.add.at(size, red, size[blue])
-                    frozen |= size > (1 + eps) * start
-                    step = np.arange(n)
-                    step[blue] = red
-                    a, b = step[a], step[b]
-                    keep = a != b
-                    lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-                    key, where = np.unique(lo * n + hi, return_inverse=True)
-                    total = np.bincount(where, total[keep], len(key)).astype(np.int64)
-                    count = np.bincount(where, count[keep], len(key)).astype(np.int64)
-                    a, b = key // n, key % n
-                    if not len(a):
-                        live = False
-                        break
-                if not live:
-                    break
+            live = (mean >= level) if level > t else (mean > t)
+            del mean
+            up = _layer(ids, a, b, total, count, live, size, level, t, layer, eps)
+            if up is not None:
+                a, b, total, count = lazy.contracted(up, a, b, total, count)
+                root = up[root]
             layer += 1
-        root = parent.copy()
-        while (root[root] != root).any():
-            root = root[root]
-        out[t] = dict(zip(ids.tolist(), ids[root].tolist()))
-    return out
+        yield t, root
+
+
+def _layer(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, live: np.ndarray, size: np.ndarray, level: float, t: float, layer: int, eps: float) -> np.ndarray | None:
+    """Roots after a layer's rounds, None where nothing merges; ``size`` is kept up to date.
+
+    A mean of parallel edges that are all below the level is below it as well, so a node
+    without a live edge takes no part in the rest of the layer, and no edge of such a node
+    gets live.  A round therefore costs what is still live: each time that has halved, other
+    nodes and their edges are left out (all edges are contracted after the layer).
+    """
+    n = len(ids)
+    parent = None
+    nodes = np.arange(n, dtype=np.int32)  # places of the nodes that are left in
+    start, frozen, own = size, np.zeros(n, bool), size
+    bound = n_live = np.count_nonzero(live)
+    first_time = True
+    for outer in range(64):
+        if not first_time:
+            start, frozen = own.copy(), np.zeros(len(nodes), bool)
+        for inner in range(64):
+            if not n_live:
+                return None if parent is None else lazy.compressed(parent)
+            if first_time or 2 * n_live <= bound:
+                used = np.zeros(len(nodes), bool)
+                used[a[live]] = True
+                used[b[live]] = True
+                keep = np.flatnonzero(used[a] & used[b])
+                place = np.cumsum(used, dtype=np.int32) - 1
+                a, b, total, count, live = place[a[keep]], place[b[keep]], total[keep], count[keep], live[keep]
+                nodes, own, start, frozen = nodes[used], own[used], start[used], frozen[used]
+                name, bound = ids[nodes].astype(np.uint64), n_live
+                first_time = False
+                colour = None
+            if inner == 0 or colour is None:
+                colour = _mix(name * np.uint64(2654435761) + np.uint64(layer * 1000 + outer)) & np.uint64(1)
+            x, y = a[live], b[live]
+            apart = colour[x] != colour[y]
+            x, y = x[apart], y[apart]
+            is_red = colour[x] == 1
+            red, blue = np.where(is_red, x, y), np.where(is_red, y, x)
+            ok = ~frozen[red] & (own[red] >= own[blue])
+            red, blue = red[ok], blue[ok]
+            if not len(red):
+                break
+            pri = _mix(name[red] * np.uint64(1_000_003) ^ _mix(name[blue] + np.uint64(inner * 100 + outer))) >> np.uint64(33)
+            order = np.lexsort((red, pri, blue))
+            last = np.append(blue[order][1:] != blue[order][:-1], True)
+            red, blue, pri = red[order][last], blue[order][last], pri[order][last]
+            order = np.lexsort((blue, -pri.astype(np.int64), red))
+            red, blue = red[order], blue[order]
+            first = np.append(True, red[1:] != red[:-1])
+            run = np.cumsum(own[blue]) - own[blue]
+            run -= np.repeat(run[first], np.diff(np.append(np.flatnonzero(first), len(red))))
+            take = run <= np.maximum(np.floor(own[red] * eps + 0.5), 1 if eps > 0 else 0)
+            red, blue = red[take], blue[take]
+            if parent is None:
+                parent = np.arange(n, dtype=np.int32)
+            parent[nodes[blue]] = nodes[red]
+            np.add.at(own, red, own[blue])
+            size[nodes[red]] = own[red]
+            frozen |= own > (1 + eps) * start
+            step = np.arange(len(nodes), dtype=np.int32)
+            step[blue] = red
+            a, b, total, count = lazy.contracted(step, a, b, total, count)
+            mean = total / count
+            live = (mean >= level) if level > t else (mean > t)
+            n_live = np.count_nonzero(live)
+    return None if parent is None else lazy.compressed(parent)
 
 
 def approximate(edges: DataFrame, thresholds_bytes: Sequence[float], eps: float) -> DataFrame:
@@ -531,11 +560,15 @@ def approximate(edges: DataFrame, thresholds_bytes: Sequence[float], eps: float)
     left, right = roots.withColumnsRenamed({"node": "u", "root": "cu"}), roots.withColumnsRenamed({"node": "v", "root": "cv"})
     own = edges.join(left, "u").join(right, "v").where("cu = cv")
 
-    def run(key, group):
-        col = lambda c: group.column(c).to_numpy()
-        found = rounds_local(col("u"), col("v"), col("sum_bytes"), col("cnt"), thresholds_bytes, eps)
-        rows = [(t, f, r) for t, m in found.items() for f, r in m.items()]
-        return pa.table({"threshold": pa.array([r[0] for r in rows], pa.float64()), "frag": pa.array([r[1] for r in rows], pa.int64()), "root": pa.array([r[2] for r in rows], pa.int64())})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v, total, count = lazy.columns(batches, {"u": np.int64, "v": np.int64, "sum_bytes": np.int64, "cnt": np.int64})
+        ids, a, b = lazy.coded(u, v)
+        del u, v
+        total, count = _narrow(total), _narrow(count)
+        for t, root in _layers(ids, a, b, total, count, thresholds_bytes, eps):
+            for i in range(0, len(ids), ROWS):
+                at = slice(i, i + ROWS)
+                yield pa.record_batch({"threshold": pa.repeat(float(t), len(ids[at])), "frag": pa.array(ids[at]), "root": pa.array(ids[root[at]])})
 
     return own.groupBy("cu").applyInArrow(run, "threshold double, frag long, root long")
 

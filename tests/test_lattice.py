@@ -347,3 +347,67 @@ def test_exact_merging_by_arrays_equals_the_kernel_in_every_bit(monkeypatch, hel
         assert g.held <= max(held, 0) + 200  # no more than a bound is held as dicts
         g.freeze()
         assert sorted(zip(ids[g.a].tolist(), ids[g.b].tolist(), g.total.tolist(), g.count.tolist())) == sorted((a, b, e["sum"], e["cnt"]) for a, b, e in kernel.live())
+
+
+def plain_rounds(u, v, total, count, thresholds, eps):
+    """The rules of ``rounds_local`` over all nodes and edges in every round."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, n = at[: len(u)], at[len(u) :], len(ids)
+    parent, size, out, layer = np.arange(n), np.ones(n, np.int64), {}, 0
+    for t in sorted(thresholds, reverse=True):
+        while len(a) and (total / count).max() > t:
+            level = max((total / count).max() / (1 + eps), t)
+            for outer in range(64):
+                colour = merge._mix(ids.astype(np.uint64) * np.uint64(2654435761) + np.uint64(layer * 1000 + outer)) & np.uint64(1)
+                start, left = size.copy(), False
+                for inner in range(64):
+                    mean = total / count
+                    live = (mean >= level) if level > t else (mean > t)
+                    left = bool(live.any())
+                    best = {}
+                    for x, y in zip(a[live].tolist(), b[live].tolist()):
+                        red, blue = (x, y) if colour[x] == 1 else (y, x)
+                        if colour[x] != colour[y] and size[red] <= (1 + eps) * start[red] and size[red] >= size[blue]:
+                            pri = int(merge._mix(ids[[red]].astype(np.uint64) * np.uint64(1_000_003) ^ merge._mix(ids[[blue]].astype(np.uint64) + np.uint64(inner * 100 + outer)))[0] >> np.uint64(33))
+                            best[blue] = max(best.get(blue, (-1, -1)), (pri, red))
+                    if not best:
+                        break
+                    cap = np.maximum(np.floor(size * eps + 0.5), 1)
+                    grown, step, so_far = size.copy(), np.arange(n), {}
+                    for blue, (pri, red) in sorted(best.items(), key=lambda x: (x[1][1], -x[1][0], x[0])):
+                        if so_far.get(red, 0) <= cap[red]:
+                            step[blue], parent[blue] = red, red
+                            grown[red] += size[blue]
+                        so_far[red] = so_far.get(red, 0) + size[blue]
+                    size = grown
+                    a, b, total, count = lazy.summed(step[a], step[b], total, count, n)
+                if not left:
+                    break
+            layer += 1
+        out[t] = dict(zip(ids.tolist(), ids[lazy.compressed(parent.copy())].tolist()))
+    return out
+
+
+@pytest.mark.parametrize("levels,eps", [(4, 0.08), (4, 0.5), (200, 0.08)])
+def test_rounds_over_what_is_live_equal_those_over_all_edges(levels, eps):
+    rng = np.random.default_rng(levels)
+    pairs = np.unique(np.sort(rng.integers(0, 300, (900, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]] * 3 + 1
+    count = rng.integers(1, 4, len(pairs))
+    total = rng.integers(0, levels, len(pairs)) * (255 // (levels - 1)) * count
+    own = pairs[:, 0], pairs[:, 1], total, count
+    assert merge.rounds_local(*own, [170.0, 127.5, 80.0], eps) == plain_rounds(*own, [170.0, 127.5, 80.0], eps)
+
+
+def test_a_round_costs_what_is_live(monkeypatch):
+    """A long tail of rounds over few edges beside many that are below the level."""
+    rng = np.random.default_rng(1)
+    few = np.unique(np.sort(rng.integers(0, 3000, (9000, 2)), axis=1), axis=0)
+    few = few[few[:, 0] < few[:, 1]]
+    low = rng.integers(3000, 60_000, 150_000)
+    u, v = np.append(few[:, 0], low), np.append(few[:, 1], low + rng.integers(1, 9, len(low)))
+    total = np.append(rng.integers(0, 4, len(few)) * 85, np.full(len(low), 50))
+    sorted_, summed = [], lazy.summed
+    monkeypatch.setattr(lazy, "summed", lambda a, *x: sorted_.append(len(a)) or summed(a, *x))
+    merge.rounds_local(u, v, total, np.ones(len(u), np.int64), [100.0], 0.08)
+    assert len(sorted_) > 20 and len(few) < sum(sorted_) < len(u)
