@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.components import components, local_components
-from lattica.operators.fragments import dense_ids, emptied, plateau_emptied
+from lattica.operators.fragments import bucket, dense_ids, emptied, plateau_emptied
 from lattica.schemas import Shape
 from lattica.session import cut, prepare
 
@@ -148,8 +148,8 @@ def work(block: Block) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def divided(cells: DataFrame, shape: Shape) -> DataFrame:
-    """Flow (vox, a) of whole plateaus, given as (root, vox, bits, flag: an outlet); one task each."""
+def divided(cells: DataFrame, shape: Shape, n: int) -> DataFrame:
+    """Flow (vox, a) of whole plateaus, given as ``n`` rows (root, vox, bits, flag: an outlet); small ones share a task."""
     steps = np.array([*(-s for s in shape.strides), *shape.strides])
 
     def run(key, group):
@@ -157,7 +157,7 @@ def divided(cells: DataFrame, shape: Shape) -> DataFrame:
         cell, d = np.nonzero((kept[:, None] >> np.arange(6)) & 1 == 1)
         return pa.table({"vox": pa.array(vox[cell]), "a": pa.array(target[cell, d])})
 
-    return cells.groupBy("root").applyInArrow(run, "vox long, a long")
+    return cells.groupBy(bucket(n)).applyInArrow(run, "vox long, a long")
 
 
 def watershed(lattice: DataFrame, shape: Shape, low: float, high: float, tie_flip: bool = False, coarse: float | None = None, slab: int | None = None, tile: tuple[int, int, int] = TILE) -> DataFrame:
@@ -177,9 +177,10 @@ def watershed(lattice: DataFrame, shape: Shape, low: float, high: float, tie_fli
     of = lambda kind: rows.where(F.col("kind") == kind)
     flow = of(LINK).select("vox", "a")
     open_ = of(OPEN)
-    if not open_.isEmpty():
+    n_open = open_.count()
+    if n_open:
         roots = components(of(PLATEAU).select("vox", "a"), "vox", "a").select(F.col("node").alias("a"), "root")
-        flow = flow.unionByName(cut(divided(open_.join(roots, "a", "left").select(F.coalesce("root", "a").alias("root"), "vox", "bits", "flag"), shape)))
+        flow = flow.unionByName(cut(divided(open_.join(roots, "a", "left").select(F.coalesce("root", "a").alias("root"), "vox", "bits", "flag"), shape, n_open)))
     roots = cut(components(flow, "vox", "a"))
     local = of(CELL).where("flag").select(F.col("a").alias("node")).distinct()
     named = cut(local.unionByName(roots.select("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))

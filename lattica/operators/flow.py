@@ -80,7 +80,12 @@ def reciprocal_edges(bits: DataFrame, shape: Shape) -> DataFrame:
 
 def corners(bits: DataFrame, shape: Shape) -> DataFrame:
     """vox of cells that point at a cell which doesn't point back."""
-    one = flow_edges(bits, shape).where("forward <> back")
+    return corners_of(flow_edges(bits, shape))
+
+
+def corners_of(pairs: DataFrame) -> DataFrame:
+    """The same from pairs that flow."""
+    one = pairs.where("forward <> back")
     return one.select(F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("vox")).distinct()
 
 

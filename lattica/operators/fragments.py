@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.operators.components import components, label
-from lattica.operators.flow import clear_slab_faces, corners, flow, flow_edges, reciprocal_edges
+from lattica.operators.components import PIECE, components
+from lattica.operators.flow import clear_slab_faces, corners_of, flow, flow_edges, reciprocal_edges
 from lattica.schemas import Shape
 from lattica.session import cut
 
@@ -60,27 +60,34 @@ def plateau_emptied(vox: np.ndarray, bits: np.ndarray, outlet: np.ndarray, steps
 def divide(bits: DataFrame, shape: Shape) -> DataFrame:
     """Bits after every plateau with an outlet is emptied through its outlets.
 
-    Cells outside a plateau never flow back into it, so plateaus are independent and go
-    to tasks one by one.  A lone outlet needs no order: its last direction stays.  A
-    plateau is one group, as the order runs through all of it.
+    Cells outside a plateau never flow back into it, so plateaus are independent and go to
+    tasks whole, many small ones to a task (``bucket``).  A lone outlet needs no order: its
+    last direction stays.  A plateau is never split, as the order runs through all of it.
     """
     bits = cut(bits)
-    roots = plateaus(bits, shape)
-    steps = np.array([*(-s for s in shape.strides), *shape.strides])
-    out = corners(bits, shape).withColumn("outlet", F.lit(True))
+    pairs = cut(flow_edges(bits, shape))
+    roots = components(pairs.where("forward and back")).select(F.col("node").alias("vox"), "root")
+    out = corners_of(pairs).withColumn("outlet", F.lit(True))
     cells = cut(bits.join(out, "vox", "left").join(roots, "vox", "left").select("vox", "bits", F.coalesce("outlet", F.lit(False)).alias("outlet"), "root"))
+    steps = np.array([*(-s for s in shape.strides), *shape.strides])
 
     def run(key, group):
         cells, kept, _ = plateau_emptied(*(group.column(c).to_numpy(zero_copy_only=False) for c in ("vox", "bits", "outlet")), steps)
         return pa.table({"vox": pa.array(cells), "bits": pa.array(kept.astype(np.int32))})
 
-    drained = cells.where("root is not null").join(cells.where("root is not null and outlet").select("root").distinct(), "root", "left_semi").groupBy("root").applyInArrow(run, "vox long, bits int")
-    closed = cells.where("root is not null").join(cells.where("root is not null and outlet").select("root").distinct(), "root", "left_anti").select("vox", "bits")
+    drains = cells.where("root is not null and outlet").select("root").distinct()
+    drained = cells.where("root is not null").join(drains, "root", "left_semi").groupBy(bucket(cells.count())).applyInArrow(run, "vox long, bits int")
+    closed = cells.where("root is not null").join(drains, "root", "left_anti").select("vox", "bits")
     highest = F.when(F.col("outlet") & (F.col("bits") > 0), F.pow(F.lit(2), F.floor(F.log2(F.greatest("bits", F.lit(1)))))).otherwise(F.col("bits"))
     lone = cells.where("root is null").select("vox", highest.cast("int").alias("bits"))
     return drained.unionByName(closed).unionByName(lone)
 
 
+def bucket(cells: int) -> Column:
+    """The group that a plateau goes to, by its root: small ones share a group, as each group costs a call."""
+    return F.pmod(F.xxhash64("root"), F.lit(max(1, -(-cells // PIECE)))).alias("bucket")
+
+
 def dense_ids(rooted: DataFrame) -> DataFrame:
     """frag from 1 by ascending root, without a window over all rows.
 
@@ -99,17 +106,10 @@ def basins(bits: DataFrame, shape: Shape) -> DataFrame:
 
     A cell without bits takes part where another one flows into it.
     """
-    edges = flow_edges(bits, shape).select("a", "b")
-    rooted = cut(label(bits.select(F.col("vox").alias("node")), edges))
-    flowing = rooted.join(components_of(edges), rooted["node"] == F.col("_v"), "left")
-    rooted = flowing.select(F.col("node").alias("vox"), F.when(F.col("_v").isNotNull(), F.col("root")).alias("root"))
-    ids = dense_ids(rooted)
-    return rooted.join(ids, "root", "left").select("vox", F.coalesce("frag", F.lit(0)).cast("long").alias("frag"))
-
-
-def components_of(edges: DataFrame) -> DataFrame:
-    """_v: cells that have an edge."""
-    return edges.select(F.col("a").alias("_v")).unionAll(edges.select(F.col("b").alias("_v"))).distinct()
+    bits = cut(bits)
+    found = components(flow_edges(bits, shape)).withColumnRenamed("node", "vox")
+    rooted = cut(bits.select("vox").join(found, "vox", "left"))
+    return rooted.join(dense_ids(rooted), "root", "left").select("vox", F.coalesce("frag", F.lit(0)).cast("long").alias("frag"))
 
 
 def watershed(lattice: DataFrame, shape: Shape, low: float, high: float, tie_flip: bool = False, coarse: float | None = None, slab: int | None = None, tile: tuple[int, int, int] | None = None) -> DataFrame:

@@ -109,3 +109,26 @@ def test_components_of_many_pieces_equal_those_of_one(spark, monkeypatch, kind):
     monkeypatch.setattr(components, "_stars", lambda *x: steps.append(1) or stars(*x))
     assert own() == want
     assert kind != "near" or not steps  # near numbers never need steps over the whole graph
+
+
+def test_small_plateaus_share_a_group(spark, monkeypatch):
+    """Each group costs a call of the worker: plateaus are dealt by buckets, and divided as they are one by one."""
+    roots = spark.range(5000).select(F.col("id").alias("root"))
+    assert roots.select(fragments.bucket(5000)).distinct().count() == 1
+    aff = random_aff((9, 8, 10), 3, 4)
+    own, size = L.lattice_from_numpy(spark, aff)
+    monkeypatch.setattr(fragments, "PIECE", 50)
+    assert 1 < roots.select(fragments.bucket(500)).distinct().count() <= 10
+    want = spec.watershed(aff.astype(int), LOW, HIGH)
+    assert (volume(blocks.watershed(own, size, LOW, HIGH, tile=(2, 3, 2)), size) == want).all()
+    assert (volume(fragments.watershed_relational(own, size, LOW, HIGH), size) == want).all()
+
+
+def test_basins_read_the_division_once(spark, monkeypatch):
+    aff = random_aff((4, 5, 6), 4, 2)
+    own, size = L.lattice_from_numpy(spark, aff)
+    plans, found = [], fragments.components
+    monkeypatch.setattr(fragments, "components", lambda edges: plans.append(edges._jdf.queryExecution().toString()) or found(edges))
+    got = volume(fragments.watershed_relational(own, size, LOW, HIGH), size)
+    assert len(plans) == 2 and not any("FlatMapGroupsInArrow" in p for p in plans)
+    assert (got == spec.watershed(aff.astype(int), LOW, HIGH)).all()
