@@ -411,3 +411,10 @@ def test_a_round_costs_what_is_live(monkeypatch):
     monkeypatch.setattr(lazy, "summed", lambda a, *x: sorted_.append(len(a)) or summed(a, *x))
     merge.rounds_local(u, v, total, np.ones(len(u), np.int64), [100.0], 0.08)
     assert len(sorted_) > 20 and len(few) < sum(sorted_) < len(u)
+
+
+def test_components_are_dealt_over_the_tasks(spark):
+    pairs = spark.range(2000).select((F.col("id") * 2).alias("u"), (F.col("id") * 2 + 1).alias("v"), F.lit(200).cast("long").alias("sum_bytes"), F.lit(1).cast("long").alias("cnt"))
+    found = merge.approximate(pairs, [127.5], 0.08)
+    assert found.withColumn("task", F.spark_partition_id()).groupBy("task").count().where("count > 0").count() >= 8
+    assert found.select("root").distinct().count() == 2000 and found.count() == 4000
