@@ -18,18 +18,38 @@ HELD = 3_000_000  # entries of dicts before they are turned back into arrays
 
 
 def columns(batches: Iterable[pa.RecordBatch], kinds: dict) -> list[np.ndarray]:
-    """Columns of a group as arrays of their own, while its batches are let go."""
-    held: dict[str, list] = {c: [] for c in kinds}
+    """Columns of a group as arrays of their own, while its batches are let go.
+
+    Arrays grow in place: a list of small pieces would be held beside what is put together of it.
+    """
+    n, held = 0, {c: np.empty(1 << 12, kind) for c, kind in kinds.items()}
     for batch in batches:
-        for c, kind in kinds.items():
-            held[c].append(batch.column(c).to_numpy(zero_copy_only=False).astype(kind))
-    return [np.concatenate(held.pop(c)) if held[c] else np.zeros(0, kind) for c, kind in kinds.items()]
+        end = n + batch.num_rows
+        for c, own in held.items():
+            if end > len(own):
+                own.resize(max(end, 2 * len(own)), refcheck=False)
+            own[n:end] = batch.column(c).to_numpy(zero_copy_only=False)
+        n = end
+    for own in held.values():
+        own.resize(n, refcheck=False)
+    return list(held.values())
 
 
 def coded(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids in order, and the places of the lesser and the greater end of each edge."""
-    ids = np.union1d(np.unique(u), np.unique(v))
-    u, v = (np.searchsorted(ids, x).astype(np.int32) for x in (u, v))
+    """All ids in order, and the places of the lesser and the greater end of each edge.
+
+    Ids that lie close, as dense ones do, are found by a table of their range instead of sorting.
+    """
+    low, high = (min(u.min(), v.min()), max(u.max(), v.max())) if len(u) else (0, 0)
+    if int(high) - int(low) < 2 * len(u):
+        used = np.zeros(int(high) - int(low) + 1, bool)
+        for x in (u, v):
+            used[x - low] = True
+        ids, place = np.flatnonzero(used) + low, np.cumsum(used, dtype=np.int32) - 1
+        u, v = (place[x - low] for x in (u, v))
+    else:
+        ids = np.union1d(np.unique(u), np.unique(v))
+        u, v = (np.searchsorted(ids, x).astype(np.int32) for x in (u, v))
     return ids, np.minimum(u, v), np.maximum(u, v)
 
 
@@ -176,19 +196,25 @@ def exact_mean(graph: Graph, threshold: float, window: int = 2_000_000) -> Itera
                 break
 
 
-def summed(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, n: int):
-    """Edges with parallel ones merged and inner ones left out."""
-    keep = a != b
-    a, b, total, count = a[keep], b[keep], total[keep], count[keep]
-    key = np.minimum(a, b).astype(np.int64)
+def summed(a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, n: int, at: np.ndarray | None = None):
+    """Edges with parallel ones merged and inner ones left out; ``at``: where a and b have their total and count.
+
+    Sums are of whole numbers, so equal edges may come in any order.
+    """
+    keep = np.flatnonzero(a != b)
+    key = np.minimum(a, b)[keep].astype(np.int64)
     key *= n
-    key += np.maximum(a, b)
+    key += np.maximum(a, b)[keep]
     del a, b
-    order = np.argsort(key, kind="stable")
+    at = keep if at is None else at[keep]
+    del keep
+    order = np.argsort(key)
     key = key[order]
+    at = at[order]
+    del order
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     key = key[first]
-    total, count = (np.add.reduceat(x[order], first, dtype=x.dtype) if len(first) else x[:0] for x in (total, count))
+    total, count = (np.add.reduceat(x[at], first, dtype=x.dtype) if len(first) else x[:0] for x in (total, count))
     return (key // n).astype(np.int32), (key % n).astype(np.int32), total, count
 
 
@@ -202,8 +228,10 @@ def contracted(step: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray
     touched[moved] = True
     touched[step[moved]] = True
     hit = touched[a] | touched[b]
-    at, rest = np.flatnonzero(hit), np.flatnonzero(~hit)
-    new = summed(step[a[at]], step[b[at]], total[at], count[at], len(step))
+    at = np.flatnonzero(hit)
+    new = summed(step[a[at]], step[b[at]], total, count, len(step), at)
+    del at
+    rest = np.flatnonzero(~hit)
     return tuple(np.concatenate([x[rest], y]) for x, y in zip((a, b, total, count), new))
 
 

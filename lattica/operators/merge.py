@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from lattica.functions.scores import DEFAULT, PROVIDERS, MeanAffinity, OneMinus, Score, _Unary
 from lattica.operators import lazy
-from lattica.operators.components import components, compress
+from lattica.operators.components import components, compress, local_components
 from lattica.operators.graph import contract, contract_rows
 from lattica.session import cut, shuffle_partitions
 
@@ -462,6 +462,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(28))
 
 
+def _best(blue: np.ndarray, pri: np.ndarray, red: np.ndarray, n: int) -> np.ndarray:
+    """Places of each blue's largest (priority, red), without sorting."""
+    at = np.arange(len(blue))
+    for x in (pri, red):
+        most = np.full(n, -1, x.dtype)
+        np.maximum.at(most, blue[at], x[at])
+        at = at[x[at] == most[blue[at]]]
+    return at
+
+
+def _by_red(red: np.ndarray, blue: np.ndarray, pri: np.ndarray) -> np.ndarray:
+    """The order by red, falling priority (of 31 bits) and blue."""
+    key = (red.astype(np.int64) << 31) + ((1 << 31) - 1 - pri)
+    order = np.argsort(key)
+    if (np.diff(key[order]) == 0).any():  # equal priorities are rare
+        order = np.lexsort((blue, key))
+    return order
+
+
 def rounds_local(u: np.ndarray, v: np.ndarray, total: np.ndarray, count: np.ndarray, thresholds: Sequence[float], eps: float) -> dict[float, dict[int, int]]:
     """The same rules inside one task; thresholds in the units of total / count."""
     ids, a, b = lazy.coded(u, v)
@@ -494,10 +513,11 @@ def _layers(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, co
 def _layer(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, count: np.ndarray, live: np.ndarray, size: np.ndarray, level: float, t: float, layer: int, eps: float) -> np.ndarray | None:
     """Roots after a layer's rounds, None where nothing merges; ``size`` is kept up to date.
 
-    A mean of parallel edges that are all below the level is below it as well, so a node
-    without a live edge takes no part in the rest of the layer, and no edge of such a node
-    gets live.  A round therefore costs what is still live: each time that has halved, other
-    nodes and their edges are left out (all edges are contracted after the layer).
+    A mean of parallel edges that are all below the level is below it as well, and nodes only
+    merge along live edges, so an edge between two components of live edges never gets live
+    in the layer, nor parallel to one that is.  A round therefore costs what is still live:
+    each time that has halved, such edges, and nodes without a live one, are left out (all
+    edges are contracted after the layer).
     """
     n = len(ids)
     parent = None
@@ -515,7 +535,9 @@ def _layer(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, cou
                 used = np.zeros(len(nodes), bool)
                 used[a[live]] = True
                 used[b[live]] = True
-                keep = np.flatnonzero(used[a] & used[b])
+                part = local_components(len(nodes), a[live], b[live]).astype(np.int32)
+                keep = np.flatnonzero(part[a] == part[b])
+                del part
                 place = np.cumsum(used, dtype=np.int32) - 1
                 a, b, total, count, live = place[a[keep]], place[b[keep]], total[keep], count[keep], live[keep]
                 nodes, own, start, frozen = nodes[used], own[used], start[used], frozen[used]
@@ -533,11 +555,10 @@ def _layer(ids: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, cou
             red, blue = red[ok], blue[ok]
             if not len(red):
                 break
-            pri = _mix(name[red] * np.uint64(1_000_003) ^ _mix(name[blue] + np.uint64(inner * 100 + outer))) >> np.uint64(33)
-            order = np.lexsort((red, pri, blue))
-            last = np.append(blue[order][1:] != blue[order][:-1], True)
-            red, blue, pri = red[order][last], blue[order][last], pri[order][last]
-            order = np.lexsort((blue, -pri.astype(np.int64), red))
+            pri = (_mix(name[red] * np.uint64(1_000_003) ^ _mix(name[blue] + np.uint64(inner * 100 + outer))) >> np.uint64(33)).astype(np.int64)
+            best = _best(blue, pri, red, len(nodes))
+            red, blue, pri = red[best], blue[best], pri[best]
+            order = _by_red(red, blue, pri)
             red, blue = red[order], blue[order]
             first = np.append(True, red[1:] != red[:-1])
             run = np.cumsum(own[blue]) - own[blue]

@@ -418,3 +418,58 @@ def test_components_are_dealt_over_the_tasks(spark):
     found = merge.approximate(pairs, [127.5], 0.08)
     assert found.withColumn("task", F.spark_partition_id()).groupBy("task").count().where("count > 0").count() >= 8
     assert found.select("root").distinct().count() == 2000 and found.count() == 4000
+
+
+def test_edges_between_live_components_are_left_out_of_a_round(monkeypatch):
+    """Two clusters of live edges with many low ones between them: only the layer's end reads those."""
+    rng = np.random.default_rng(2)
+    inner = np.unique(np.sort(rng.integers(0, 500, (2000, 2)), axis=1), axis=0)
+    inner = inner[inner[:, 0] < inner[:, 1]]
+    across = np.unique(np.stack([rng.integers(0, 500, 60_000), rng.integers(500, 1000, 60_000)], axis=1), axis=0)
+    pairs = np.concatenate([inner, inner + 500, across])
+    total = np.append(rng.integers(2, 4, 2 * len(inner)) * 85, np.full(len(across), 50))
+    own = pairs[:, 0], pairs[:, 1], total, np.ones(len(pairs), np.int64)
+    read, contracted = [], lazy.contracted
+    monkeypatch.setattr(lazy, "contracted", lambda step, a, *x: read.append(len(a)) or contracted(step, a, *x))
+    found = merge.rounds_local(*own, [100.0], 0.08)
+    assert sum(n > 2 * len(inner) for n in read) <= 4 and len(read) > 20
+    assert found == plain_rounds(*own, [100.0], 0.08)
+
+
+def test_proposals_in_order_with_equal_priorities():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 60, (900, 2)), axis=0)
+    blue, red, pri = pairs[:, 0], pairs[:, 1], rng.integers(0, 3, len(pairs)) * ((1 << 30) - 1)
+    best = merge._best(blue, pri, red, 60)
+    order = merge._by_red(red[best], blue[best], pri[best])
+    want = {}
+    for b, r, p in zip(blue.tolist(), red.tolist(), pri.tolist()):
+        want[b] = max(want.get(b, (-1, -1)), (p, r))
+    assert list(zip(red[best][order].tolist(), blue[best][order].tolist())) == [(r, b) for r, p, b in sorted(((r, p, b) for b, (p, r) in want.items()), key=lambda x: (x[0], -x[1], x[2]))]
+
+
+@pytest.mark.parametrize("ids", [np.arange(5, 400), np.arange(5, 400) * 10**14 - 10**16, np.array([-(2**63), 7, 2**63 - 1])])
+def test_close_and_far_ids_are_coded_alike(ids):
+    rng = np.random.default_rng(4)
+    u, v = ids[rng.integers(0, len(ids), 900)], ids[rng.integers(0, len(ids), 900)]
+    names, a, b = lazy.coded(u, v)
+    assert names.tolist() == sorted({*u.tolist(), *v.tolist()})
+    assert (names[a] == np.minimum(u, v)).all() and (names[b] == np.maximum(u, v)).all() and a.dtype == b.dtype == np.int32
+
+
+def test_columns_of_a_group_are_held_once():
+    """Many small batches: no list of pieces beside the arrays that they make."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for i in range(1000):
+            yield pa.record_batch({"u": pa.array(np.arange(i * 2048, i * 2048 + 2048))})
+
+    tracemalloc.start()
+    (u,) = lazy.columns(batches(), {"u": np.int64})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (u == np.arange(1000 * 2048)).all() and peak < 1.6 * u.nbytes
+    assert [len(x) for x in lazy.columns([], {"u": np.int64, "cnt": np.float64})] == [0, 0]
